@@ -88,7 +88,6 @@ def ratios() -> dict[str, Column]:
         "lower_share": _share("n_lower", "word_chars"),
         "digit_share": _share("n_digits", "word_chars"),
         "mark_share": _share("n_marks", "n_words"),
-        "distinct_share": _share("n_distinct", "n_words"),
         "words_per_line": _share("n_words", "n_lines"),
     }
 
