@@ -5,10 +5,60 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, line_templates, quality_rules, simhash_cover
+from . import byte_bpe, chat_format, decontaminate, language_id, lattice_lm, line_templates, quality_rules, repeat_spans, simhash_cover, token_prefix
 from .common import table
 
 
+def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "\\### Assistant: </turn> ok"
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(text).alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    out = chat_format.format_conversations(rows.unionByName(probe))
+    turns = chat_format.read_back(F.col("formatted"))
+    loss = chat_format.under_loss(F.col("formatted"), F.col("loss_spans"))
+    out = out.select("conv_id", "formatted", "n_blocks", turns.alias("turns"), loss.alias("loss"))
+    spelled = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(spelled.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "n_blocks",
+    )
+
+
+OP2_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), seen AS (
+  SELECT *, row_number() OVER w AS k, coalesce(lag(role) OVER w <> role, true) AS first
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id,
+  count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(replace(replace(text, '\', '\\'), '<', '\l'))
+    + CASE WHEN first THEN 15 + length(replace(replace(replace(role, '\', '\\'), '<', '\l'), '>', '\g')) ELSE 6 END)::BIGINT AS formatted_chars,
+  count(*) FILTER (first)::BIGINT AS n_blocks
+FROM seen GROUP BY conv_id
+"""
+
+
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_templates.drop_recurring(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_recurring", "n_dropped", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -24,6 +74,21 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_token_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_prefix.token_budget(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    marked = docs.select("doc_id", language_id.held_out().alias("held_out"), "text")
+    return language_id.predict(marked, model, keep="held_out").select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_spans.report(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -32,5 +97,5 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_templates, op4_simhash_cover, op5_quality_rules, op9_byte_bpe, op10_spaced_seeds)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_chat_format, op3_line_templates, op4_simhash_cover, op5_quality_rules, op6_token_prefix, op7_language_id, op8_repeat_spans, op9_byte_bpe, op10_spaced_seeds)}
+ORACLES = {"op2_chat_format": OP2_SQL}
