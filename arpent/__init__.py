@@ -1 +1,9 @@
-"""Spark-first analytics for property-sale style transaction data."""
+"""Spark-first analytics for property-sale style transaction data.
+
+Functions of this package travel to Python workers by value, so executors need not have it installed.
+"""
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,5 +1,641 @@
 """All registered queries of the engine, with the SQL that gives the same rows."""
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scalars as sc
+from .operators import filters, geo, quality, reconstruct, scale, stations, tiles, trend, vintage, zones
+from .plans import standin
+from .plans.standin import BOX, STATIONS_SQL, WITH_CLEAN, WITH_LINES, WITH_SALES
+from .sources import columns
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def register(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c: str, name: str | None = None):
+    """Doubles that come from sums in any order are compared to six decimals."""
+    return sc.half_even(F.col(c), 6).alias(name or c)
+
+
+R6 = "(round_even(({0}) * 1e6, 0) / 1e6 + 0.0)"
+
+
+def q6(expression: str, name: str | None = None) -> str:
+    return f"{R6.format(expression)} AS {name or expression}"
+
+
+# --- reconstruction ---------------------------------------------------------------------------
+
+_SALE_COLUMNS = "sale_id, sale_date, year, nature, price, n_prices, commune, commune_name, section, address, parcel, area, private_area, rooms, n_premises, n_repeats, n_outbuildings, has_activity, premise_types, property_type"
+
+
+@register(f"{WITH_SALES} SELECT {_SALE_COLUMNS}, {q6('lon')}, {q6('lat')} FROM sales")
+def sale_reconstruct(spark, d):
+    s = standin.sales(spark, d)
+    return s.select(*_SALE_COLUMNS.split(", "), r6("lon"), r6("lat"))
+
+
+@register(f"{WITH_SALES} SELECT sale_id, count(*) AS n_lines, count(*) FILTER (repeat = 1) AS n_kept FROM numbered WHERE dwelling GROUP BY sale_id")
+def dedupe_lines(spark, d):
+    rows = standin.lines(spark, d).where(F.col("premise_type").isin(*reconstruct.DWELLINGS))
+    return reconstruct.number_repeats(rows).groupBy("sale_id").agg(F.count("*").alias("n_lines"), F.count_if(F.col("repeat") == 1).alias("n_kept"))
+
+
+@register(f"{WITH_SALES} SELECT sale_id, section AS main_section FROM of_section WHERE k = 1")
+def main_section(spark, d):
+    return reconstruct.main_section(reconstruct.drop_repeats(standin.lines(spark, d)))
+
+
+@register(f"{WITH_SALES} SELECT sale_id, address AS main_address, parcel AS main_parcel FROM of_line WHERE k = 1")
+def main_line(spark, d):
+    return reconstruct.main_line(reconstruct.drop_repeats(standin.lines(spark, d)))
+
+
+@register(f"{WITH_SALES} SELECT sale_id, price, n_prices, has_activity, n_outbuildings FROM whole")
+def inconsistent_prices(spark, d):
+    return reconstruct.price_of_sale(standin.lines(spark, d))
+
+
+@register(f"{WITH_SALES} SELECT count(*) FILTER (has_activity) AS n_with_activity, count(*) FILTER (has_activity AND n_premises > 0) AS n_mixed_use, count(*) AS n_sales FROM sales")
+def mixed_use_sales(spark, d):
+    s = standin.sales(spark, d)
+    return s.agg(F.count_if("has_activity").alias("n_with_activity"), F.count_if(F.col("has_activity") & (F.col("n_premises") > 0)).alias("n_mixed_use"), F.count("*").alias("n_sales"))
+
+
+@register(f"{WITH_SALES} SELECT n_outbuildings, count(*) AS n FROM sales GROUP BY n_outbuildings")
+def outbuilding_counts(spark, d):
+    return zones.count_by(standin.sales(spark, d), "n_outbuildings")
+
+
+# --- quality ----------------------------------------------------------------------------------
+
+
+@register(f"{WITH_CLEAN} SELECT rule, count(*) AS n FROM judged WHERE rule IS NOT NULL GROUP BY rule")
+def quality_rejects(spark, d):
+    return quality.rejects(standin.sales(spark, d))
+
+
+@register(f"{WITH_CLEAN} SELECT sale_id, area, price, price_m2, state, property_type FROM clean")
+def quality_survivors(spark, d):
+    return quality.survivors(standin.sales(spark, d)).select("sale_id", "area", "price", "price_m2", "state", "property_type")
+
+
+@register(f"{WITH_CLEAN} SELECT sale_id, area, area_fallback FROM filled WHERE area_fallback")
+def area_fallback(spark, d):
+    return quality.with_area_fallback(standin.sales(spark, d)).where("area_fallback").select("sale_id", "area", "area_fallback")
+
+
+@register(
+    f"{WITH_CLEAN} SELECT count(*) AS n_sales, count(*) FILTER (rule IS NULL) AS n_kept, count(*) FILTER (area_fallback) AS n_fallback, coalesce(sum(n_repeats), 0)::BIGINT AS n_repeats, "
+    f"count(*) FILTER (n_prices > 1) AS n_price_conflicts, {q6('count(*) FILTER (rule IS NULL) / count(*)', 'kept_ratio')} FROM judged"
+)
+def quality_report(spark, d):
+    out = quality.report(standin.sales(spark, d))
+    return out.withColumn("kept_ratio", r6("kept_ratio"))
+
+
+# --- filters, perimeters, removals ------------------------------------------------------------
+
+
+def _filtered(name: str, f: filters.SaleFilter, where: str) -> None:
+    def query(spark, d):
+        return f.apply(standin.clean(spark, d)).select("sale_id", "year", "area", "property_type", "state", "price_m2")
+
+    query.__name__ = name
+    register(f"{WITH_CLEAN} SELECT sale_id, year, area, property_type, state, price_m2 FROM clean WHERE {where}")(query)
+
+
+_filtered("filter_years_set", filters.SaleFilter(years=(1996, 1999)), "year IN (1996, 1999)")
+_filtered("filter_surface_open", filters.SaleFilter(area_min=40), "area >= 40")
+_filtered("filter_surface_closed", filters.SaleFilter(area_min=20, area_max=60.5), "area >= 20 AND area <= 60.5")
+_filtered("filter_type_state", filters.SaleFilter(types=("House",), states=("New",)), "property_type = 'House' AND state = 'New'")
+_filtered("filter_nothing", filters.SaleFilter(years=(), types=None), "true")
+
+
+@register(f"{WITH_CLEAN} SELECT sale_id, commune FROM clean WHERE commune IN (SELECT lpad(n_nationkey::VARCHAR, 5, '0') FROM nation WHERE n_regionkey = 2)")
+def perimeter_semi(spark, d):
+    nations = standin.table(spark, d, "nation").where("n_regionkey = 2").select(F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("commune"))
+    return filters.within(standin.clean(spark, d), nations).select("sale_id", "commune")
+
+
+_REMOVED_SQL = "removed AS (SELECT DISTINCT sale_date AS d, commune AS c, lower(trim(regexp_replace(address, '\\s+', ' ', 'g'))) AS a FROM clean WHERE sale_id % 50 = 7)"
+
+
+@register(f"{WITH_CLEAN}, {_REMOVED_SQL} SELECT sale_id FROM clean ANTI JOIN removed ON sale_date = d AND commune = c AND lower(trim(regexp_replace(address, '\\s+', ' ', 'g'))) = a")
+def removals_anti(spark, d):
+    s = standin.clean(spark, d)
+    # requests name some sales by date, commune and an address in another spelling
+    asked = s.where("sale_id % 50 = 7").select(F.col("sale_date").alias("removed_date"), F.col("commune").alias("removed_commune"), F.concat(F.lit("  "), F.upper(F.replace("address", F.lit(" "), F.lit("  ")))).alias("removed_address"))
+    return filters.without_removed(s, asked).select("sale_id")
+
+
+@register(f"{WITH_CLEAN} SELECT section, count(*) AS n FROM clean WHERE section NOT IN (SELECT DISTINCT section FROM clean WHERE section LIKE '%BUILD%' OR section LIKE '%AUTOM%') GROUP BY section")
+def orphans_anti(spark, d):
+    s = standin.clean(spark, d)
+    return vintage.orphans(s, s.where("section LIKE '%BUILD%' OR section LIKE '%AUTOM%'"))
+
+
+@register(f"{WITH_CLEAN} SELECT sale_id, coalesce(CASE WHEN n_nationkey % 2 = 0 THEN n_name END, commune_name) AS name FROM clean LEFT JOIN nation ON commune = lpad(n_nationkey::VARCHAR, 5, '0')")
+def official_names(spark, d):
+    names = standin.table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("commune"), F.col("n_name").alias("official"))
+    return standin.clean(spark, d).join(names, "commune", "left").select("sale_id", F.coalesce("official", "commune_name").alias("name"))
+
+
+@register(f"{WITH_CLEAN} SELECT sale_id, sale_date, address FROM clean WHERE lower(commune_name) LIKE '%nation_1%' AND lower(address) LIKE '%ring%' AND sale_date::VARCHAR LIKE '1997%'")
+def sale_search(spark, d):
+    return filters.search(standin.clean(spark, d), "NATION_1", "Ring", "1997").select("sale_id", "sale_date", "address")
+
+
+# --- zones ------------------------------------------------------------------------------------
+
+
+def _zone_sql(key: str) -> str:
+    return (
+        f"{WITH_CLEAN} SELECT {key} AS zone, count(*) AS n_sales, median(price_m2) AS median_m2, round_even(avg(price_m2), 0) AS mean_m2, round_even(median(price), 0) AS median_price, "
+        f"round_even(avg(price), 0) AS mean_price, round_even(median(area), 0) AS median_area FROM clean WHERE {key} IS NOT NULL GROUP BY {key}"
+    )
+
+
+@register(_zone_sql("commune"))
+def zone_stats_commune(spark, d):
+    return zones.statistics(standin.clean(spark, d), "commune")
+
+
+@register(_zone_sql("section"))
+def zone_stats_section(spark, d):
+    return zones.statistics(standin.clean(spark, d), "section")
+
+
+@register(
+    f"{WITH_CLEAN} SELECT CASE WHEN grouping(section) = 0 THEN 'section' ELSE 'commune' END AS grain, coalesce(section, commune) AS zone, count(*) AS n_sales, median(price_m2) AS median_m2, "
+    "round_even(avg(price), 0) AS mean_price FROM clean WHERE section IS NOT NULL AND commune IS NOT NULL GROUP BY GROUPING SETS ((section), (commune))"
+)
+def zone_stats_two_grains(spark, d):
+    return zones.statistics_of_both(standin.clean(spark, d))
+
+
+@register(
+    f"{WITH_CLEAN}, high AS (SELECT *, row_number() OVER (PARTITION BY commune ORDER BY price_m2 DESC, sale_date, sale_id) AS k FROM clean), "
+    "low AS (SELECT *, row_number() OVER (PARTITION BY commune ORDER BY price_m2, sale_date, sale_id) AS k FROM clean) "
+    "SELECT h.commune AS zone, h.price_m2 AS max_m2, h.sale_id AS max_sale, h.price AS max_price, h.sale_date AS max_date, l.price_m2 AS min_m2, l.sale_id AS min_sale, l.price AS min_price, l.sale_date AS min_date "
+    "FROM high h JOIN low l ON h.commune = l.commune WHERE h.k = 1 AND l.k = 1"
+)
+def zone_extremes(spark, d):
+    return zones.extremes(standin.clean(spark, d), "commune")
+
+
+@register(f"{WITH_CLEAN} SELECT section AS zone, year, median(price_m2) AS value, count(*) AS n FROM clean GROUP BY section, year")
+def annual_medians(spark, d):
+    return zones.by_year(standin.clean(spark, d), "section")
+
+
+@register(f"{WITH_CLEAN} SELECT commune AS zone, year, {q6('avg(price)', 'value')}, count(*) AS n FROM clean GROUP BY commune, year")
+def annual_mean_price(spark, d):
+    return zones.by_year(standin.clean(spark, d), "commune", "mean_price").withColumn("value", r6("value"))
+
+
+@register(
+    f"{WITH_CLEAN}, counted AS (SELECT section, commune_name, count(*) AS n, row_number() OVER (PARTITION BY section ORDER BY count(*) DESC, commune_name) AS k FROM clean GROUP BY section, commune_name) "
+    "SELECT section AS zone, commune_name || ' ' || section AS label, n FROM counted WHERE k = 1"
+)
+def dominant_label(spark, d):
+    return zones.labels(standin.clean(spark, d), "section")
+
+
+_STREET_SQL = r"trim(regexp_replace(address, '^\s*\d+\s*(?:(?:bis|ter|quater|quinquies)\b|[a-z]\b)?\s*', '', 'i'))"
+
+
+_STREETS_SQL = (
+    f"streets_counted AS (SELECT section, {_STREET_SQL} AS street, count(*) AS n FROM clean GROUP BY 1, 2), streets_long AS (SELECT * FROM streets_counted WHERE length(street) > 2), "
+    "streets_ranked AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY n DESC, street) AS k FROM streets_long), "
+    "streets AS (SELECT section AS zone, string_agg(street, ', ' ORDER BY k) AS streets FROM streets_ranked WHERE k <= 3 GROUP BY section)"
+)
+
+
+@register(f"{WITH_CLEAN}, {_STREETS_SQL} SELECT * FROM streets")
+def dominant_streets(spark, d):
+    return zones.main_streets(standin.clean(spark, d), "section")
+
+
+@register(
+    f"{WITH_CLEAN} SELECT string_agg(DISTINCT year::VARCHAR, ',' ORDER BY year::VARCHAR) AS years, string_agg(DISTINCT property_type, ',' ORDER BY property_type) AS types, string_agg(DISTINCT state, ',' ORDER BY state) AS states FROM clean"
+)
+def filter_domain(spark, d):
+    return zones.filter_values(standin.clean(spark, d))
+
+
+@register(f"{WITH_CLEAN} SELECT (floor(quantile_cont(area, 0.99) / 50) * 50 + 50)::BIGINT AS ceiling FROM clean")
+def surface_ceiling(spark, d):
+    return zones.area_ceiling(standin.clean(spark, d))
+
+
+@register(f"{WITH_CLEAN} SELECT min(sale_date) AS first_date, max(sale_date) AS last_date FROM clean")
+def coverage_dates(spark, d):
+    return zones.coverage(standin.clean(spark, d))
+
+
+@register(
+    f"{WITH_CLEAN} SELECT {q6('quantile_cont(lon, 0.01)', 'west')}, {q6('quantile_cont(lat, 0.01)', 'south')}, {q6('quantile_cont(lon, 0.99)', 'east')}, {q6('quantile_cont(lat, 0.99)', 'north')} "
+    "FROM clean WHERE lon BETWEEN 2.0 AND 2.5 AND lat BETWEEN 48.6 AND 49.2"
+)
+def opening_frame(spark, d):
+    return zones.opening_frame(standin.clean(spark, d), BOX)
+
+
+@register(
+    "SELECT r_name AS name, count(*) AS n_communes, string_agg(DISTINCT lpad(n_nationkey::VARCHAR, 5, '0'), ',' ORDER BY lpad(n_nationkey::VARCHAR, 5, '0')) AS communes, coalesce(sum(pop), 0)::BIGINT AS population "
+    "FROM region JOIN nation ON r_regionkey = n_regionkey LEFT JOIN (SELECT c_nationkey, count(*) AS pop FROM customer GROUP BY 1) ON n_nationkey = c_nationkey GROUP BY r_name"
+)
+def territory_rollup(spark, d):
+    people = standin.table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("pop"))
+    n = standin.table(spark, d, "nation").join(people, F.col("n_nationkey") == F.col("c_nationkey"), "left").join(standin.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    codes = F.array_join(F.array_sort(F.collect_set(F.lpad(F.col("n_nationkey").cast("string"), 5, "0"))), ",")
+    return n.groupBy(F.col("r_name").alias("name")).agg(F.count("*").alias("n_communes"), codes.alias("communes"), F.coalesce(F.sum("pop"), F.lit(0)).alias("population"))
+
+
+# --- trend ------------------------------------------------------------------------------------
+
+
+def _trend_sql(key: str, least_sales: int = 5, least_years: int = 3, where: str = "true") -> str:
+    return f"""{WITH_CLEAN}, annual AS (
+      SELECT {key} AS zone, year, median(price_m2) AS value, count(*) AS n FROM clean WHERE {where} GROUP BY {key}, year HAVING count(*) >= {least_sales} AND median(price_m2) > 0
+    ), sums AS (
+      SELECT zone, count(*) AS n_years, sum(n)::BIGINT AS n_sales, sum(n)::DOUBLE AS w, sum(n * a)::DOUBLE AS wa, sum(n * l) AS wl, sum(n * a * a)::DOUBLE AS waa, sum(n * a * l) AS wal, sum(n * l * l) AS wll,
+        min(year) AS first_year, max(year) AS last_year FROM (SELECT *, year - (SELECT min(year) FROM annual) AS a, ln(value) AS l FROM annual) GROUP BY zone
+    ), parts AS (
+      SELECT *, waa - wa * wa / w AS spread, wal - wa * wl / w AS cov, wll - wl * wl / w AS var FROM sums
+    ), trends AS (
+      SELECT zone, n_years, n_sales, first_year, last_year, n_years >= {max(least_years, 2)} AND last_year > first_year AND spread > 0 AS reliable,
+        CASE WHEN reliable THEN cov / spread END AS slope, var, cov FROM parts
+    ), trend AS (
+      SELECT zone, n_years, n_sales, first_year, last_year, reliable, {q6('(exp(slope) - 1) * 100', 'rate')}, {q6('(exp(slope * (last_year - first_year)) - 1) * 100', 'change')},
+        CASE WHEN reliable AND var > 0 THEN {R6.format('slope * cov / var')} END AS r2 FROM trends
+    )"""
+
+
+_TREND_COLUMNS = ("zone", "n_years", "n_sales", "first_year", "last_year", "reliable")
+
+
+def _rounded_trend(t: DataFrame) -> DataFrame:
+    return t.select(*_TREND_COLUMNS, r6("rate"), r6("change"), r6("r2"))
+
+
+@register(_trend_sql("commune") + " SELECT * FROM trend")
+def trend_commune(spark, d):
+    return _rounded_trend(trend.trend(standin.clean(spark, d), "commune"))
+
+
+@register(_trend_sql("section") + " SELECT * FROM trend")
+def trend_section(spark, d):
+    return _rounded_trend(trend.trend(standin.clean(spark, d), "section"))
+
+
+@register(_trend_sql("section", where="year IN (1996, 1997)") + " SELECT * FROM trend")
+def trend_two_years_unreliable(spark, d):
+    return _rounded_trend(trend.trend(filters.SaleFilter(years=(1996, 1997)).apply(standin.clean(spark, d)), "section"))
+
+
+_AMPLITUDE_SQL = "amp AS (SELECT CASE WHEN m IS NULL THEN 2.0 WHEN s <= 2 THEN 2.0 WHEN s <= 3 THEN 3.0 WHEN s <= 5 THEN 5.0 WHEN s <= 8 THEN 8.0 WHEN s <= 12 THEN 12.0 ELSE 20.0 END::DOUBLE AS amplitude FROM (SELECT m, CASE WHEN q > 0 THEN q ELSE m END AS s FROM (SELECT quantile_cont(abs(rate), 0.9) AS q, max(abs(rate)) AS m FROM trend WHERE reliable)))"
+
+
+@register(_trend_sql("commune") + f", {_AMPLITUDE_SQL} SELECT amplitude FROM amp")
+def trend_amplitude(spark, d):
+    return trend.amplitude(trend.trend(standin.clean(spark, d), "commune"))
+
+
+def _colour_sql(position: str, palette: tuple[str, ...]) -> str:
+    last = len(palette) - 1
+    channels = []
+    for k in (1, 3, 5):
+        values = "[" + ", ".join(str(int(c[k : k + 2], 16)) for c in palette) + "]"
+        low, high = f"{values}[floor(pos)::INT + 1]", f"{values}[least(floor(pos)::INT + 1, {last}) + 1]"
+        channels.append(f"printf('%02x', round_even({low} + ({high} - {low}) * (pos - floor(pos)), 0)::INT)")
+    return f"CASE WHEN ({position}) IS NULL THEN '{sc.GREY}' ELSE (SELECT '#' || {' || '.join(channels)} FROM (SELECT greatest(least({position}, 1.0), 0.0) * {last} AS pos)) END"
+
+
+@register(_trend_sql("commune") + f", {_AMPLITUDE_SQL} SELECT zone, rate, {_colour_sql('CASE WHEN reliable THEN (rate + amplitude) / (2 * amplitude) END', sc.TREND_PALETTE)} AS colour FROM trend, amp")
+def trend_colours(spark, d):
+    t = _rounded_trend(trend.trend(standin.clean(spark, d), "commune"))
+    return trend.coloured(t).select("zone", "rate", "colour")
+
+
+# --- scales and layers ------------------------------------------------------------------------
+
+_STATS_SQL = _zone_sql("section").replace(" SELECT section AS zone", ", stats AS (SELECT section AS zone", 1) + ")"
+_SCALE_SQL = """, used AS (SELECT median_m2 AS v FROM stats WHERE n_sales > 4 OR NOT EXISTS (SELECT 1 FROM stats WHERE n_sales > 4)),
+q AS (SELECT quantile_cont(v, 0.05) AS a, quantile_cont(v, 0.95) AS b, min(v) AS lo, max(v) AS hi, count(v) = 0 AS empty FROM used),
+q2 AS (SELECT CASE WHEN a >= b THEN lo ELSE a END AS a, CASE WHEN a >= b THEN hi ELSE b END AS b, empty FROM q),
+scale AS (SELECT coalesce(CASE WHEN a >= b THEN a - 0.5 ELSE a END, 0.0) AS low, coalesce(CASE WHEN a >= b THEN b + 0.5 ELSE b END, 1.0) AS high, empty FROM q2)"""
+
+
+@register(f"{_STATS_SQL}{_SCALE_SQL} SELECT {q6('low')}, {q6('high')}, empty FROM scale")
+def colour_scale_bounds(spark, d):
+    return scale.scale(zones.statistics(standin.clean(spark, d), "section")).select(r6("low"), r6("high"), "empty")
+
+
+@register(f"{_STATS_SQL}{_SCALE_SQL} SELECT k AS tick, {q6('low + k / 4.0 * (high - low)', 'value')} FROM scale, (SELECT unnest(range(5))::INT AS k)")
+def colour_scale_ticks(spark, d):
+    return scale.ticks(scale.scale(zones.statistics(standin.clean(spark, d), "section"))).withColumn("value", r6("value"))
+
+
+@register(f"{_STATS_SQL} SELECT zone, n_sales, n_sales <= 4 AS greyed FROM stats")
+def greyed_zones(spark, d):
+    return scale.zone_colours(zones.statistics(standin.clean(spark, d), "section")).select("zone", "n_sales", "greyed")
+
+
+_ZONE_COLOUR = _colour_sql("(median_m2 - low) / (high - low)", sc.PRICE_PALETTE)
+
+
+@register(f"{_STATS_SQL}{_SCALE_SQL} SELECT zone, median_m2, CASE WHEN n_sales <= 4 THEN '{sc.GREY}' ELSE {_ZONE_COLOUR} END AS colour FROM stats, scale")
+def zone_colours(spark, d):
+    return scale.zone_colours(zones.statistics(standin.clean(spark, d), "section")).select("zone", "median_m2", "colour")
+
+
+@register(
+    f"{_STATS_SQL}{_SCALE_SQL}, {_STREETS_SQL}, names AS (SELECT section, min(commune_name) AS commune_name FROM clean GROUP BY section) "
+    f"SELECT s.zone, commune_name || ' ' || s.zone AS label, streets, n_sales, median_m2 AS value, n_sales <= 4 AS greyed, CASE WHEN n_sales <= 4 THEN '{sc.GREY}' ELSE {_ZONE_COLOUR} END AS colour "
+    "FROM stats s JOIN names ON s.zone = names.section LEFT JOIN streets ON s.zone = streets.zone, scale"
+)
+def layer_price(spark, d):
+    s = standin.clean(spark, d)
+    return scale.price_layer(zones.statistics(s, "section"), zones.labels(s, "section"), zones.main_streets(s, "section"))
+
+
+@register(
+    _trend_sql("commune") + f", {_AMPLITUDE_SQL}, stats AS (SELECT commune AS zone, count(*) AS n_sales FROM clean GROUP BY commune) "
+    f"SELECT stats.zone, stats.n_sales, CASE WHEN reliable THEN rate END AS rate, CASE WHEN reliable THEN r2 END AS r2, coalesce(n_years, 0) AS n_years, {_colour_sql('CASE WHEN reliable THEN (rate + amplitude) / (2 * amplitude) END', sc.TREND_PALETTE)} AS colour "
+    "FROM stats LEFT JOIN trend ON stats.zone = trend.zone, amp"
+)
+def layer_trend(spark, d):
+    s = standin.clean(spark, d)
+    return scale.trend_layer(zones.statistics(s, "commune"), _rounded_trend(trend.trend(s, "commune")))
+
+
+# --- vintages ---------------------------------------------------------------------------------
+
+_OLD, _NEW = "year <= 2000", "year >= 1996 AND sale_id % 9 <> 0"
+_PAIR_SQL = f"{WITH_CLEAN}, old AS (SELECT * FROM clean WHERE {_OLD}), new AS (SELECT * FROM clean WHERE {_NEW}), span AS (SELECT greatest((SELECT min(sale_date) FROM old), (SELECT min(sale_date) FROM new)) AS f, least((SELECT max(sale_date) FROM old), (SELECT max(sale_date) FROM new)) AS t), old2 AS (SELECT old.* FROM old, span WHERE sale_date BETWEEN f AND t), new2 AS (SELECT new.* FROM new, span WHERE sale_date BETWEEN f AND t)"
+
+
+def _pair(spark, d):
+    s = standin.clean(spark, d)
+    return s.where(_OLD), s.where(_NEW)
+
+
+@register(f"{_PAIR_SQL} SELECT coalesce(a.year, b.year) AS year, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after FROM (SELECT year, count(*) AS n FROM old GROUP BY 1) a FULL JOIN (SELECT year, count(*) AS n FROM new GROUP BY 1) b ON a.year = b.year")
+def vintage_full_outer_years(spark, d):
+    return vintage.compare(*_pair(spark, d), "year")
+
+
+@register(f"{_PAIR_SQL} SELECT coalesce(a.year, b.year) AS year, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after FROM (SELECT year, count(*) AS n FROM old2 GROUP BY 1) a FULL JOIN (SELECT year, count(*) AS n FROM new2 GROUP BY 1) b ON a.year = b.year")
+def vintage_equal_period(spark, d):
+    return vintage.compare(*vintage.same_period(*_pair(spark, d)), "year")
+
+
+@register(f"{_PAIR_SQL} SELECT coalesce(a.department, b.department) AS department, a.m AS before, b.m AS after FROM (SELECT department, median(price_m2) AS m FROM old2 GROUP BY 1) a FULL JOIN (SELECT department, median(price_m2) AS m FROM new2 GROUP BY 1) b ON a.department = b.department")
+def vintage_department_medians(spark, d):
+    return vintage.compare(*vintage.same_period(*_pair(spark, d)), "department", F.median("price_m2"))
+
+
+@register(f"{WITH_CLEAN}, old AS (SELECT DISTINCT commune FROM clean WHERE commune <> '00003'), new AS (SELECT DISTINCT commune FROM clean WHERE commune > '00001') SELECT commune, 'gone' AS change FROM old WHERE commune NOT IN (SELECT commune FROM new) UNION ALL SELECT commune, 'come' FROM new WHERE commune NOT IN (SELECT commune FROM old)")
+def vintage_commune_diff(spark, d):
+    s = standin.clean(spark, d)
+    return vintage.commune_changes(s.where("commune <> '00003'"), s.where("commune > '00001'"))
+
+
+_GUARD_SQL = f"""{WITH_CLEAN}, old AS (SELECT * FROM clean), new AS (SELECT * FROM clean WHERE commune > '00004' AND (year <> 1998 OR sale_id % 3 = 0)),
+y AS (SELECT a.year, a.n AS before, coalesce(b.n, 0) AS after FROM (SELECT year, count(*) AS n FROM old GROUP BY 1) a LEFT JOIN (SELECT year, count(*) AS n FROM new GROUP BY 1) b ON a.year = b.year),
+m AS (SELECT a.department, a.m AS before, b.m AS after FROM (SELECT department, median(price_m2) AS m FROM old GROUP BY 1) a JOIN (SELECT department, median(price_m2) AS m FROM new GROUP BY 1) b ON a.department = b.department),
+t AS (SELECT (SELECT count(*) FROM old)::DOUBLE AS before, (SELECT count(*) FROM new)::DOUBLE AS after),
+g AS (SELECT count(*)::DOUBLE AS n FROM (SELECT DISTINCT commune FROM old EXCEPT SELECT DISTINCT commune FROM new))
+SELECT 'total' AS rule, 'all' AS subject, before, after FROM t WHERE after < 0.7 * before
+UNION ALL SELECT 'year', year::VARCHAR, before::DOUBLE, after::DOUBLE FROM y WHERE after < 0.9 * before
+UNION ALL SELECT 'median price', department::VARCHAR, before, after FROM m WHERE abs(after / before - 1) > 0.05
+UNION ALL SELECT 'communes lost', 'all', 0.0, n FROM g WHERE n > 3"""
+
+
+@register(_GUARD_SQL)
+def vintage_guardrails(spark, d):
+    s = standin.clean(spark, d)
+    return vintage.guard_rails(s, s.where("commune > '00004' AND (year <> 1998 OR sale_id % 3 = 0)"))
+
+
+_PERIODS = "2020-s1 2020-s2 2021 2021-s2 2022 2023 2024 2024-s1 2025 2026-s1".split()
+
+
+@register(
+    "WITH p AS (SELECT url, substr(url, 7, 4)::INT AS year, CASE WHEN url LIKE '%-s1/%' THEN 1 WHEN url LIKE '%-s2/%' THEN 2 END AS half FROM (SELECT unnest(["
+    + ", ".join(f"'/file/{p}/x.gz'" for p in _PERIODS)
+    + "]) AS url)), q AS (SELECT url, year, make_date(year, CASE WHEN half = 2 THEN 7 ELSE 1 END, 1) AS first_day, CASE WHEN half = 1 THEN make_date(year, 6, 30) ELSE make_date(year, 12, 31) END AS last_day FROM p), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY last_day - first_day DESC, first_day) AS k FROM q WHERE last_day >= DATE '2021-04-01' AND first_day <= DATE '2026-03-31') SELECT url, year, first_day, last_day FROM r WHERE k = 1"
+)
+def sliding_window_periods(spark, d):
+    listed = spark.range(1).select(F.explode(F.array(*(F.lit(f"/file/{p}/x.gz") for p in _PERIODS))).alias("url"))
+    return vintage.sliding_window(vintage.periods_of(listed), "2026-03-31").select("url", "year", "first_day", "last_day")
+
+
+# --- tiles and columns ------------------------------------------------------------------------
+
+_POINTS_SQL = WITH_CLEAN + """, rounded AS (SELECT *, round_even(lon * 1e5, 0) / 1e5 AS rlon, round_even(lat * 1e5, 0) / 1e5 AS rlat FROM clean WHERE lon BETWEEN 1.98 AND 2.52 AND lat BETWEEN 48.58 AND 49.22),
+points AS (SELECT *, floor((rlon + 180.0) / 360.0 * 16384)::BIGINT AS x, floor((1.0 - asinh(tan(radians(rlat))) / pi()) / 2.0 * 16384)::BIGINT AS y FROM rounded)"""
+
+
+def _points(spark, d):
+    return tiles.placed(standin.clean(spark, d), BOX)
+
+
+@register(f"{_POINTS_SQL} SELECT sale_id, x, y FROM points")
+def tile_xy(spark, d):
+    return _points(spark, d).select("sale_id", "x", "y")
+
+
+@register(f"{_POINTS_SQL} SELECT x, y, rlon AS lon, rlat AS lat, count(*) AS n, median(price_m2) AS median_m2, CASE WHEN count(DISTINCT property_type) = 1 THEN min(property_type) ELSE 'Mixed' END AS icon FROM points GROUP BY x, y, rlon, rlat")
+def tile_locations(spark, d):
+    return tiles.locations(_points(spark, d))
+
+
+@register(f"{_POINTS_SQL}, g AS (SELECT x, y, rlon AS lon, rlat AS lat, count(*) AS n FROM points GROUP BY x, y, rlon, rlat) SELECT x, y, lon, lat, n, row_number() OVER w AS k, (coalesce(sum(n) OVER (PARTITION BY x, y ORDER BY lon, lat ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS \"offset\" FROM g WINDOW w AS (PARTITION BY x, y ORDER BY lon, lat)")
+def tile_offsets(spark, d):
+    return tiles.offsets(_points(spark, d))
+
+
+@register(f"{_POINTS_SQL} SELECT x, y, address AS text, (dense_rank() OVER (PARTITION BY x, y ORDER BY address) - 1)::INT AS id FROM (SELECT DISTINCT x, y, address FROM points)")
+def tile_dictionary(spark, d):
+    return tiles.dictionary(_points(spark, d), "address")
+
+
+@register(f"{_POINTS_SQL} SELECT sale_id, x, y FROM points WHERE x BETWEEN 8290 AND 8293 AND y BETWEEN 5630 AND 5635")
+def tile_view(spark, d):
+    return tiles.in_view(_points(spark, d), 8290, 5630, 8293, 5635).select("sale_id", "x", "y")
+
+
+@register()
+def tile_payloads(spark, d):
+    return tiles.payloads(_points(spark, d))
+
+
+@register(f"{WITH_CLEAN} SELECT sale_id, floor(price)::BIGINT AS euros, round_even((price - floor(price)) * 100, 0)::BIGINT AS cents, (year(sale_date) * 10000 + month(sale_date) * 100 + day(sale_date))::INT AS date_number, round_even(area, 0)::BIGINT AS whole_area FROM clean")
+def binary_parts(spark, d):
+    s = standin.clean(spark, d)
+    euros, cents = sc.whole_and_hundredths(F.col("price"))
+    return s.select("sale_id", euros.alias("euros"), cents.alias("cents"), sc.date_number(F.col("sale_date")).alias("date_number"), sc.whole_or_sentinel(F.col("area")).alias("whole_area"))
+
+
+@register(f"{WITH_CLEAN}, c AS (SELECT commune, dense_rank() OVER (ORDER BY commune) - 1 AS commune_id FROM (SELECT DISTINCT commune FROM clean)) SELECT sale_id, commune_id::INT AS commune_id, row_number() OVER (PARTITION BY clean.commune ORDER BY price_m2, sale_id)::INT AS place FROM clean JOIN c USING (commune)")
+def binary_order(spark, d):
+    from pyspark.sql import Window
+
+    n = columns.numbered(standin.clean(spark, d))
+    return n.select("sale_id", F.col("commune_id").cast("int").alias("commune_id"), F.row_number().over(Window.partitionBy("commune").orderBy("price_m2", "sale_id")).alias("place"))
+
+
+# --- scalar functions -------------------------------------------------------------------------
+
+
+@register(r"SELECT p_partkey, lower(trim(regexp_replace('  12  ' || p_name || '  ß', '\s+', ' ', 'g'))).replace('ß', 'ss') AS address_key FROM part")
+def address_key(spark, d):
+    return standin.table(spark, d, "part").select("p_partkey", sc.address_key(F.concat(F.lit("  12  "), "p_name", F.lit("  ß"))).alias("address_key"))
+
+
+@register(f"{WITH_LINES} SELECT sale_id, ord, {_STREET_SQL} AS street FROM lines")
+def street_strip_number(spark, d):
+    return standin.lines(spark, d).select("sale_id", "ord", sc.street_of(F.col("address")).alias("street"))
+
+
+@register("SELECT doc_id, regexp_replace(replace(lower(strip_accents(text)), 'ß', 'ss'), '[^\\p{L}\\p{N}]', '', 'g') AS name_key FROM documents")
+def name_key(spark, d):
+    return standin.table(spark, d, "documents").select("doc_id", sc.name_key(F.col("text")).alias("name_key"))
+
+
+@register(r"SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(strip_accents('St-' || p_name || ' Ste Élise')), '[^\p{L}\p{N}]+', ' ', 'g'), '\bst\b', 'saint', 'g')).replace(' ste ', ' sainte ') AS search_key FROM part")
+def search_key(spark, d):
+    return standin.table(spark, d, "part").select("p_partkey", sc.search_key(F.concat(F.lit("St-"), "p_name", F.lit(" Ste Élise"))).alias("search_key"))
+
+
+@register("SELECT o_orderkey, CASE WHEN o_orderkey % 5 IN (0, 1) THEN o_totalprice WHEN o_orderkey % 5 = 2 THEN floor(o_totalprice) + 0.5 END AS parsed FROM orders")
+def parse_number_tolerant(spark, d):
+    o = standin.table(spark, d, "orders")
+    plain = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    kind = F.col("o_orderkey") % 5
+    text = F.when(kind == 0, plain).when(kind == 1, F.concat(F.lit(" "), F.replace(plain, F.lit("."), F.lit(",")))).when(kind == 2, F.concat(F.floor("o_totalprice").cast("string"), F.lit(" ,5"))).when(kind == 3, F.concat(plain, F.lit("d"))).otherwise("nan")
+    return o.select("o_orderkey", sc.parse_number(sc.text_or_null(text)).alias("parsed"))
+
+
+@register("SELECT c_custkey, CASE WHEN length(k) < 5 THEN lpad(k, 5, '0') ELSE k END AS code, CASE WHEN substr(c, 1, 2) IN ('97', '98') THEN substr(c, 1, 3) ELSE substr(c, 1, 2) END AS department FROM (SELECT c_custkey, (c_custkey * 977)::VARCHAR AS k, CASE WHEN length(k) < 5 THEN lpad(k, 5, '0') ELSE k END AS c FROM customer)")
+def commune_codes(spark, d):
+    code = sc.zero_fill((F.col("c_custkey") * 977).cast("string"))
+    return standin.table(spark, d, "customer").select("c_custkey", code.alias("code"), sc.department_of(code).alias("department"))
+
+
+@register("SELECT p_partkey, round_even(p_retailprice / 8, 0) AS whole, round_even(p_retailprice / 8 * 1e5, 0) / 1e5 AS five FROM part")
+def half_even_rounding(spark, d):
+    return standin.table(spark, d, "part").select("p_partkey", sc.half_even(F.col("p_retailprice") / 8).alias("whole"), sc.half_even(F.col("p_retailprice") / 8, 5).alias("five"))
+
+
+# --- geometry and stations --------------------------------------------------------------------
+
+
+def _zones(spark):
+    """A square with a hole, a triangle and a zone of two squares, from arithmetic."""
+    p = lambda pts: "array(" + ", ".join(f"named_struct('lon', {x}D, 'lat', {y}D)" for x, y in pts) + ")"
+    sq = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]
+    hole, outer = sq(2.125, 48.75, 0.0625), sq(2.0625, 48.6875, 0.1875)
+    zones_ = {"holed": f"array(array({p(outer)}, {p(hole)}))", "triangle": f"array(array({p([(2.25, 48.75), (2.5, 48.75), (2.375, 49.0), (2.25, 48.75)])}))", "double": f"array(array({p(sq(2.0, 49.0, 0.0625))}), array({p(sq(2.125, 49.0, 0.03125))}))"}
+    return spark.sql(" UNION ALL ".join(f"SELECT '{k}' AS zone, {v} AS geometry" for k, v in zones_.items()))
+
+
+_CUSTOMER_POINTS = "pts AS (SELECT c_custkey, 2.0::DOUBLE + (c_custkey % 1000) / 2000.0::DOUBLE AS lon, 48.6::DOUBLE + (c_custkey % 777) / 1500.0::DOUBLE AS lat FROM customer)"
+
+
+def _customers(spark, d):
+    return standin.table(spark, d, "customer").select("c_custkey", (F.lit(2.0) + (F.col("c_custkey") % 1000) / F.lit(2000.0)).alias("lon"), (F.lit(48.6) + (F.col("c_custkey") % 777) / F.lit(1500.0)).alias("lat"))
+
+
+_IN = "(lon >= {0} AND lon < {2} AND lat >= {1} AND lat < {3})"
+
+
+@register(
+    f"WITH {_CUSTOMER_POINTS} SELECT c_custkey, 'holed' AS zone FROM pts WHERE {_IN.format(2.0625, 48.6875, 2.25, 48.875)} AND NOT {_IN.format(2.125, 48.75, 2.1875, 48.8125)} "
+    f"UNION ALL SELECT c_custkey, 'triangle' FROM pts WHERE lat >= 48.75 AND lat < 49.0 AND lon >= 2.25 + (lat - 48.75) / 2 AND lon < 2.5 - (lat - 48.75) / 2 "
+    f"UNION ALL SELECT c_custkey, 'double' FROM pts WHERE {_IN.format(2.0, 49.0, 2.0625, 49.0625)} OR {_IN.format(2.125, 49.0, 2.15625, 49.03125)}"
+)
+def point_in_polygon(spark, d):
+    return geo.points_in_zones(_customers(spark, d), _zones(spark)).select("c_custkey", "zone")
+
+
+@register("SELECT * FROM (VALUES ('double', 2.03125, 49.03125, 0.00390625), ('holed', 2.15625, 48.78125, 0.03515625), ('triangle', 2.375, 48.83333, 0.03125)) t(zone, lon, lat, area)".replace("2.03125", "2.03125::DOUBLE").replace("0.00390625", "round_even(0.00390625::DOUBLE * 1e8, 0) / 1e8").replace("49.03125", "49.03125::DOUBLE").replace("0.03515625", "0.03515625::DOUBLE"))
+def ring_area_centroid(spark, d):
+    return geo.representative_points(_zones(spark))
+
+
+@register(f"WITH {_CUSTOMER_POINTS} SELECT c_custkey, lon BETWEEN 2.08 AND 2.32 AND lat BETWEEN 48.68 AND 48.92 AS inside FROM pts")
+def bbox_filter(spark, d):
+    return _customers(spark, d).select("c_custkey", filters.in_box(F.col("lon"), F.col("lat"), (2.1, 48.7, 2.3, 48.9), 0.02).alias("inside"))
+
+
+_NEAR_SQL = f"""WITH {_CUSTOMER_POINTS}, {STATIONS_SQL}, near AS (
+  SELECT c_custkey, station, sqrt(((p.lon - s.lon) * 111195.0 * cos(radians((p.lat + s.lat) / 2))) ** 2 + ((p.lat - s.lat) * 111195.0) ** 2) AS metres FROM pts p, stations s
+), best AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY metres, station) AS k FROM near)"""
+
+
+@register(f"{_NEAR_SQL} SELECT c_custkey, station, {q6('metres')}, greatest(1, ceil(metres / 64.0))::BIGINT AS minutes FROM best WHERE k = 1 AND ceil(metres / 64.0) <= 30")
+def nearest_station(spark, d):
+    return stations.nearest(_customers(spark, d), standin.stations(spark, d), "c_custkey").withColumn("metres", r6("metres"))
+
+
+@register("SELECT s_suppkey, greatest(1, ceil(abs(s_acctbal) / 64.0))::BIGINT AS minutes FROM supplier")
+def walk_minutes(spark, d):
+    return standin.table(spark, d, "supplier").select("s_suppkey", sc.walk_minutes(F.abs("s_acctbal")).alias("minutes"))
+
+
+def _records(spark, d):
+    """Each supplier as two or three records of one place, some announced."""
+    s = standin.stations(spark, d).withColumn("n", F.regexp_extract("station", r"(\d+)$", 1).cast("long"))
+    copies = s.select("*", F.explode(F.sequence(F.lit(0), (F.col("n") % 3).cast("int"))).alias("c"))
+    line = lambda k: F.concat(F.lit("Line "), ((F.col("n") + k) % 7).cast("string"))
+    return copies.select(
+        F.when(F.col("c") == 1, F.upper("station")).otherwise(F.col("station")).alias("name"), (F.col("lon") + F.col("c") * 0.001).alias("lon"), "lat",
+        F.when(F.col("c") == 0, "Metro").otherwise("RER").alias("network"), F.lit("station").alias("type"), F.when(F.col("c") == 2, "project").otherwise("service").alias("status"),
+        F.array(line(0), line(1)).alias("lines"), F.array(line(2)).alias("planned"), (F.col("n") * 10 + F.col("c")).alias("ord"),
+    )
+
+
+def _flat(s: DataFrame) -> DataFrame:
+    return s.select("name", "status", "network", F.array_join(F.array_sort("lines"), ",").alias("lines"), F.array_join(F.array_sort("planned"), ",").alias("planned"), "ord")
+
+
+@register()
+def station_merge(spark, d):
+    return _flat(stations.merged(_records(spark, d)))
+
+
+@register()
+def station_reconcile(spark, d):
+    return _flat(stations.reconciled(stations.merged(_records(spark, d))))
+
+
+@register()
+def simplify_rings(spark, d):
+    return geo.simplified(_zones(spark), 8.0).select("zone", geo.vertex_count(F.col("geometry")).alias("n_vertices"))
+
+
+@register("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'metro' WHEN 2 THEN 'tram' ELSE 'metro' END AS kind, CASE s_suppkey % 4 WHEN 0 THEN 2 ELSE 1 END AS rank FROM supplier")
+def station_kind(spark, d):
+    k = F.col("s_suppkey") % 4
+    network = F.when(k == 0, "RER A").when(k == 1, "Métro").when(k == 2, "Tramway")
+    type_ = F.when(k == 3, "light_rail").otherwise("station")
+    return standin.table(spark, d, "supplier").select("s_suppkey", stations.kind(network, type_).alias("kind"), stations.rank(network, type_).alias("rank"))
