@@ -189,5 +189,5 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """`docs` without those that overlap with an item."""
-    leaks = overlaps(docs, benchmark, **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    leaks = overlaps(docs, benchmark, **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("__arpent_leak")).distinct()
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__arpent_leak")), "left_anti")

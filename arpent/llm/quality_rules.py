@@ -220,5 +220,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     The base rule is left out here: labelled good texts may be short, and the list learns what
     repetition the labels reject.
     """
-    keep = judge(docs, labels, base=False, **options).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    keep = judge(docs, labels, base=False, **options).where("kept").select(F.col("doc_id").alias("__arpent_keep")).distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__arpent_keep")), "left_semi")

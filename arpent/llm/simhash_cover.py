@@ -240,6 +240,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents with the smallest id of their component, with their own columns; repeated rows once."""
     found = near_duplicates(docs, **options)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__arpent_keep")).distinct()
+    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__arpent_keep")), "left_semi")
     return kept.dropDuplicates(["doc_id"])
