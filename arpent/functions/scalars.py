@@ -116,7 +116,7 @@ def whole_and_hundredths(x: Column) -> tuple[Column, Column]:
 
 def tile_x(lon: Column, zoom: int) -> Column:
     side = float(2**zoom)
-    return F.greatest(F.least(F.floor((lon + 180.0) / 360.0 * side), F.lit(int(side) - 1)), F.lit(0)).cast("long")
+    return F.when(lon.isNotNull(), F.greatest(F.least(F.floor((lon + 180.0) / 360.0 * side), F.lit(int(side) - 1)), F.lit(0)).cast("long"))
 
 
 def tile_y(lat: Column, zoom: int) -> Column:
@@ -124,7 +124,7 @@ def tile_y(lat: Column, zoom: int) -> Column:
     side = float(2**zoom)
     phi = F.radians(F.greatest(F.least(lat, F.lit(85.05112878)), F.lit(-85.05112878)))
     y = F.floor((1.0 - F.asinh(F.tan(phi)) / F.pi()) / 2.0 * side)
-    return F.greatest(F.least(y, F.lit(int(side) - 1)), F.lit(0)).cast("long")
+    return F.when(lat.isNotNull(), F.greatest(F.least(y, F.lit(int(side) - 1)), F.lit(0)).cast("long"))
 
 
 def planar_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column, metres: float = METRES_STATION) -> Column:
@@ -134,7 +134,7 @@ def planar_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column, metr
 
 
 def walk_minutes(metres: Column) -> Column:
-    return F.greatest(F.lit(1), F.ceil(metres / 64.0)).cast("long")
+    return F.when(metres.isNotNull(), F.greatest(F.lit(1), F.ceil(metres / 64.0)).cast("long"))
 
 
 def colour(position: Column, palette: Sequence[str]) -> Column:
@@ -149,4 +149,5 @@ def colour(position: Column, palette: Sequence[str]) -> Column:
         channel = F.array(*(F.lit(int(c[k : k + 2], 16)) for c in palette))
         a, b = F.get(channel, low), F.get(channel, high)
         hexes.append(F.lpad(F.lower(F.hex(F.rint(a + (b - a) * part).cast("long"))), 2, "0"))
-    return F.coalesce(F.concat(F.lit("#"), *hexes), F.lit(GREY))
+    # greatest and least skip nulls, so a missing position is told apart here
+    return F.when(position.isNotNull(), F.concat(F.lit("#"), *hexes)).otherwise(F.lit(GREY))
