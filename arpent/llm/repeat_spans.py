@@ -127,6 +127,21 @@ class _Rolling:
         return self.level[size]
 
 
+def _minima(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The K-byte hashes of a buffer, and for each window where its smallest one is."""
+    full = _Rolling(raw, 7).of(K)
+    width = length - K + 1
+    n = len(full)
+    value = (full & np.uint64(0xFFFFFFFFFFF00000)) | np.arange(n, dtype=np.uint64)
+    padded = np.full(-(-n // width) * width, np.uint64(0xFFFFFFFFFFFFFFFF))
+    padded[:n] = value
+    blocks = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    windows = n - width + 1
+    return full, (np.minimum(back[:windows], ahead[width - 1 : width - 1 + windows]) & np.uint64(0xFFFFF)).astype(np.int64)
+
+
 def anchors_of(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first window, last window) of each anchor; each window of the text has one."""
     parts = []
@@ -134,17 +149,7 @@ def anchors_of(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.nda
         raw = np.frombuffer(text[begin : begin + _SEGMENT - 1], dtype=np.uint8)
         if len(raw) < length:
             break
-        full = _Rolling(raw, 7).of(K)
-        width = length - K + 1
-        n = len(full)
-        value = (full & np.uint64(0xFFFFFFFFFFF00000)) | np.arange(n, dtype=np.uint64)
-        padded = np.full(-(-n // width) * width, np.uint64(0xFFFFFFFFFFFFFFFF))
-        padded[:n] = value
-        blocks = padded.reshape(-1, width)
-        ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-        back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        windows = n - width + 1
-        at = (np.minimum(back[:windows], ahead[width - 1 : width - 1 + windows]) & np.uint64(0xFFFFF)).astype(np.int64)
+        full, at = _minima(raw, length)
         last_segment = begin + len(raw) >= len(text)
         if not last_segment:
             at = at[: _SEGMENT - length]
@@ -159,6 +164,42 @@ def anchors_of(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def anchors_of_many(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, first window, last window) of each anchor; short texts share one pass."""
+    parts, group, size = [], [], 0
+
+    def solve(group: list[int]) -> None:
+        raw = np.frombuffer(b"".join(texts[k] for k in group), dtype=np.uint8)
+        sizes = np.array([len(texts[k]) for k in group])
+        begin, count = np.cumsum(sizes) - sizes, sizes - length + 1
+        full, at = _minima(raw, length)
+        row = np.repeat(np.arange(len(group)), count)
+        inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        at = at[begin[row] + inner]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        last = np.append(first[1:], len(at)) - 1
+        parts.append((np.array(group)[row[first]], full[at[first]], inner[first], inner[last]))
+
+    for k, text in enumerate(texts):
+        if len(text) < length:
+            continue
+        if len(text) > _SEGMENT // 4:
+            found = anchors_of(text, length)
+            parts.append((np.full(len(found[0]), k), *found))
+            continue
+        if size + len(text) > _SEGMENT // 4:
+            solve(group)
+            group, size = [], 0
+        group.append(k)
+        size += len(text)
+    if group:
+        solve(group)
+    if not parts:
+        none = np.empty(0, dtype=np.int64)
+        return none, none.astype(np.uint64), none, none
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def _runs(mark: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last index of each run of marks with one owner."""
     edge = np.flatnonzero(mark)
@@ -172,6 +213,9 @@ def _windows(context: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray,
     """(row, offset, hash, second hash) of every window inside the contexts."""
     raw = np.frombuffer(b"".join(context), dtype=np.uint8)
     size = np.fromiter(map(len, context), dtype=np.int64, count=len(context))
+    if not len(size):
+        none = np.empty(0, dtype=np.int64)
+        return none, none, none.astype(np.uint64), none.astype(np.uint64)
     begin = np.cumsum(size) - size
     count = size - length + 1
     row = np.repeat(np.arange(len(context)), count)
@@ -186,11 +230,25 @@ def _classed(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
     names = ["tid", "key", "start", "end"]
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        row, offset, h1, h2 = _windows(table["context"].to_pylist(), length)
         start = table["start"].to_numpy()
+        first_doc = table["first_doc"].fill_null((1 << 63) - 1).to_numpy()
+        coded = table["context"].combine_chunks().dictionary_encode()
+        code, size = coded.indices.to_numpy(), np.fromiter(map(len, coded.dictionary.to_pylist()), dtype=np.int64, count=len(coded.dictionary))
+        order = np.lexsort((start, first_doc, code))
+        head = order[np.diff(code[order], prepend=-1) != 0]  # the first of each context, in the order of codes
+        whole = np.ones(len(code), dtype=bool)
+        whole[head] = False
+        if not keep_first:
+            whole[head] = np.bincount(code, minlength=len(head)) > 1
+        # equal contexts have equal windows; only anchors with several contexts need a look inside
+        anchor = table["anchor"].to_numpy()[head]
+        _, group, kinds = np.unique(anchor, return_inverse=True, return_counts=True)
+        several = np.flatnonzero(kinds[group] > 1)
+        context = coded.dictionary.take(pa.array(several)).to_pylist()
+        inside = head[several]
+        row, offset, h1, h2 = _windows(context, length)
         if keep_first:
-            first_doc = table["first_doc"].fill_null((1 << 63) - 1).to_numpy()
-            order = np.lexsort((start[row] + offset, first_doc[row], h2, h1))
+            order = np.lexsort((start[inside][row] + offset, first_doc[inside][row], h2, h1))
         else:
             order = np.argsort(h1, kind="stable")
         same = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
@@ -198,10 +256,14 @@ def _classed(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
         mark[order[1:]] = same  # an earlier suffix of the class stands before it
         if not keep_first:
             mark[order[:-1]] |= same
+        mark &= ~whole[inside][row]
         a, b = _runs(mark, row)
-        own = row[a]
-        take = table.take(pa.array(own))
-        arrays = [take["tid"], take["key"], pa.array(start[own] + offset[a]), pa.array(start[own] + offset[b] + length)]
+        full = np.flatnonzero(whole)
+        own = np.concatenate((full, inside[row[a]]))
+        begin = start[own] + np.concatenate((np.zeros(len(full), dtype=np.int64), offset[a]))
+        end = start[own] + np.concatenate((size[code[full]], offset[b] + length))
+        take = table.select(["tid", "key"]).take(pa.array(own)).combine_chunks()
+        arrays = [take["tid"], take["key"], pa.array(begin), pa.array(end)]
         return pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in arrays], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,23 +291,48 @@ def _classed(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, schema)
 
 
+def _joined(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, label: str) -> DataFrame:
+    """Inner join of rows with `groups`, one for each of their keys; column n is the size of a group.
+
+    Groups above a two-thousandth of the rows are fewer than 2,000, so they are broadcast and their
+    rows never travel by key; all others are too small to make a task large.
+    """
+    large = groups.where(F.col("n") > total // 2000)
+    small = groups.where(F.col("n") <= total // 2000)
+    heavy = rows.join(F.broadcast(large), keys)
+    light = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(small, keys)
+    return heavy.unionByName(light)
+
+
 def _counted(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """The same for hot anchors: windows are counted by hash instead of gathered."""
+    """The same for hot anchors: windows are counted by hash instead of gathered.
+
+    Equal contexts are counted first; only one of each, the earliest, is taken apart into windows.
+    """
+    place = F.struct(F.coalesce("first_doc", F.lit((1 << 63) - 1)).alias("d"), F.col("tid").alias("t"), F.col("start").alias("s"))
+    rows = materialise(rows.withColumn("digest", F.unhex(F.md5("context"))), "hot")
+    total = rows.count()
+    same = materialise(rows.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(place).alias("least")), "contexts")
+    first = (F.coalesce("first_doc", F.lit((1 << 63) - 1)) == F.col("least.d")) & (F.col("tid") == F.col("least.t")) & (F.col("start") == F.col("least.s"))
+    both = _joined(rows, same, ["anchor", "digest"], total, "contexts").withColumn("is_first", first)
+    both = materialise(both.select("tid", "key", "first_doc", "start", "is_first", "n", F.length("context").cast("long").alias("size"), F.when(first, F.col("context")).alias("context")), "marked")
+    whole = both.where(~F.col("is_first") if keep_first else F.col("n") > 1).select("tid", "key", "start", (F.col("start") + F.col("size")).alias("end"))
 
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, offset, h1, h2 = _windows(batch.column("context").to_pylist(), length)
         take = pa.Table.from_batches([batch]).take(pa.array(row)).combine_chunks()
         start = take["start"].to_numpy() + offset
-        arrays = [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *(take[c].combine_chunks() for c in ("tid", "key", "first_doc")), pa.array(start)]
-        return pa.RecordBatch.from_arrays(arrays, ["h1", "h2", "tid", "key", "first_doc", "start"])
+        arrays = [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *(take[c].combine_chunks() for c in ("tid", "first_doc")), pa.array(start)]
+        return pa.RecordBatch.from_arrays(arrays, ["h1", "h2", "tid", "first_doc", "start"])
 
-    every = map_columns(rows, spread, "h1 long, h2 long, tid long, key binary, first_doc long, start long", rows=512)
-    place = F.struct(F.coalesce("first_doc", F.lit((1 << 63) - 1)).alias("d"), F.col("tid").alias("t"), F.col("start").alias("s"))
-    often = materialise(every.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("least")).where("n > 1").select("h1", "h2", "least"), "windows")
-    found = every.join(often, ["h1", "h2"])
+    heads = both.where("is_first").select("tid", "first_doc", "start", "context")
+    every = map_columns(heads, spread, "h1 long, h2 long, tid long, first_doc long, start long", rows=512)
+    often = materialise(every.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("least")).where("n > 1"), "windows")
+    found = _joined(every, often, ["h1", "h2"], max(total, 2000) * length // 4, "windows")
     if keep_first:
         found = found.where(place != F.col("least"))
-    return found.select("tid", "key", "start", (F.col("start") + length).alias("end"))
+    keys = both.where("is_first").select("tid", "key").distinct()
+    return whole.unionByName(found.select("tid", "start", (F.col("start") + length).alias("end")).join(keys, "tid").select("tid", "key", "start", "end"))
 
 
 def _distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -270,50 +357,57 @@ def spans_of_texts(texts: DataFrame, length: int, keep_first: bool, hot: int) ->
     """(tid, key, spans): repeated windows between and inside distinct texts, unmerged."""
 
     def find(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tid, parts = batch.column(0).to_numpy(), []
-        for t, text in zip(tid, batch.column(1).to_pylist()):
-            h, a, b = anchors_of(text, length)
-            parts.append((h.view(np.int64), np.full(len(h), t), a, b))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts)], ["anchor", "tid", "a", "b"])
+        own, h, a, b = anchors_of_many(batch.column(1).to_pylist(), length)
+        tid = batch.column(0).to_numpy()[own]
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (h.view(np.int64), tid, a, b)], ["anchor", "tid", "a", "b"])
 
     found = materialise(map_columns(texts.select("tid", "text"), find, "anchor long, tid long, a long, b long"), "anchors")
-    often = materialise(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > hot).alias("hot")), "often")
+    total = found.count()
+    often = materialise(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "n", (F.col("n") > hot).alias("hot")), "often")
     place = F.struct("a", "b", "anchor", "hot")
-    places = found.join(often, "anchor").groupBy("tid").agg(F.collect_list(place).alias("places"))
+    places = _joined(found, often, ["anchor"], total, "often").groupBy("tid").agg(F.collect_list(place).alias("places"))
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "hot", "tid", "key", "first_doc", "start", "context"]
         for whole in batches:
             for begin in range(0, whole.num_rows, 64):
                 batch = whole.slice(begin, 64)
-                out: list[tuple] = []
-                for tid, key, first, text, at in zip(*(c.to_pylist() for c in batch.columns)):
-                    out += [(p["anchor"], p["hot"], tid, key, first, p["a"], text[p["a"] : p["b"] + length]) for p in at if p["b"] + length <= len(text)]
-                if out:
-                    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+                listed = batch.column(4)
+                at, row = listed.flatten(), np.repeat(np.arange(batch.num_rows), listed.value_lengths().to_numpy())
+                a, b = (at.field(c).to_numpy() for c in ("a", "b"))
+                texts = batch.column(3).to_pylist()
+                size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+                fits = np.flatnonzero(b + length <= size[row])  # another text may have the same tid
+                if not len(fits):
+                    continue
+                row, a, b, at = row[fits], a[fits], b[fits] + length, at.take(pa.array(fits))
+                context = [texts[k][i:j] for k, i, j in zip(row.tolist(), a.tolist(), b.tolist())]
+                own = [batch.column(k).take(pa.array(row)) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([at.field("anchor"), at.field("hot"), *own, pa.array(a), pa.array(context, pa.binary())], names)
 
     around = texts.select("tid", "key", "first_doc", "text").join(places, "tid").select("tid", "key", "first_doc", "text", "places")
     schema = "anchor long, hot boolean, tid long, key binary, first_doc long, start long, context binary"
     contexts = around.mapInArrow(surround, schema)
     usual = _classed(contexts.where("NOT hot").drop("hot"), length, keep_first)
     if often.where("hot").limit(1).count():
-        usual = usual.unionByName(_counted(materialise(contexts.where("hot").drop("hot"), "hot"), length, keep_first))
+        usual = usual.unionByName(_counted(contexts.where("hot").drop("hot"), length, keep_first))
     return usual.groupBy("tid", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs; spans that touch are one run."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def merged_of_many(own: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, start, end) of maximal runs; spans of one owner that touch are one run."""
+    order = np.lexsort((start, own))
+    own, start, end = own[order], start[order], end[order]
+    far = np.int64(1 << 40)
+    reach = np.maximum.accumulate(end + own * far)
+    fresh = np.ones(len(own), dtype=bool)
+    fresh[1:] = start[1:] + own[1:] * far > reach[:-1]
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(own))[: len(first)] - 1
+    return own[first], start[first], reach[last] - own[first] * far
 
 
-def solved_texts(docs: DataFrame, length: int = 200, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", hot: int = 256, with_text: bool = False) -> DataFrame:
+def solved_texts(docs: DataFrame, length: int = 200, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", hot: int = 1024, with_text: bool = False) -> DataFrame:
     """For each distinct text: key, first_doc, sizes, spans and the digest (and bytes) of what is kept."""
     if keep not in ("none", "first"):
         raise ValueError(keep)
@@ -324,8 +418,14 @@ def solved_texts(docs: DataFrame, length: int = 200, keep: str = "none", id_col:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for key, first, text, copies, found in zip(*(c.to_pylist() for c in batch.columns)):
-            runs = merged([(s["start"], s["end"]) for s in found or []])
+        listed = batch.column(4)
+        sizes = listed.value_lengths().fill_null(0).to_numpy()
+        at = listed.flatten()
+        own, begin, end = merged_of_many(np.repeat(np.arange(len(sizes)), sizes), at.field("start").to_numpy(), at.field("end").to_numpy())
+        cut = np.searchsorted(own, np.arange(len(sizes) + 1)).tolist()
+        begin, end = begin.tolist(), end.tolist()
+        for k, (key, first, text, copies) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]))):
+            runs = list(zip(begin[cut[k] : cut[k + 1]], end[cut[k] : cut[k + 1]]))
             if copies > 1 and not keep_first and len(text) >= length:
                 runs = [(0, len(text))]
             at, parts = 0, []
@@ -342,7 +442,7 @@ def solved_texts(docs: DataFrame, length: int = 200, keep: str = "none", id_col:
     return map_columns(both.select("key", "first_doc", "text", "copies", "spans"), run, schema)
 
 
-def report(docs: DataFrame, length: int = 200, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", hot: int = 256) -> DataFrame:
+def report(docs: DataFrame, length: int = 200, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", hot: int = 1024) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of `docs`."""
     solved = materialise(solved_texts(docs, length, keep, id_col, text_col, hot), "solved")
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(utf8(text_col), F.lit(b"")).alias("text")).select("doc_id", *_identity("text"))
