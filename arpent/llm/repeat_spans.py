@@ -14,8 +14,8 @@ Flow, all of it exact and without suffixes of whole corpora in one place:
    have equal anchors, and anchors are about 2 in L - K + 2 positions. Anchors seen once can't
    belong to a repeated window; they are counted away.
 3. The bytes around the other anchors go to their anchor's partition, where windows are classed. An
-   anchor with more than `hot` occurrences is not gathered: its windows are counted by a 128-bit
-   hash instead, with partial sums, and joined back.
+   anchor with more than `hot` occurrences is not gathered: equal surroundings are counted by a
+   128-bit hash with partial sums, and only if over `hot` different ones are left, so are windows.
 4. Spans return to their text. Texts are written once, bucketed by id, and not shuffled again.
 
 `keep="first"` keeps the first occurrence (by smallest document id, then position), as the factors
@@ -291,7 +291,7 @@ def _classed(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, schema)
 
 
-def _joined(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, label: str) -> DataFrame:
+def _joined(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
     """Inner join of rows with `groups`, one for each of their keys; column n is the size of a group.
 
     Groups above a two-thousandth of the rows are fewer than 2,000, so they are broadcast and their
@@ -304,35 +304,42 @@ def _joined(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, lab
     return heavy.unionByName(light)
 
 
-def _counted(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """The same for hot anchors: windows are counted by hash instead of gathered.
+def _counted(rows: DataFrame, length: int, keep_first: bool, hot: int) -> DataFrame:
+    """The same for hot anchors, whose occurrences are never gathered.
 
-    Equal contexts are counted first; only one of each, the earliest, is taken apart into windows.
+    Equal contexts are counted first; only one of each, the earliest, goes on. An anchor with at
+    most `hot` different contexts is classed as usual; those of others are taken apart into windows,
+    which are counted by hash.
     """
     place = F.struct(F.coalesce("first_doc", F.lit((1 << 63) - 1)).alias("d"), F.col("tid").alias("t"), F.col("start").alias("s"))
     rows = materialise(rows.withColumn("digest", F.unhex(F.md5("context"))), "hot")
     total = rows.count()
     same = materialise(rows.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(place).alias("least")), "contexts")
     first = (F.coalesce("first_doc", F.lit((1 << 63) - 1)) == F.col("least.d")) & (F.col("tid") == F.col("least.t")) & (F.col("start") == F.col("least.s"))
-    both = _joined(rows, same, ["anchor", "digest"], total, "contexts").withColumn("is_first", first)
-    both = materialise(both.select("tid", "key", "first_doc", "start", "is_first", "n", F.length("context").cast("long").alias("size"), F.when(first, F.col("context")).alias("context")), "marked")
+    both = _joined(rows, same, ["anchor", "digest"], total).withColumn("is_first", first)
+    both = materialise(both.select("anchor", "tid", "key", "first_doc", "start", "is_first", "n", F.length("context").cast("long").alias("size"), F.when(first, F.col("context")).alias("context")), "marked")
     whole = both.where(~F.col("is_first") if keep_first else F.col("n") > 1).select("tid", "key", "start", (F.col("start") + F.col("size")).alias("end"))
 
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, offset, h1, h2 = _windows(batch.column("context").to_pylist(), length)
         take = pa.Table.from_batches([batch]).take(pa.array(row)).combine_chunks()
         start = take["start"].to_numpy() + offset
-        arrays = [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *(take[c].combine_chunks() for c in ("tid", "first_doc")), pa.array(start)]
-        return pa.RecordBatch.from_arrays(arrays, ["h1", "h2", "tid", "first_doc", "start"])
-
-    heads = both.where("is_first").select("tid", "first_doc", "start", "context")
-    every = map_columns(heads, spread, "h1 long, h2 long, tid long, first_doc long, start long", rows=512)
+        arrays = [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *(take[c].combine_chunks() for c in ("tid", "key", "first_doc")), pa.array(start)]
+        return pa.RecordBatch.from_arrays(arrays, ["h1", "h2", "tid", "key", "first_doc", "start"])
+
+    heads = both.where("is_first").select("anchor", "tid", "key", "first_doc", "start", "context")
+    kinds = materialise(both.where("is_first").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "kinds")
+    heads = materialise(_joined(heads, kinds, ["anchor"], total), "heads")
+    few = _classed(heads.where(F.col("n") <= hot).drop("n"), length, keep_first)
+    many = heads.where(F.col("n") > hot)
+    if not many.limit(1).count():
+        return whole.unionByName(few)
+    every = materialise(map_columns(many.select("tid", "key", "first_doc", "start", "context"), spread, "h1 long, h2 long, tid long, key binary, first_doc long, start long", rows=512), "every")
     often = materialise(every.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("least")).where("n > 1"), "windows")
-    found = _joined(every, often, ["h1", "h2"], max(total, 2000) * length // 4, "windows")
+    found = _joined(every, often, ["h1", "h2"], every.count())
     if keep_first:
         found = found.where(place != F.col("least"))
-    keys = both.where("is_first").select("tid", "key").distinct()
-    return whole.unionByName(found.select("tid", "start", (F.col("start") + length).alias("end")).join(keys, "tid").select("tid", "key", "start", "end"))
+    return whole.unionByName(few).unionByName(found.select("tid", "key", "start", (F.col("start") + length).alias("end")))
 
 
 def _distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -365,7 +372,7 @@ def spans_of_texts(texts: DataFrame, length: int, keep_first: bool, hot: int) ->
     total = found.count()
     often = materialise(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "n", (F.col("n") > hot).alias("hot")), "often")
     place = F.struct("a", "b", "anchor", "hot")
-    places = _joined(found, often, ["anchor"], total, "often").groupBy("tid").agg(F.collect_list(place).alias("places"))
+    places = _joined(found, often, ["anchor"], total).groupBy("tid").agg(F.collect_list(place).alias("places"))
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "hot", "tid", "key", "first_doc", "start", "context"]
@@ -390,7 +397,7 @@ def spans_of_texts(texts: DataFrame, length: int, keep_first: bool, hot: int) ->
     contexts = around.mapInArrow(surround, schema)
     usual = _classed(contexts.where("NOT hot").drop("hot"), length, keep_first)
     if often.where("hot").limit(1).count():
-        usual = usual.unionByName(_counted(contexts.where("hot").drop("hot"), length, keep_first))
+        usual = usual.unionByName(_counted(contexts.where("hot").drop("hot"), length, keep_first, hot))
     return usual.groupBy("tid", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 

@@ -200,7 +200,7 @@ def _brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [256, 2])
+@pytest.mark.parametrize("hot", [256, 2, 1])
 def test_repeats_against_brute_force(spark, hot):
     texts = [r["text"] for r in table(spark, SF, "documents").orderBy("doc_id").limit(60).collect()] + ["a" * 700, "ab" * 150 + "q" * 9 + "ab" * 120, None, ""]
     got = {r[0]: tuple(r)[1:] for r in repeat_spans.report(documents(spark, texts), hot=hot).collect()}
