@@ -13,9 +13,10 @@ Flow, all of it exact and without suffixes of whole corpora in one place:
 2. Each window of L bytes has one anchor, its smallest K-byte hash, leftmost on ties. Equal windows
    have equal anchors, and anchors are about 2 in L - K + 2 positions. Anchors seen once can't
    belong to a repeated window; they are counted away.
-3. The bytes around the other anchors go to their anchor's partition, where windows are classed. An
-   anchor with more than `hot` occurrences is not gathered: equal surroundings are counted by a
-   128-bit hash with partial sums, and only if over `hot` different ones are left, so are windows.
+3. The bytes around the other anchors go to their anchor's partition, where windows are classed. The
+   occurrences of an anchor are dealt to blocks of about `hot`. A block settles what repeats inside
+   it; each of its classes then sends one row, keyed by two 64-bit hashes of the window, to meet
+   those of the other blocks. So a common window costs a row for each block, not for each text.
 4. Spans return to their text. Texts are written once, bucketed by id, and not shuffled again.
 
 `keep="first"` keeps the first occurrence (by smallest document id, then position), as the factors
@@ -225,13 +226,19 @@ def _windows(context: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _classed(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """Spans (tid, key, start, end) from contexts that are sorted by anchor."""
-    schema = "tid long, key binary, start long, end long"
-    names = ["tid", "key", "start", "end"]
+    """Spans of contexts that are classed with others of their (anchor, block), and windows that other
+    blocks must see.
+
+    A window row (h1, h2) stands for a class of a block. Its key is set only if its place is repeated
+    as soon as another block has the class; a row without key is a witness.
+    """
+    schema = "tid long, key binary, first_doc long, start long, end long, h1 long, h2 long"
+    names = ["tid", "key", "first_doc", "start", "end", "h1", "h2"]
 
     def solve(table: pa.Table) -> pa.RecordBatch:
         start = table["start"].to_numpy()
         first_doc = table["first_doc"].fill_null((1 << 63) - 1).to_numpy()
+        shared = table["blocks"].to_numpy() > 1
         coded = table["context"].combine_chunks().dictionary_encode()
         code, size = coded.indices.to_numpy(), np.fromiter(map(len, coded.dictionary.to_pylist()), dtype=np.int64, count=len(coded.dictionary))
         order = np.lexsort((start, first_doc, code))
@@ -240,10 +247,10 @@ def _classed(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
         whole[head] = False
         if not keep_first:
             whole[head] = np.bincount(code, minlength=len(head)) > 1
-        # equal contexts have equal windows; only anchors with several contexts need a look inside
+        # equal contexts have equal windows; only anchors with several contexts or blocks need a look inside
         anchor = table["anchor"].to_numpy()[head]
         _, group, kinds = np.unique(anchor, return_inverse=True, return_counts=True)
-        several = np.flatnonzero(kinds[group] > 1)
+        several = np.flatnonzero((kinds[group] > 1) | shared[head])
         context = coded.dictionary.take(pa.array(several)).to_pylist()
         inside = head[several]
         row, offset, h1, h2 = _windows(context, length)
@@ -262,8 +269,21 @@ def _classed(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
         own = np.concatenate((full, inside[row[a]]))
         begin = start[own] + np.concatenate((np.zeros(len(full), dtype=np.int64), offset[a]))
         end = start[own] + np.concatenate((size[code[full]], offset[b] + length))
-        take = table.select(["tid", "key"]).take(pa.array(own)).combine_chunks()
-        arrays = [take["tid"], take["key"], pa.array(begin), pa.array(end)]
+        # one window of each class whose anchor has other blocks
+        first = order[np.concatenate((np.ones(min(len(order), 1), dtype=bool), ~same))]
+        first = first[shared[inside[row[first]]]]
+        place = inside[row[first]]
+        unsettled = ~mark[first] & ~whole[place]
+        owner = np.concatenate((own, place))
+        needed = np.concatenate((np.ones(len(own), dtype=bool), unsettled))
+        at = pa.array(owner, mask=~needed)
+        take = table.select(["tid", "key"]).take(at).combine_chunks()
+        begin = np.concatenate((begin, start[place] + offset[first]))
+        end = np.concatenate((end, start[place] + offset[first] + length))
+        none = np.concatenate((np.ones(len(own), dtype=bool), np.zeros(len(first), dtype=bool)))
+        hashes = [pa.array(np.concatenate((np.zeros(len(own), dtype=np.int64), h[first].view(np.int64))), mask=none) for h in (h1, h2)]
+        order_doc = pa.array(first_doc[owner], mask=none | (not keep_first))
+        arrays = [take["tid"], take["key"], order_doc, pa.array(begin, mask=~needed), pa.array(end, mask=~needed), *hashes]
         return pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in arrays], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,9 +293,10 @@ def _classed(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
             for begin in range(0, whole.num_rows, 2048):
                 batch = whole.slice(begin, 2048)
                 anchor = batch.column(0).to_numpy()
-                cut = np.flatnonzero(np.diff(anchor)) + 1
-                fresh = held and held[-1].column(0)[-1].as_py() != anchor[0]
-                # all before the last anchor of this batch is complete
+                block = batch.column(1).to_numpy()
+                cut = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(block) != 0)) + 1
+                fresh = held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (anchor[0], block[0])
+                # all before the last group of this batch is complete
                 done = int(cut[-1]) if len(cut) else (0 if fresh else None)
                 if done is not None and waiting + done >= 2048:
                     if done:
@@ -288,7 +309,38 @@ def _classed(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, schema)
+    return rows.repartition("anchor", "block").sortWithinPartitions("anchor", "block").mapInArrow(run, schema)
+
+
+def _between_blocks(windows: DataFrame, keep_first: bool) -> DataFrame:
+    """Spans (tid, key, start, end) of window rows whose class another block has too.
+
+    A class has at most one row for each block, and is only streamed over.
+    """
+    names = ["tid", "key", "start", "end"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, matched = None, False  # the last row, and whether the one before it has the same class
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            h1, h2 = table["h1"].to_numpy(), table["h2"].to_numpy()
+            same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+            before = np.concatenate(([matched], same))
+            found = before.copy()
+            if not keep_first:
+                found[:-1] |= same
+            found[-1] = False
+            found &= table["key"].is_valid().to_numpy()
+            if found.any():
+                yield from table.select(names).filter(pa.array(found)).to_batches()
+            held, matched = table.slice(len(h1) - 1).to_batches()[0], bool(before[-1])
+        if matched and held.column("key")[0].is_valid:
+            yield held.select(names)
+
+    order = ["h1", "h2", *["first_doc", "start", "tid"] * keep_first]
+    return windows.repartition("h1", "h2").sortWithinPartitions(*order).mapInArrow(run, "tid long, key binary, start long, end long")
 
 
 def _joined(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
@@ -304,44 +356,6 @@ def _joined(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) ->
     return heavy.unionByName(light)
 
 
-def _counted(rows: DataFrame, length: int, keep_first: bool, hot: int) -> DataFrame:
-    """The same for hot anchors, whose occurrences are never gathered.
-
-    Equal contexts are counted first; only one of each, the earliest, goes on. An anchor with at
-    most `hot` different contexts is classed as usual; those of others are taken apart into windows,
-    which are counted by hash.
-    """
-    place = F.struct(F.coalesce("first_doc", F.lit((1 << 63) - 1)).alias("d"), F.col("tid").alias("t"), F.col("start").alias("s"))
-    rows = materialise(rows.withColumn("digest", F.unhex(F.md5("context"))), "hot")
-    total = rows.count()
-    same = materialise(rows.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(place).alias("least")), "contexts")
-    first = (F.coalesce("first_doc", F.lit((1 << 63) - 1)) == F.col("least.d")) & (F.col("tid") == F.col("least.t")) & (F.col("start") == F.col("least.s"))
-    both = _joined(rows, same, ["anchor", "digest"], total).withColumn("is_first", first)
-    both = materialise(both.select("anchor", "tid", "key", "first_doc", "start", "is_first", "n", F.length("context").cast("long").alias("size"), F.when(first, F.col("context")).alias("context")), "marked")
-    whole = both.where(~F.col("is_first") if keep_first else F.col("n") > 1).select("tid", "key", "start", (F.col("start") + F.col("size")).alias("end"))
-
-    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, offset, h1, h2 = _windows(batch.column("context").to_pylist(), length)
-        take = pa.Table.from_batches([batch]).take(pa.array(row)).combine_chunks()
-        start = take["start"].to_numpy() + offset
-        arrays = [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *(take[c].combine_chunks() for c in ("tid", "key", "first_doc")), pa.array(start)]
-        return pa.RecordBatch.from_arrays(arrays, ["h1", "h2", "tid", "key", "first_doc", "start"])
-
-    heads = both.where("is_first").select("anchor", "tid", "key", "first_doc", "start", "context")
-    kinds = materialise(both.where("is_first").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "kinds")
-    heads = materialise(_joined(heads, kinds, ["anchor"], total), "heads")
-    few = _classed(heads.where(F.col("n") <= hot).drop("n"), length, keep_first)
-    many = heads.where(F.col("n") > hot)
-    if not many.limit(1).count():
-        return whole.unionByName(few)
-    every = materialise(map_columns(many.select("tid", "key", "first_doc", "start", "context"), spread, "h1 long, h2 long, tid long, key binary, first_doc long, start long", rows=512), "every")
-    often = materialise(every.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("least")).where("n > 1"), "windows")
-    found = _joined(every, often, ["h1", "h2"], every.count())
-    if keep_first:
-        found = found.where(place != F.col("least"))
-    return whole.unionByName(few).unionByName(found.select("tid", "key", "start", (F.col("start") + length).alias("end")))
-
-
 def _distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(tid, key, text, copies, first_doc): each text once, bucketed by tid in the shared folder."""
     spark = docs.sparkSession
@@ -370,12 +384,13 @@ def spans_of_texts(texts: DataFrame, length: int, keep_first: bool, hot: int) ->
 
     found = materialise(map_columns(texts.select("tid", "text"), find, "anchor long, tid long, a long, b long"), "anchors")
     total = found.count()
-    often = materialise(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "n", (F.col("n") > hot).alias("hot")), "often")
-    place = F.struct("a", "b", "anchor", "hot")
+    often = materialise(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "n", F.ceil(F.col("n") / hot).alias("blocks")), "often")
+    block = F.pmod(F.xxhash64("tid", "a"), "blocks")
+    place = F.struct("a", "b", "anchor", block.alias("block"), "blocks")
     places = _joined(found, often, ["anchor"], total).groupBy("tid").agg(F.collect_list(place).alias("places"))
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "hot", "tid", "key", "first_doc", "start", "context"]
+        names = ["anchor", "block", "blocks", "tid", "key", "first_doc", "start", "context"]
         for whole in batches:
             for begin in range(0, whole.num_rows, 64):
                 batch = whole.slice(begin, 64)
@@ -390,15 +405,14 @@ def spans_of_texts(texts: DataFrame, length: int, keep_first: bool, hot: int) ->
                 row, a, b, at = row[fits], a[fits], b[fits] + length, at.take(pa.array(fits))
                 context = [texts[k][i:j] for k, i, j in zip(row.tolist(), a.tolist(), b.tolist())]
                 own = [batch.column(k).take(pa.array(row)) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([at.field("anchor"), at.field("hot"), *own, pa.array(a), pa.array(context, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([at.field("anchor"), at.field("block"), at.field("blocks"), *own, pa.array(a), pa.array(context, pa.binary())], names)
 
     around = texts.select("tid", "key", "first_doc", "text").join(places, "tid").select("tid", "key", "first_doc", "text", "places")
-    schema = "anchor long, hot boolean, tid long, key binary, first_doc long, start long, context binary"
-    contexts = around.mapInArrow(surround, schema)
-    usual = _classed(contexts.where("NOT hot").drop("hot"), length, keep_first)
-    if often.where("hot").limit(1).count():
-        usual = usual.unionByName(_counted(contexts.where("hot").drop("hot"), length, keep_first, hot))
-    return usual.groupBy("tid", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    schema = "anchor long, block long, blocks long, tid long, key binary, first_doc long, start long, context binary"
+    classed = materialise(_classed(around.mapInArrow(surround, schema), length, keep_first), "classed")
+    inside = classed.where("h1 IS NULL").select("tid", "key", "start", "end")
+    every = inside.unionByName(_between_blocks(classed.where("h1 IS NOT NULL"), keep_first))
+    return every.groupBy("tid", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def merged_of_many(own: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -208,7 +208,8 @@ def test_repeats_against_brute_force(spark, hot):
         assert got[k] == want, k
 
 
-def test_keeping_the_first_repeat(spark):
+@pytest.mark.parametrize("hot, rows", [(1024, 10_000), (2, 10_000), (1, 3)])
+def test_keeping_the_first_repeat(spark, hot, rows):
     rng = random.Random(1)
     noise = lambda n: "".join(rng.choices("abcdefghij", k=n))
     passage = noise(300)
@@ -222,7 +223,11 @@ def test_keeping_the_first_repeat(spark):
             seen.add(t[i : i + 200])
         want[k] = len(gone)
     assert want[0] == 0 and want[3] == 300
-    got = {r["doc_id"]: r["n_removed"] for r in repeat_spans.report(documents(spark, texts), keep="first").collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)  # classes go across batches too
+    try:
+        got = {r["doc_id"]: r["n_removed"] for r in repeat_spans.report(documents(spark, texts), keep="first", hot=hot).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == want
 
 
