@@ -357,7 +357,10 @@ def _joined(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) ->
 
 
 def _distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(tid, key, text, copies, first_doc): each text once, bucketed by tid in the shared folder."""
+    """(tid, key, text, copies, first_doc): each text once, bucketed in the shared folder.
+
+    The buckets are the partitions of the grouping, so a task writes the files of its own only.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(utf8(text_col), F.lit(b"")).alias("text"), F.col(id_col).cast("long").alias("i"))
     rows = rows.select(*_identity("text"), "text", "i")
@@ -365,7 +368,7 @@ def _distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     name = f"arpent_texts_{uuid.uuid4().hex}"
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     writer = once.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
-    writer.bucketBy(buckets, "tid").sortBy("tid").saveAsTable(name)
+    writer.bucketBy(buckets, "tid", "key").sortBy("tid", "key").saveAsTable(name)
     return spark.table(name)
 
 
@@ -378,16 +381,16 @@ def spans_of_texts(texts: DataFrame, length: int, keep_first: bool, hot: int) ->
     """(tid, key, spans): repeated windows between and inside distinct texts, unmerged."""
 
     def find(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, h, a, b = anchors_of_many(batch.column(1).to_pylist(), length)
-        tid = batch.column(0).to_numpy()[own]
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (h.view(np.int64), tid, a, b)], ["anchor", "tid", "a", "b"])
+        own, h, a, b = anchors_of_many(batch.column(2).to_pylist(), length)
+        ids = [batch.column(k).take(pa.array(own)) for k in range(2)]
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *ids, pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], ["anchor", "tid", "key", "a", "b"])
 
-    found = materialise(map_columns(texts.select("tid", "text"), find, "anchor long, tid long, a long, b long"), "anchors")
+    found = materialise(map_columns(texts.select("tid", "key", "text"), find, "anchor long, tid long, key binary, a long, b long"), "anchors")
     total = found.count()
     often = materialise(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "n", F.ceil(F.col("n") / hot).alias("blocks")), "often")
     block = F.pmod(F.xxhash64("tid", "a"), "blocks")
     place = F.struct("a", "b", "anchor", block.alias("block"), "blocks")
-    places = _joined(found, often, ["anchor"], total).groupBy("tid").agg(F.collect_list(place).alias("places"))
+    places = _joined(found, often, ["anchor"], total).groupBy("tid", "key").agg(F.collect_list(place).alias("places"))
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "block", "blocks", "tid", "key", "first_doc", "start", "context"]
@@ -397,17 +400,12 @@ def spans_of_texts(texts: DataFrame, length: int, keep_first: bool, hot: int) ->
                 listed = batch.column(4)
                 at, row = listed.flatten(), np.repeat(np.arange(batch.num_rows), listed.value_lengths().to_numpy())
                 a, b = (at.field(c).to_numpy() for c in ("a", "b"))
-                texts = batch.column(3).to_pylist()
-                size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-                fits = np.flatnonzero(b + length <= size[row])  # another text may have the same tid
-                if not len(fits):
-                    continue
-                row, a, b, at = row[fits], a[fits], b[fits] + length, at.take(pa.array(fits))
+                texts, b = batch.column(3).to_pylist(), b + length
                 context = [texts[k][i:j] for k, i, j in zip(row.tolist(), a.tolist(), b.tolist())]
                 own = [batch.column(k).take(pa.array(row)) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([at.field("anchor"), at.field("block"), at.field("blocks"), *own, pa.array(a), pa.array(context, pa.binary())], names)
 
-    around = texts.select("tid", "key", "first_doc", "text").join(places, "tid").select("tid", "key", "first_doc", "text", "places")
+    around = texts.select("tid", "key", "first_doc", "text").join(places, ["tid", "key"]).select("tid", "key", "first_doc", "text", "places")
     schema = "anchor long, block long, blocks long, tid long, key binary, first_doc long, start long, context binary"
     classed = materialise(_classed(around.mapInArrow(surround, schema), length, keep_first), "classed")
     inside = classed.where("h1 IS NULL").select("tid", "key", "start", "end")
