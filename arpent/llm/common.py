@@ -48,6 +48,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return Stage(df, label).read()
 
 
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """(_id, _hash): rows are told apart by id and text, as ids may be null or repeated."""
+    return [F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), F.xxhash64(F.col(text_col)).alias("_hash")]
+
+
 def utf8(column: str | Column) -> Column:
     """UTF-8 bytes of a text, so that Python workers need not decode and encode again."""
     column = F.col(column) if isinstance(column, str) else column

@@ -4,12 +4,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from arpent.llm import byte_bpe, decontaminate, line_templates, quality_rules, simhash_cover
+from arpent.llm import byte_bpe, decontaminate, line_templates, near_jaccard, quality_rules
 from arpent.llm.common import materialise, table
 
-#: SimHash of 3-word shingles at 5 bits stands for a similarity of 0.8 of 5-word shingles; see README.
-RADIUS = 5
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
@@ -20,7 +17,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_cover.keep_one(docs, radius=RADIUS)
+    return near_jaccard.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +31,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality),
     ("line dedup", line_dedup),
-    ("SimHash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
     ("byte-level BPE", encoding),
 ]
