@@ -7,9 +7,10 @@ least `similarity` of its positions belongs to the seed's template, whose other
 variable; any other line is a template of its own. A template recurs if `min_docs` documents or
 more hold it (two lines of one document that differ before they are generalised count twice).
 
-Lines of recurring templates are dropped. A document most of whose characters recur is a copy of
-other documents rather than a page with boilerplate: it is left whole for the near-duplicate stage,
-which keeps one of each group. `protect` is that share; 1.01 switches the rule off.
+Lines of recurring templates are dropped. A document most of whose characters recur and whose masked
+lines are, all of them, those of another document is a copy: it is left whole for the near-duplicate
+stage, which keeps one of each group. `protect` is that share; 1.01 switches the rule off. Without
+`proven`, as in op3's SQL, the share alone decides.
 
 Lines are counted before they are shuffled, so a line that a third of all documents share is one
 row from each task; the few rows about what recurs are joined back by document.
@@ -73,20 +74,24 @@ def _row(id_col: str, text_col: str) -> list[Column]:
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(_id, _hash, positions, size) for documents with recurring lines, before protection.
+    """(_id, _hash, positions, size, copied) for documents with recurring lines, before protection.
 
-    `size` is the number of the document's characters in such lines.
+    `size` is the number of the document's characters in such lines; `copied` tells whether another
+    row has the same masked lines and no others. Repeated rows are summed up once.
     """
     often = materialise(recurring(docs, text_col, **options), "recurring")
     lines = F.transform(F.split(F.col(text_col), "\n"), lambda l: F.struct(masked(l).alias("m"), F.length(l).alias("size")))
     keyed = F.transform(lines, lambda x, k: F.struct(k.alias("at"), _key(x["m"]).alias("k"), F.when(x["m"] == "", 0).otherwise(x["size"]).alias("size")))
-    each = docs.select(*_row(id_col, text_col), F.explode(F.filter(keyed, lambda x: x["size"] > 0)).alias("l"))
-    each = each.select("_id", "_hash", "l.at", "l.k.a", "l.k.b", "l.size")
-    found = each.join(often, ["a", "b"], "left_semi")
-    return found.groupBy("_id", "_hash").agg(F.collect_set("at").alias("positions"), F.sum("size").alias("size"))
+    full = docs.select(*_row(id_col, text_col), F.filter(keyed, lambda x: x["size"] > 0).alias("full"))
+    whole = F.xxhash64(F.transform("full", lambda x: x["k"]))
+    each = full.select("_id", "_hash", whole.alias("whole"), F.explode("full").alias("l")).select("_id", "_hash", "whole", "l.at", "l.k.a", "l.k.b", "l.size")
+    found = each.join(often, ["a", "b"], "left_semi").groupBy("_id", "_hash", "whole").agg(F.collect_set(F.struct("at", "size")).alias("l"), F.count("*").alias("n"))
+    found = materialise(found.select("_id", "_hash", "whole", F.col("l.at").alias("positions"), F.aggregate("l.size", F.lit(0).cast("long"), lambda s, x: s + x).alias("size"), (F.col("n") / F.size("l")).alias("rows")), "found")
+    copies = materialise(found.groupBy("whole").agg(F.sum("rows").alias("rows")).where("rows > 1").select("whole", F.lit(True).alias("copied")), "copies")
+    return found.join(copies, "whole", "left").select("_id", "_hash", "positions", "size", F.coalesce("copied", F.lit(False)).alias("copied"))
 
 
-def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", protect: float = 0.5, **options) -> DataFrame:
+def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", protect: float = 0.5, proven: bool = True, **options) -> DataFrame:
     """`docs` with `text` reduced, and `n_lines`, `n_recurring` and `n_dropped` added."""
     found = dropped_lines(docs, id_col, text_col, **options)
     lines = F.split(F.col(text_col), "\n")
@@ -95,7 +100,8 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wide = docs.select(row.alias("row"), *_row(id_col, text_col), lines.alias("lines"), F.coalesce(F.size(full), F.lit(0)).alias("full")).join(found, ["_id", "_hash"], "left")
     text, at = F.col("row")[text_col], F.coalesce("positions", F.array().cast("array<int>"))
     total = F.length(text) - F.size("lines") + 1  # characters without line ends
-    drop = (F.size(at) > 0) & (F.coalesce("size", F.lit(0)) < protect * total)
+    spared = F.coalesce("size", F.lit(0)) >= protect * total
+    drop = (F.size(at) > 0) & ~(spared & F.coalesce("copied", F.lit(False)) if proven else spared)
     kept = F.array_join(F.filter("lines", lambda x, k: ~F.array_contains(at, k)), "\n")
     reduced = F.when(drop, kept).otherwise(text)
     return wide.select(

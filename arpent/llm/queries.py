@@ -60,7 +60,7 @@ FROM seen GROUP BY conv_id
 
 
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_templates.drop_recurring(table(spark, sf_dir, "documents"))
+    out = line_templates.drop_recurring(table(spark, sf_dir, "documents"), proven=False)  # as its SQL
     return out.select("doc_id", "n_lines", "n_recurring", "n_dropped", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
