@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, utf8
+from .common import map_columns, row_key, utf8
 
 #: Any 13 tokens or more of which 80 in 100 agree, and items of 11 or 12, hit one of these (see the tests).
 MASKS = ("1111111", "11011001101", "10110110011", "1110010111", "10101111", "11101000011", "11011010001")
@@ -190,7 +190,9 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     )
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """`docs` without those that overlap with an item."""
-    leaks = overlaps(docs, benchmark, **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("__arpent_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__arpent_leak")), "left_anti")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """`docs` without those that overlap with an item; rows are told apart by id and text."""
+    keyed = docs.select("*", *row_key(id_col, text_col))
+    rows = keyed.select(F.xxhash64("_id", "_hash").alias("__arpent_row"), text_col)
+    leaks = overlaps(rows, benchmark, "__arpent_row", text_col, **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("__arpent_leak")).distinct()
+    return keyed.join(leaks, F.xxhash64("_id", "_hash") == F.col("__arpent_leak"), "left_anti").select(*docs.columns)

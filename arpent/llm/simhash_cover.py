@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, map_columns, materialise, utf8
+from .common import Stage, map_columns, materialise, row_key, utf8
 
 BITS = 64
 
@@ -237,9 +237,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(members, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents with the smallest id of their component, with their own columns; repeated rows once."""
-    found = near_duplicates(docs, **options)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__arpent_keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__arpent_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each component, the one with the smallest id, with its own columns.
+
+    Rows are told apart by id and text, so different texts with the same id or without one stay.
+    """
+    keyed = docs.select("*", *row_key(id_col, text_col))
+    rows = materialise(keyed.select(F.xxhash64("_id", "_hash").alias("__arpent_row"), "_id", "_hash", text_col), "rows")
+    found = near_duplicates(rows, "__arpent_row", text_col, **options).select("doc_id", "component_id")
+    first = F.min(F.struct((F.col("_id") == "").alias("none"), F.col("_id").try_cast("long").alias("i"), "_id", "_hash")).alias("r")
+    keep = found.join(rows, F.col("doc_id") == F.col("__arpent_row")).groupBy("component_id").agg(first).select("r._id", "r._hash")
+    return keyed.join(keep, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*docs.columns)

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from arpent.llm import line_templates, near_jaccard
+from arpent.llm import decontaminate, line_templates, near_jaccard, simhash_cover
 from arpent.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +58,21 @@ def test_only_whole_copies_keep_recurring_lines(spark):
     assert [out[k] for k in range(20)] == own
     assert all(out[k] == f"{shared}\nwhole copy" for k in (30, 31))
     assert out[40] == f"x{'y' * 200} own"  # a repeated row: its characters are summed up once
+
+
+@pytest.mark.parametrize("keep", [simhash_cover.keep_one, near_jaccard.keep_one])
+def test_rows_without_id_or_with_the_same_id_stay(spark, keep):
+    rng = random.Random(6)
+    texts = [" ".join(str(rng.random()) for _ in range(30)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3]), (None, texts[4]), (9, texts[4]), (10, texts[5])]
+    got = sorted((str(r["doc_id"]), r["text"]) for r in keep(documents(spark, rows)).collect())
+    assert got == sorted([("None", texts[0]), ("None", texts[1]), ("7", texts[2]), ("7", texts[3]), ("9", texts[4]), ("10", texts[5])])
+
+
+def test_a_leak_without_id_takes_no_other_row(spark):
+    item = " ".join(f"t{k}" for k in range(20))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, item), (None, "clean"), (3, f"so {item}"), (3, "clean too"), (4, None)]
+    for options in ({}, {"block_bytes": 8}):
+        got = decontaminate.keep_clean(documents(spark, rows), bench, **options).collect()
+        assert sorted(r["text"] or "" for r in got) == ["", "clean", "clean too"]
