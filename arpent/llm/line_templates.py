@@ -2,29 +2,30 @@
 
 Each line is parsed to a fixed depth: tokens with a digit become the wildcard `<*>`, the first
 level is the number of tokens, the next levels are the leading tokens; together they name a leaf.
-In each leaf the most frequent line is the seed. A line of the leaf that agrees with the seed in at
-least `similarity` of its positions belongs to the seed's template, whose other positions are
-variable; any other line is a template of its own. A template recurs if `min_docs` documents or
-more hold it (two lines of one document that differ before they are generalised count twice).
+A leaf holds any number of templates. Its fields are generalised by position: a token that `min_docs`
+lines of the leaf or more have at that place is constant, every other one is a variable field. Lines
+with the same constants at the same places have one template if at least `similarity` of their
+tokens are constant; a line with fewer is a template of its own. A template recurs if `min_docs`
+different documents or more hold it.
 
-Lines of recurring templates are dropped. A document most of whose characters recur and whose masked
-lines are, all of them, those of another document is a copy: it is left whole for the near-duplicate
-stage, which keeps one of each group. `protect` is that share; 1.01 switches the rule off. Without
-`proven`, as in op3's SQL, the share alone decides.
+Lines of recurring templates are dropped. With `keep_whole` a document that would lose all its lines
+stays as it is: such documents are copies, and a later stage keeps one of each group.
 
-Lines are counted before they are shuffled, so a line that a third of all documents share is one
-row from each task; the few rows about what recurs are joined back by document.
+Leaves that are too rare to hold a recurring template are counted away first, by one number for each
+leaf, so only lines of the other leaves are written and looked into. Equal lines are counted before
+their tokens are, so a line that a third of all documents share is one row from each task.
 
 Defined results: null text has no lines and stays null, lines without a token are never dropped and
-don't count, ties between seeds go to the larger line in byte order, rows are told apart by id and text, so
-repeated rows are treated alike, an empty table gives an empty table, all other columns are kept.
+don't count, rows are told apart by id and text, so repeated rows are one document and lose the same
+lines, though each counts where constants are found; an empty table gives an empty table, all other
+columns are kept.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, row_key
 
 WILDCARD = "<*>"
 _SPACE = r"\x20\x09-\x0D"
@@ -44,69 +45,54 @@ def _leaf(m: Column, depth: int) -> Column:
     return F.xxhash64(tokens, F.substring_index(m, " ", depth))
 
 
-def _key(m: Column) -> Column:
-    return F.struct(F.xxhash64(m).alias("a"), F.xxhash64(F.lit("line"), m).alias("b"))
-
-
-def _agreement(line: Column, seed: Column) -> Column:
-    same = F.zip_with(F.split(line, " "), F.split(seed, " "), lambda x, y: F.when(x == y, 1).otherwise(0))
-    return F.aggregate(same, F.lit(0), lambda s, x: s + x) / F.size(same)
-
-
-def recurring(docs: DataFrame, text_col: str = "text", depth: int = 3, similarity: float = 0.8, min_docs: int = 10) -> DataFrame:
-    """(a, b): keys of the masked lines whose template recurs."""
-    lines = F.array_distinct(F.transform(F.split(F.col(text_col), "\n"), masked))
-    each = docs.select(F.explode(lines).alias("line")).where("line <> ''")
-    counted = each.groupBy("line").agg(F.count("*").alias("n"))
-    keyed = counted.select(_leaf(F.col("line"), depth).alias("leaf"), _key(F.col("line")).alias("k"), "line", "n")
-    busy = keyed.groupBy("leaf").agg(F.sum("n").alias("all")).where(F.col("all") >= min_docs).select("leaf")
-    inner = materialise(keyed.join(busy, "leaf", "left_semi").select("leaf", "k.a", "k.b", "line", "n"), "lines")
-    seeds = materialise(inner.groupBy("leaf").agg(F.max(F.struct("n", "line")).alias("top")).select("leaf", F.col("top.line").alias("seed")), "seeds")
-    near = _agreement(F.col("line"), F.col("seed")) >= similarity
-    template = F.when(near, F.xxhash64(F.lit("seed"), "seed")).otherwise(F.col("a"))
-    placed = materialise(inner.join(seeds, "leaf").select("a", "b", "leaf", template.alias("template"), "n"), "placed")
-    often = placed.groupBy("leaf", "template").agg(F.sum("n").alias("all")).where(F.col("all") >= min_docs).select("leaf", "template")
-    return placed.join(materialise(often, "often"), ["leaf", "template"], "left_semi").select("a", "b")
-
-
-def _row(id_col: str, text_col: str) -> list[Column]:
-    return [F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), F.xxhash64(F.col(text_col)).alias("_hash")]
-
-
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(_id, _hash, positions, size, copied) for documents with recurring lines, before protection.
-
-    `size` is the number of the document's characters in such lines; `copied` tells whether another
-    row has the same masked lines and no others. Repeated rows are summed up once.
-    """
-    often = materialise(recurring(docs, text_col, **options), "recurring")
-    lines = F.transform(F.split(F.col(text_col), "\n"), lambda l: F.struct(masked(l).alias("m"), F.length(l).alias("size")))
-    keyed = F.transform(lines, lambda x, k: F.struct(k.alias("at"), _key(x["m"]).alias("k"), F.when(x["m"] == "", 0).otherwise(x["size"]).alias("size")))
-    full = docs.select(*_row(id_col, text_col), F.filter(keyed, lambda x: x["size"] > 0).alias("full"))
-    whole = F.xxhash64(F.transform("full", lambda x: x["k"]))
-    each = full.select("_id", "_hash", whole.alias("whole"), F.explode("full").alias("l")).select("_id", "_hash", "whole", "l.at", "l.k.a", "l.k.b", "l.size")
-    found = each.join(often, ["a", "b"], "left_semi").groupBy("_id", "_hash", "whole").agg(F.collect_set(F.struct("at", "size")).alias("l"), F.count("*").alias("n"))
-    found = materialise(found.select("_id", "_hash", "whole", F.col("l.at").alias("positions"), F.aggregate("l.size", F.lit(0).cast("long"), lambda s, x: s + x).alias("size"), (F.col("n") / F.size("l")).alias("rows")), "found")
-    copies = materialise(found.groupBy("whole").agg(F.sum("rows").alias("rows")).where("rows > 1").select("whole", F.lit(True).alias("copied")), "copies")
-    return found.join(copies, "whole", "left").select("_id", "_hash", "positions", "size", F.coalesce("copied", F.lit(False)).alias("copied"))
-
-
-def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", protect: float = 0.5, proven: bool = True, **options) -> DataFrame:
+def _lines(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
+    """One row (_id, _hash, at, size, m, leaf) for each line with a token."""
+    each = docs.select(*row_key("_id_in", text_col), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "line"))
+    found = each.select("_id", "_hash", "at", F.length("line").alias("size"), masked(F.col("line")).alias("m")).where("m <> ''")
+    return found.withColumn("leaf", _leaf(F.col("m"), depth))
+
+
+def _templates(lines: DataFrame, depth: int, similarity: float, min_docs: int) -> DataFrame:
+    """(leaf, a, b, template) of the different lines; a and b are hashes of the masked line."""
+    counted = lines.groupBy("leaf", "m").agg(F.count("*").alias("n"))
+    named = materialise(counted.select("leaf", F.xxhash64("m").alias("a"), F.xxhash64(F.lit("line"), "m").alias("b"), F.split("m", " ").alias("t"), "n"), "lines")
+    tokens = named.where(F.size("t") > depth).select("leaf", "a", "b", "n", F.posexplode(F.transform(F.slice("t", depth + 1, F.size("t")), lambda x: F.xxhash64(x))).alias("at", "token"))
+    constant = materialise(tokens.groupBy("leaf", "at", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf", "at", "token", F.lit(True).alias("kept")), "constants")
+    held = tokens.join(constant, ["leaf", "at", "token"]).groupBy("leaf", "a", "b").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("c"))
+    wide = named.select("leaf", "a", "b", F.size("t").alias("size")).join(held, ["leaf", "a", "b"], "left")
+    share = (F.least("size", F.lit(depth)) + F.coalesce(F.size("c"), F.lit(0))) / F.col("size")
+    own = F.xxhash64(F.lit("line"), "a", "b")
+    return wide.select("leaf", "a", "b", F.when((share >= similarity) & (share < 1), F.xxhash64(F.lit("fields"), "leaf", "c")).otherwise(own).alias("template"))
+
+
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, similarity: float = 0.8, min_docs: int = 10) -> DataFrame:
+    """(_id, _hash, positions) for the documents with lines of recurring templates."""
+    narrow = docs.select(F.col(id_col).alias("_id_in"), F.col(text_col))
+    each = narrow.select(F.explode(F.split(F.col(text_col), "\n")).alias("line")).select(masked(F.col("line")).alias("m")).where("m <> ''")
+    busy = materialise(each.groupBy(_leaf(F.col("m"), depth).alias("leaf")).count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
+    lines = materialise(_lines(narrow, text_col, depth).join(busy, "leaf", "left_semi"), "inner")
+    named = materialise(_templates(lines, depth, similarity, min_docs), "templates")
+    keyed = lines.select("_id", "_hash", "at", "leaf", F.xxhash64("m").alias("a"), F.xxhash64(F.lit("line"), "m").alias("b"))
+    placed = materialise(keyed.join(named, ["leaf", "a", "b"]).select("_id", "_hash", "at", "template"), "placed")
+    held = placed.select("template", "_id", "_hash").distinct()
+    often = materialise(held.groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template"), "often")
+    found = placed.join(often, "template", "left_semi")
+    return found.groupBy("_id", "_hash").agg(F.collect_set("at").alias("positions"))
+
+
+def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_whole: bool = False, **options) -> DataFrame:
     """`docs` with `text` reduced, and `n_lines`, `n_recurring` and `n_dropped` added."""
-    found = dropped_lines(docs, id_col, text_col, **options)
-    lines = F.split(F.col(text_col), "\n")
-    full = F.filter(lines, lambda x: x.rlike(f"[^{_SPACE}]"))
+    found = materialise(dropped_lines(docs, id_col, text_col, **options), "positions")
     row = F.struct(*docs.columns)  # keeps all columns apart from the ones added here
-    wide = docs.select(row.alias("row"), *_row(id_col, text_col), lines.alias("lines"), F.coalesce(F.size(full), F.lit(0)).alias("full")).join(found, ["_id", "_hash"], "left")
+    wide = docs.select(row.alias("row"), *row_key(id_col, text_col)).join(found, ["_id", "_hash"], "left").select("row", "positions")
     text, at = F.col("row")[text_col], F.coalesce("positions", F.array().cast("array<int>"))
-    total = F.length(text) - F.size("lines") + 1  # characters without line ends
-    spared = F.coalesce("size", F.lit(0)) >= protect * total
-    drop = (F.size(at) > 0) & ~(spared & F.coalesce("copied", F.lit(False)) if proven else spared)
-    kept = F.array_join(F.filter("lines", lambda x, k: ~F.array_contains(at, k)), "\n")
+    parts, full = F.split(text, "\n"), F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{_SPACE}]")))
+    drop = (F.size(at) > 0) & (F.size(at) < full) if keep_whole else F.size(at) > 0
+    kept = F.array_join(F.filter(parts, lambda x, k: ~F.array_contains(at, k)), "\n")
     reduced = F.when(drop, kept).otherwise(text)
     return wide.select(
         *((reduced if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns),
-        F.when(text.isNull(), 0).otherwise(F.col("full")).cast("long").alias("n_lines"),
+        F.when(text.isNull(), 0).otherwise(full).cast("long").alias("n_lines"),
         F.size(at).cast("long").alias("n_recurring"),
         F.when(drop, F.size(at)).otherwise(0).cast("long").alias("n_dropped"),
     )

@@ -60,7 +60,7 @@ FROM seen GROUP BY conv_id
 
 
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_templates.drop_recurring(table(spark, sf_dir, "documents"), proven=False)  # as its SQL
+    out = line_templates.drop_recurring(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_recurring", "n_dropped", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -69,28 +69,24 @@ WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM do
 each AS (
   SELECT doc_id, text, unnest(range(len(lines))) AS pos, unnest(lines) AS line FROM split
 ), tokens AS (
-  SELECT doc_id, pos, length(line) AS size, list_transform(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM each
+  SELECT doc_id, text, pos, list_transform(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM each
 ), lines AS (
-  SELECT doc_id, pos, size, t, array_to_string(t, ' ') AS m, len(t) AS n, array_to_string(t[1:3], ' ') AS lead FROM tokens WHERE len(t) > 0
-), counted AS (
-  SELECT n, lead, m, any_value(t) AS t, count(DISTINCT doc_id) AS docs FROM lines GROUP BY n, lead, m
-), seeds AS (
-  SELECT n, lead, arg_max(m, (docs, m)) AS seed, string_split(arg_max(m, (docs, m)), ' ') AS st FROM counted GROUP BY n, lead HAVING sum(docs) >= 10
+  SELECT doc_id, text, pos, t, array_to_string(t, ' ') AS m, len(t) AS n, array_to_string(t[1:3], ' ') AS lead FROM tokens WHERE len(t) > 0
+), places AS (SELECT n, lead, m, t, unnest(range(4, n + 1)) AS p FROM lines WHERE n > 3),
+constants AS (SELECT n, lead, p, t[p] AS token FROM places GROUP BY n, lead, p, t[p] HAVING count(*) >= 10),
+held AS (
+  SELECT f.n, f.lead, f.m, count(*) AS k, string_agg(f.p || ':' || c.token, ' ' ORDER BY f.p) AS fields
+  FROM (SELECT DISTINCT n, lead, m, p, t[p] AS token FROM places) f JOIN constants c ON f.n = c.n AND f.lead = c.lead AND f.p = c.p AND f.token = c.token
+  GROUP BY f.n, f.lead, f.m
 ), placed AS (
-  SELECT c.n, c.lead, c.m, c.docs, CASE WHEN list_sum(list_transform(range(1, c.n + 1), lambda k: CASE WHEN c.t[k] = s.st[k] THEN 1 ELSE 0 END)) / c.n >= 0.8 THEN s.seed ELSE c.m END AS template
-  FROM counted c JOIN seeds s ON c.n = s.n AND c.lead = s.lead
-), often AS (SELECT m FROM (SELECT *, sum(docs) OVER (PARTITION BY n, lead, template) AS total FROM placed) WHERE total >= 10),
-found AS (
-  SELECT doc_id, count(*) AS n_recurring, sum(size) AS size, list(pos) AS positions FROM lines WHERE m IN (SELECT m FROM often) GROUP BY doc_id
-), full_ AS (SELECT doc_id, count(*) AS n_lines FROM lines GROUP BY doc_id),
-judged AS (
-  SELECT s.doc_id, s.text, s.lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_recurring, 0) AS n_recurring, positions,
-    coalesce(n_recurring, 0) > 0 AND size < 0.5 * (length(s.text) - len(s.lines) + 1) AS dropped
-  FROM split s LEFT JOIN found f ON s.doc_id = f.doc_id LEFT JOIN full_ g ON s.doc_id = g.doc_id
-)
-SELECT doc_id, n_lines::BIGINT AS n_lines, n_recurring::BIGINT AS n_recurring, CASE WHEN dropped THEN n_recurring ELSE 0 END::BIGINT AS n_dropped,
-  sha256(coalesce(CASE WHEN dropped THEN array_to_string(list_transform(list_filter(range(len(lines)), lambda k: NOT list_contains(positions, k)), lambda k: lines[k + 1]), chr(10)) ELSE text END, '')) AS kept_sha256
-FROM judged
+  SELECT l.doc_id, l.text, l.pos, CASE WHEN (least(l.n, 3) + coalesce(k, 0)) / l.n BETWEEN 0.8 AND 0.999999 THEN concat('fields ', l.n, ' ', l.lead, ' ', fields) ELSE 'line ' || l.m END AS template
+  FROM lines l LEFT JOIN held h ON l.n = h.n AND l.lead = h.lead AND l.m = h.m
+), often AS (SELECT template FROM placed GROUP BY template HAVING count(DISTINCT (doc_id, text)) >= 10),
+found AS (SELECT doc_id, count(*) AS n_recurring, list(pos) AS positions FROM placed WHERE template IN (SELECT template FROM often) GROUP BY doc_id),
+full_ AS (SELECT doc_id, count(*) AS n_lines FROM lines GROUP BY doc_id)
+SELECT s.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_recurring, 0)::BIGINT AS n_recurring, coalesce(n_recurring, 0)::BIGINT AS n_dropped,
+  sha256(coalesce(CASE WHEN n_recurring > 0 THEN array_to_string(list_transform(list_filter(range(len(lines)), lambda k: NOT list_contains(positions, k)), lambda k: lines[k + 1]), chr(10)) ELSE s.text END, '')) AS kept_sha256
+FROM split s LEFT JOIN found f ON s.doc_id = f.doc_id LEFT JOIN full_ g ON s.doc_id = g.doc_id
 """
 
 

@@ -111,13 +111,56 @@ def test_chat_merges_and_reads_back(spark):
     assert r["n_blocks"] == 3 and r["l"] == "\\l</turn>\n"
 
 
-def test_templates_generalise_and_copies_stay_whole(spark):
-    body = [f"body {chr(97 + k)} {' '.join(chr(97 + (k * j) % 26) * 3 for j in range(1, 12))}" for k in range(20)]
-    docs = documents(spark, [f"Copyright {1990 + k} by some name here today\n{body[k]}" for k in range(20)] + ["Seen 1 2\nSeen 3 4"])
-    out = {r["doc_id"]: r for r in line_templates.drop_recurring(docs).collect()}
-    assert all(out[k]["text"] == body[k] and out[k]["n_dropped"] == 1 for k in range(20))
-    copies = line_templates.drop_recurring(documents(spark, ["first line of all\nsecond line of all"] * 30)).collect()
-    assert all(r["n_recurring"] == 2 and r["n_dropped"] == 0 for r in copies)
+def _brute_templates(texts, depth=3, similarity=0.8, least=10):
+    """For each text, the positions of its lines in recurring templates."""
+    rows = []
+    for d, text in enumerate(texts):
+        for at, line in enumerate((text or "").split("\n") if text is not None else []):
+            t = ["<*>" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", line)]
+            if t:
+                rows.append((d, at, t))
+    count = collections.Counter((len(t), *t[:depth], k, w) for _, _, t in rows for k, w in enumerate(t) if k >= depth)
+    holders = collections.defaultdict(set)
+    named = []
+    for d, at, t in rows:
+        fields = tuple(w if k < depth or count[(len(t), *t[:depth], k, w)] >= least else None for k, w in enumerate(t))
+        name = fields if sum(f is not None for f in fields) >= similarity * len(t) else tuple(t)
+        named.append((d, at, name))
+        holders[name].add((d, texts[d]))
+    out = [set() for _ in texts]
+    for d, at, name in named:
+        if len(holders[name]) >= least:
+            out[d].add(at)
+    return out
+
+
+def test_templates_against_brute_force(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    texts = [f"Copyright {1990 + k} by some name here today\nbody {word()} {word()} {word()}" for k in range(20)]
+    # two templates in one leaf, one of them commoner; their variable words have no digit
+    texts += [f"Read more on our {word()} page today please\n{word()} own" for _ in range(20)]
+    texts += [f"{word()} x\nRead more on the best {word()} right now" for _ in range(25)]
+    texts += ["\n".join(f"Listed all the same {word()} items by name" for _ in range(12))]  # recurs in one document only
+    texts += ["first line of all\nsecond line of all"] * 12 + [None, "", " \n\t", "1 2 3\n1 2 3"]
+    got = {r["doc_id"]: r for r in line_templates.drop_recurring(documents(spark, texts)).collect()}
+    want = _brute_templates(texts)
+    for k, text in enumerate(texts):
+        kept = None if text is None else "\n".join(x for at, x in enumerate(text.split("\n")) if at not in want[k])
+        assert (got[k]["text"], got[k]["n_dropped"]) == (kept, len(want[k])), text
+    assert all(got[k]["n_dropped"] == 1 for k in range(65)) and not got[65]["n_dropped"]
+    whole = {r["doc_id"]: r for r in line_templates.drop_recurring(documents(spark, texts), keep_whole=True).collect()}
+    assert all(whole[k]["text"] == texts[k] and whole[k]["n_recurring"] == 2 for k in range(66, 78))
+    assert all(whole[k]["n_dropped"] == 1 for k in range(65))
+
+
+def test_repeated_rows_are_one_document(spark):
+    rows = [(1, "a line that one document holds\nown", "en", None, 0)] * 12
+    out = line_templates.drop_recurring(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(out) == 12 and all(r["n_recurring"] == 0 for r in out)
+    rows = [(k, f"a line that many documents hold\nown {'xyz' * k}", "en", None, 0) for k in range(12)]
+    out = line_templates.drop_recurring(spark.createDataFrame(rows + rows[:3] * 2, SCHEMA)).collect()
+    assert len(out) == 18 and all(r["n_dropped"] == 1 for r in out)
 
 
 def test_covering_masks_lose_no_pair():

@@ -50,16 +50,6 @@ def test_near_dedup_against_brute_force(spark, hot):
     assert sorted(r["doc_id"] for r in got.collect()) == want
 
 
-def test_only_whole_copies_keep_recurring_lines(spark):
-    shared = "a long passage that very many pages share " * 3
-    own = [f"page {chr(97 + k)} {' '.join(chr(97 + (k * j) % 26) * 3 for j in range(1, 9))}" for k in range(20)]
-    rows = [(k, f"{shared}\n{own[k]}") for k in range(20)] + [(k, f"{shared}\nwhole copy") for k in (30, 31)] + [(40, f"x{'y' * 200} own\n{shared}")] * 2
-    out = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring(documents(spark, rows)).collect()}
-    assert [out[k] for k in range(20)] == own
-    assert all(out[k] == f"{shared}\nwhole copy" for k in (30, 31))
-    assert out[40] == f"x{'y' * 200} own"  # a repeated row: its characters are summed up once
-
-
 @pytest.mark.parametrize("keep", [simhash_cover.keep_one, near_jaccard.keep_one])
 def test_rows_without_id_or_with_the_same_id_stay(spark, keep):
     rng = random.Random(6)
