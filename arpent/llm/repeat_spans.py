@@ -1,22 +1,22 @@
 """Removal of long repeated byte strings, by longest previous factors.
 
-In suffix order, the longest earlier match of a suffix is with the previous or the next suffix that
-starts at a smaller position; `longest_previous_factor` computes just that for one buffer, from its
-suffix array. Removing strings of L bytes asks less: whether the factor reaches L. Suffixes with
-the same first L bytes are neighbours in suffix order; within such a class a suffix has a previous
-smaller position unless it is the first. So classes of L-byte prefixes, ordered by position, give
-the answer, and they can be formed anywhere as long as a class stays together.
+The longest earlier match of a suffix is with the nearest suffix before or after it in suffix order
+that starts at a smaller place. Removing strings of L bytes asks whether that factor reaches L. Two
+strings of L bytes can only be equal if they have the same anchor, so suffix orders are made over the
+surroundings of one anchor at a time, to a depth of L bytes.
 
-Flow, all of it exact and without suffixes of whole corpora in one place:
+Flow, without suffixes of whole corpora in one place:
 
 1. Copies of a whole text are one text with a number of copies.
 2. Each window of L bytes has one anchor, its smallest K-byte hash, leftmost on ties. Equal windows
    have equal anchors, and anchors are about 2 in L - K + 2 positions. Anchors seen once can't
    belong to a repeated window; they are counted away.
-3. The bytes around the other anchors go to their anchor's partition, where windows are classed. The
-   occurrences of an anchor are dealt to blocks of about `hot`. A block settles what repeats inside
-   it; each of its classes then sends one row, keyed by two 64-bit hashes of the window, to meet
-   those of the other blocks. So a common window costs a row for each block, not for each text.
+   Periodic bytes, where the smallest hash comes again and again, have one for each L - K + 1.
+3. The bytes around the other anchors go to their anchor's partition, where previous factors are
+   found. The occurrences of an anchor are dealt to blocks of about `hot`. A block settles what
+   repeats inside it, byte by byte; the first suffix of each of its classes then sends one row, keyed
+   by two 64-bit hashes of its L bytes, to meet those of the other blocks. So a common window costs a
+   row for each block, not for each text. Only here are hashes taken for the bytes.
 4. Spans return to their text. Texts are written once, bucketed by id, and not shuffled again.
 
 `keep="first"` keeps the first occurrence (by smallest document id, then position), as the factors
@@ -43,62 +43,63 @@ K = 48
 _SEGMENT = 1 << 20
 
 
-def suffix_array(data: bytes) -> np.ndarray:
-    """Starts of the suffixes in order, by prefix doubling."""
-    n = len(data)
-    rank = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
-    step = 1
-    while True:
-        later = np.full(n, -1, dtype=np.int64)
-        later[: n - step] = rank[step:] if step < n else later[:0]
-        order = np.lexsort((later, rank))
-        new = np.empty(n, dtype=np.int64)
-        change = (np.diff(rank[order], prepend=rank[order[:1]] - 1) != 0) | (np.diff(later[order], prepend=later[order[:1]] - 1) != 0)
-        new[order] = np.cumsum(change) - 1
-        rank = new
-        if n == 0 or rank.max() == n - 1:
-            return order
-        step *= 2
-
-
-def common_prefixes(data: bytes, order: np.ndarray) -> np.ndarray:
-    """lcp[k]: bytes that suffix k in order shares with the one before it."""
-    n = len(data)
-    place = np.empty(n, dtype=np.int64)
-    place[order] = np.arange(n)
-    out, h = np.zeros(n, dtype=np.int64), 0
-    for i in range(n):
-        if place[i]:
-            j = int(order[place[i] - 1])
-            while i + h < n and j + h < n and data[i + h] == data[j + h]:
-                h += 1
-            out[place[i]] = h
-            h = max(0, h - 1)
-        else:
-            h = 0
+def _ranked(key: np.ndarray) -> np.ndarray:
+    """The rank of each value among the different values."""
+    order = np.argsort(key)
+    ordered = key[order]
+    out = np.empty(len(key), dtype=np.int64)
+    out[order] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1])))
     return out
 
 
-def longest_previous_factor(data: bytes) -> np.ndarray:
-    """For each position, the longest match with an earlier one: by previous and next smaller starts."""
-    n = len(data)
-    order = suffix_array(data)
-    lcp = common_prefixes(data, order)
-    out = np.zeros(n, dtype=np.int64)
-    for sequence, edge in ((range(n), lambda k: lcp[k]), (range(n - 1, -1, -1), lambda k: lcp[k + 1] if k + 1 < n else 0)):
-        stack: list[list[int]] = []  # (start, shared with the next one looked at)
-        for k in sequence:
-            shared, start = int(edge(k)), int(order[k])
-            if stack:
-                stack[-1][1] = min(stack[-1][1], shared)
-            while stack and stack[-1][0] > start:
-                _, s = stack.pop()
-                if stack:
-                    stack[-1][1] = min(stack[-1][1], s)
-            if stack:
-                out[start] = max(out[start], stack[-1][1])
-            stack.append([start, n])
-    return out
+def suffix_ranks(raw: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of the suffixes by their first `depth` bytes, by prefix doubling; equal ranks are equal bytes.
+
+    Only suffixes of at least `depth` bytes have one.
+    """
+    if len(raw) < depth:
+        return np.empty(0, dtype=np.int64)
+    done = min(8, depth)
+    word = np.zeros(len(raw) - done + 1, dtype=np.uint64)
+    for k in range(done):
+        word = word << np.uint64(8) | raw[k : k + len(word)]
+    rank = _ranked(word)
+    while done < depth:
+        step = min(done, depth - done)
+        rank = _ranked(rank[:-step] * np.int64(len(raw)) + rank[step:])
+        done += step
+    return rank
+
+
+def smaller_before(place: np.ndarray) -> np.ndarray:
+    """For each entry of a sequence, the nearest index before it with a smaller value, or -1."""
+    found = np.arange(-1, len(place) - 1)
+    left = np.arange(len(place))
+    while True:
+        left = left[found[left] >= 0]
+        left = left[place[found[left]] > place[left]]
+        if not len(left):
+            return found
+        found[left] = found[found[left]]  # what lies between is larger than both
+
+
+def previous_factors(rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix, source) for the suffixes whose longest previous factor reaches the depth of `rank`.
+
+    In suffix order the longest earlier match of a suffix is with the nearest suffix before or after
+    it that starts at a smaller place; it reaches the depth if both have one rank.
+    """
+    order = np.argsort(rank)
+    rank, place = rank[order], place[order]
+    before = smaller_before(place)
+    after = len(place) - 1 - smaller_before(place[::-1])[::-1]  # len(place): none
+    at = np.arange(len(place))
+    of_before = (before >= 0) & (rank[before] == rank)
+    of_after = after < len(place)
+    of_after[of_after] = rank[after[of_after]] == rank[of_after]
+    reached = of_before | of_after
+    source = np.where(of_before, before, after)[reached]
+    return order[at[reached]], order[source]
 
 
 def _mixed(a: np.ndarray, b: np.ndarray, role: int) -> np.ndarray:
@@ -143,8 +144,27 @@ def _minima(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return full, (np.minimum(back[:windows], ahead[width - 1 : width - 1 + windows]) & np.uint64(0xFFFFF)).astype(np.int64)
 
 
-def anchors_of(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first window, last window) of each anchor; each window of the text has one."""
+def _anchors(row: np.ndarray, at: np.ndarray, full: np.ndarray, inner: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """(row, hash, first window, last window, whether again) of the anchors of consecutive windows.
+
+    Periodic bytes have the same smallest hash again and again; there one anchor stands for up to
+    `width` windows, which is as many as for any other, and these may repeat each other.
+    """
+    first = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+    h, own, begin = full[at[first]], row[first], inner[first]
+    fresh = np.ones(len(first), dtype=bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+    start = np.maximum.accumulate(np.where(fresh, np.arange(len(first)), 0))
+    part = (begin - begin[start]) // width
+    fresh[1:] |= part[1:] != part[:-1]
+    again = np.diff(np.append(np.flatnonzero(fresh), len(first))) > 1
+    first = first[fresh]
+    last = np.append(first[1:], len(at)) - 1
+    return own[fresh], h[fresh], inner[first], inner[last], again
+
+
+def anchors_of(text: bytes, length: int) -> tuple[np.ndarray, ...]:
+    """(hash, first window, last window, whether again) of each anchor; each window of the text has one."""
     parts = []
     for begin in range(0, max(len(text) - length + 1, 0), _SEGMENT - length):
         raw = np.frombuffer(text[begin : begin + _SEGMENT - 1], dtype=np.uint8)
@@ -154,19 +174,19 @@ def anchors_of(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.nda
         last_segment = begin + len(raw) >= len(text)
         if not last_segment:
             at = at[: _SEGMENT - length]
-        first = np.flatnonzero(np.diff(at, prepend=-1))
-        last = np.append(first[1:], len(at)) - 1
-        parts.append((full[at[first]], first + begin, last + begin))
+        inner = np.arange(len(at))
+        _, h, first, last, again = _anchors(np.zeros(len(at), dtype=np.int64), at, full, inner, length - K + 1)
+        parts.append((h, first + begin, last + begin, again))
         if last_segment:
             break
     if not parts:
         none = np.empty(0, dtype=np.int64)
-        return none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none, none, none.astype(bool)
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def anchors_of_many(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash, first window, last window) of each anchor; short texts share one pass."""
+def anchors_of_many(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """(text, hash, first window, last window, whether again) of each anchor; short texts share one pass."""
     parts, group, size = [], [], 0
 
     def solve(group: list[int]) -> None:
@@ -177,9 +197,8 @@ def anchors_of_many(texts: list[bytes], length: int) -> tuple[np.ndarray, np.nda
         row = np.repeat(np.arange(len(group)), count)
         inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         at = at[begin[row] + inner]
-        first = np.flatnonzero(np.diff(at, prepend=-1))
-        last = np.append(first[1:], len(at)) - 1
-        parts.append((np.array(group)[row[first]], full[at[first]], inner[first], inner[last]))
+        own, *found = _anchors(row, at, full, inner, length - K + 1)
+        parts.append((np.array(group)[own], *found))
 
     for k, text in enumerate(texts):
         if len(text) < length:
@@ -197,7 +216,7 @@ def anchors_of_many(texts: list[bytes], length: int) -> tuple[np.ndarray, np.nda
         solve(group)
     if not parts:
         none = np.empty(0, dtype=np.int64)
-        return none, none.astype(np.uint64), none, none
+        return none, none.astype(np.uint64), none, none, none.astype(bool)
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -211,18 +230,13 @@ def _runs(mark: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(context: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, offset, hash, second hash) of every window inside the contexts."""
+    """(row, offset, start in the joined bytes) of every window inside the contexts, and these bytes."""
     raw = np.frombuffer(b"".join(context), dtype=np.uint8)
     size = np.fromiter(map(len, context), dtype=np.int64, count=len(context))
-    if not len(size):
-        none = np.empty(0, dtype=np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
-    begin = np.cumsum(size) - size
-    count = size - length + 1
+    begin, count = np.cumsum(size) - size, size - length + 1
     row = np.repeat(np.arange(len(context)), count)
     offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    at = begin[row] + offset
-    return row, offset, _Rolling(raw, 11).of(length)[at], _Rolling(raw, 13).of(length)[at]
+    return row, offset, begin[row] + offset, raw
 
 
 def _classed(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
@@ -247,22 +261,26 @@ def _classed(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
         whole[head] = False
         if not keep_first:
             whole[head] = np.bincount(code, minlength=len(head)) > 1
-        # equal contexts have equal windows; only anchors with several contexts or blocks need a look inside
+        # equal contexts have equal windows; a look inside is needed where an anchor has several contexts or blocks, or comes again in one
         anchor = table["anchor"].to_numpy()[head]
         _, group, kinds = np.unique(anchor, return_inverse=True, return_counts=True)
-        several = np.flatnonzero((kinds[group] > 1) | shared[head])
+        several = np.flatnonzero((kinds[group] > 1) | shared[head] | table["again"].to_numpy()[head])
         context = coded.dictionary.take(pa.array(several)).to_pylist()
         inside = head[several]
-        row, offset, h1, h2 = _windows(context, length)
+        row, offset, at, raw = _windows(context, length)
+        rank = suffix_ranks(raw, length)[at]
         if keep_first:
-            order = np.lexsort((start[inside][row] + offset, first_doc[inside][row], h2, h1))
+            order = np.lexsort((start[inside][row] + offset, first_doc[inside][row]))
+            turn = np.empty(len(row), dtype=np.int64)
+            turn[order] = np.arange(len(row))
         else:
-            order = np.argsort(h1, kind="stable")
-        same = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
+            turn = np.arange(len(row))
         mark = np.zeros(len(row), dtype=bool)
-        mark[order[1:]] = same  # an earlier suffix of the class stands before it
+        later, source = previous_factors(rank, turn)
+        mark[later] = True
+        head = ~mark  # the first suffix of each class
         if not keep_first:
-            mark[order[:-1]] |= same
+            mark[source] = True
         mark &= ~whole[inside][row]
         a, b = _runs(mark, row)
         full = np.flatnonzero(whole)
@@ -270,8 +288,8 @@ def _classed(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
         begin = start[own] + np.concatenate((np.zeros(len(full), dtype=np.int64), offset[a]))
         end = start[own] + np.concatenate((size[code[full]], offset[b] + length))
         # one window of each class whose anchor has other blocks
-        first = order[np.concatenate((np.ones(min(len(order), 1), dtype=bool), ~same))]
-        first = first[shared[inside[row[first]]]]
+        first = np.flatnonzero(head & shared[inside][row])
+        h1, h2 = (_Rolling(raw, seed).of(length)[at] for seed in (11, 13)) if len(first) else (rank, rank)
         place = inside[row[first]]
         unsettled = ~mark[first] & ~whole[place]
         owner = np.concatenate((own, place))
@@ -381,19 +399,19 @@ def spans_of_texts(texts: DataFrame, length: int, keep_first: bool, hot: int) ->
     """(tid, key, spans): repeated windows between and inside distinct texts, unmerged."""
 
     def find(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, h, a, b = anchors_of_many(batch.column(2).to_pylist(), length)
+        own, h, a, b, again = anchors_of_many(batch.column(2).to_pylist(), length)
         ids = [batch.column(k).take(pa.array(own)) for k in range(2)]
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *ids, pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], ["anchor", "tid", "key", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *ids, pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(again)], ["anchor", "tid", "key", "a", "b", "again"])
 
-    found = materialise(map_columns(texts.select("tid", "key", "text"), find, "anchor long, tid long, key binary, a long, b long"), "anchors")
+    found = materialise(map_columns(texts.select("tid", "key", "text"), find, "anchor long, tid long, key binary, a long, b long, again boolean"), "anchors")
     total = found.count()
-    often = materialise(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "n", F.ceil(F.col("n") / hot).alias("blocks")), "often")
+    often = materialise(found.groupBy("anchor").agg((F.count("*") + F.count_if("again")).alias("n")).where("n > 1").select("anchor", "n", F.ceil(F.col("n") / hot).alias("blocks")), "often")
     block = F.pmod(F.xxhash64("tid", "a"), "blocks")
-    place = F.struct("a", "b", "anchor", block.alias("block"), "blocks")
+    place = F.struct("a", "b", "anchor", block.alias("block"), "blocks", "again")
     places = _joined(found, often, ["anchor"], total).groupBy("tid", "key").agg(F.collect_list(place).alias("places"))
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "block", "blocks", "tid", "key", "first_doc", "start", "context"]
+        names = ["anchor", "block", "blocks", "again", "tid", "key", "first_doc", "start", "context"]
         for whole in batches:
             for begin in range(0, whole.num_rows, 64):
                 batch = whole.slice(begin, 64)
@@ -403,10 +421,10 @@ def spans_of_texts(texts: DataFrame, length: int, keep_first: bool, hot: int) ->
                 texts, b = batch.column(3).to_pylist(), b + length
                 context = [texts[k][i:j] for k, i, j in zip(row.tolist(), a.tolist(), b.tolist())]
                 own = [batch.column(k).take(pa.array(row)) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([at.field("anchor"), at.field("block"), at.field("blocks"), *own, pa.array(a), pa.array(context, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([at.field("anchor"), at.field("block"), at.field("blocks"), at.field("again"), *own, pa.array(a), pa.array(context, pa.binary())], names)
 
     around = texts.select("tid", "key", "first_doc", "text").join(places, ["tid", "key"]).select("tid", "key", "first_doc", "text", "places")
-    schema = "anchor long, block long, blocks long, tid long, key binary, first_doc long, start long, context binary"
+    schema = "anchor long, block long, blocks long, again boolean, tid long, key binary, first_doc long, start long, context binary"
     classed = materialise(_classed(around.mapInArrow(surround, schema), length, keep_first), "classed")
     inside = classed.where("h1 IS NULL").select("tid", "key", "start", "end")
     every = inside.unionByName(_between_blocks(classed.where("h1 IS NOT NULL"), keep_first))

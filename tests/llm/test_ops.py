@@ -245,7 +245,7 @@ def _brute_repeats(texts, length):
 
 @pytest.mark.parametrize("hot", [256, 2, 1])
 def test_repeats_against_brute_force(spark, hot):
-    texts = [r["text"] for r in table(spark, SF, "documents").orderBy("doc_id").limit(60).collect()] + ["a" * 700, "ab" * 150 + "q" * 9 + "ab" * 120, None, ""]
+    texts = [r["text"] for r in table(spark, SF, "documents").orderBy("doc_id").limit(60).collect()] + ["a" * 7000, "b" + "a" * 900, "ab" * 150 + "q" * 9 + "ab" * 120, None, ""]
     got = {r[0]: tuple(r)[1:] for r in repeat_spans.report(documents(spark, texts), hot=hot).collect()}
     for k, want in enumerate(_brute_repeats([(t or "").encode() for t in texts], 200)):
         assert got[k] == want, k
@@ -274,12 +274,28 @@ def test_keeping_the_first_repeat(spark, hot, rows):
     assert got == want
 
 
-def test_longest_previous_factor():
+def test_previous_factors():
     rng = random.Random(3)
-    for _ in range(30):
-        d = bytes(rng.choices(b"ab", k=rng.randint(0, 40)))
-        match = lambda i, j: next((k for k in range(len(d) - i) if d[i + k] != d[j + k]), len(d) - i)  # noqa: B023, E731
-        assert repeat_spans.longest_previous_factor(d).tolist() == [max([0] + [match(i, j) for j in range(i)]) for i in range(len(d))]
+    for depth in (1, 3, 8, 13, 20):
+        for _ in range(20):
+            d = bytes(rng.choices(b"ab", k=rng.randint(0, 60)))
+            place = np.array(rng.sample(range(100), max(0, len(d) - depth + 1)), dtype=np.int64)
+            cut = [d[i : i + depth] for i in range(len(place))]
+            rank = repeat_spans.suffix_ranks(np.frombuffer(d, dtype=np.uint8), depth)
+            assert rank.tolist() == [sorted(set(cut)).index(x) for x in cut]
+            later, source = repeat_spans.previous_factors(rank, place)
+            assert sorted(later.tolist()) == [i for i, x in enumerate(cut) if any(x == y and place[j] < place[i] for j, y in enumerate(cut))]
+            assert all(cut[i] == cut[j] and place[j] < place[i] for i, j in zip(later, source))
+
+
+def test_periodic_bytes_have_few_anchors():
+    for period in (1, 8, 100):
+        text = bytes(range(97, 97 + 20)) * 5
+        text = (text[:period] * (1_000_000 // period))[: 1_000_000 - 7]
+        h, first, last, _ = repeat_spans.anchors_of(text, 200)
+        assert len(h) < 40_000 and first[0] == 0 and last[-1] == len(text) - 200 and (first[1:] == last[:-1] + 1).all()
+        many = repeat_spans.anchors_of_many([text[:5000], text[:5000]], 200)
+        assert len(many[0]) < 600
 
 
 def test_bpe_is_tiktokens_and_decodes():
