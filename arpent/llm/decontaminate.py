@@ -8,10 +8,12 @@ shorter). Tokens are runs of ASCII letters, digits and all non-ASCII characters,
 
 The test side is the bounded one: its size is measured, and items go to the executors in blocks of
 at most `block_bytes` of text, one pass over the documents for each block, so any test set works.
+What the passes find is put together by row (id and text) and does not depend on their number.
 
 Defined results: null or empty texts have no overlap, empty items match nothing, items that are
-shorter than a mask are looked up as a whole, repeated items count once for each id, an empty
-benchmark marks nothing, other columns are ignored.
+shorter than a mask are looked up as a whole, repeated items count once for each id, items without
+an id count like others and are listed without a name, repeated rows and rows without an id have
+results of their own, an empty benchmark marks nothing, other columns are ignored.
 """
 from __future__ import annotations
 
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, row_key, utf8
+from .common import map_columns, materialise, per_process, row_key, utf8
 
 #: Any 13 tokens or more of which 80 in 100 agree, and items of 11 or 12, hit one of these (see the tests).
 MASKS = ("1111111", "11011001101", "10110110011", "1110010111", "10101111", "11101000011", "11011010001")
@@ -147,35 +149,40 @@ def _overlaps(texts: list[bytes], index: dict, hasher: _Hasher, min_overlap: int
     return out
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_overlap: int = 13, block_bytes: int = 16 << 20) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_overlap: int = 13, block_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, spans) for each row of `docs`; spans: array of (item_id, start, tokens, agreeing)."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), utf8(item_text).alias("t")).where("i IS NOT NULL AND length(t) > 0").distinct()
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), utf8(item_text).alias("t")).where("length(t) > 0").distinct()
     size = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / block_bytes))
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
     kind = "array<struct<item_id:long,start:long,tokens:long,agreeing:long>>"
+    names, fields = ["item_id", "start", "tokens", "agreeing"], pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "start", "tokens", "agreeing")]))
+    if blocks == 1:
+        narrow, ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")), ["doc_id"]
+    else:
+        narrow, ids = docs.select(*row_key(id_col, text_col), utf8(text_col).alias("text")), ["_id", "_hash"]
     parts = []
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block) if blocks > 1 else items
-        index = spark.sparkContext.broadcast(_index(sorted((r[0], bytes(r[1])) for r in part.collect())))
-        held: list[_Hasher] = []
-
-        def run(batch: pa.RecordBatch, index=index, held=held) -> pa.RecordBatch:
-            if not held:
-                held.append(_Hasher())
-            found = _overlaps([t or b"" for t in batch.column(1).to_pylist()], index.value, held[0], min_overlap)
-            spans = [[dict(zip(("item_id", "start", "tokens", "agreeing"), x)) for x in sorted(f)] for f in found]
-            fields = pa.struct([(n, pa.int64()) for n in ("item_id", "start", "tokens", "agreeing")])
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(fields))], ["doc_id", "spans"])
-
-        parts.append(map_columns(narrow, run, f"doc_id long, spans {kind}", rows=128))
-    if len(parts) == 1:
+        index = spark.sparkContext.broadcast(_index(sorted(((r[0], bytes(r[1])) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))))
+
+        def run(batch: pa.RecordBatch, index=index) -> pa.RecordBatch:
+            found = _overlaps([t or b"" for t in batch.column(len(ids)).to_pylist()], index.value, per_process(("overlaps",), _Hasher), min_overlap)
+            order = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+            spans = pa.array([[dict(zip(names, x)) for x in sorted(f, key=order)] for f in found], fields)
+            out = pa.RecordBatch.from_arrays([*batch.columns[: len(ids)], spans], [*ids, "spans"])
+            return out if blocks == 1 else out.filter(pa.array([bool(f) for f in found], pa.bool_()))
+
+        types = "doc_id long" if blocks == 1 else "_id string, _hash long"
+        parts.append(map_columns(narrow, run, f"{types}, spans {kind}", rows=128))
+    if blocks == 1:
         return parts[0]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return every.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    merged = materialise(every.groupBy("_id", "_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("found")), "overlaps")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col)).join(merged, ["_id", "_hash"], "left")
+    return rows.select("doc_id", F.coalesce("found", F.array().cast(kind)).alias("spans"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -66,3 +66,13 @@ def test_a_leak_without_id_takes_no_other_row(spark):
     for options in ({}, {"block_bytes": 8}):
         got = decontaminate.keep_clean(documents(spark, rows), bench, **options).collect()
         assert sorted(r["text"] or "" for r in got) == ["", "clean", "clean too"]
+
+
+def test_blocks_of_items_change_no_row(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(20)) for c in "ab")
+    bench = spark.createDataFrame([(None, a), (2, b), (3, b)], "item_id long, text string")
+    rows = [(None, f"{a} x"), (None, "clean"), (5, b), (5, b), (5, "other"), (6, None), (7, f"{a} {b}")]
+    want = sorted([("None", True, 1, "", 20), ("None", False, 0, "", 0), ("5", True, 2, "2,3", 40), ("5", True, 2, "2,3", 40), ("5", False, 0, "", 0), ("6", False, 0, "", 0), ("7", True, 3, "2,3", 60)])
+    for size in (4 << 20, 30, 8):
+        got = decontaminate.report(documents(spark, rows), bench, block_bytes=size).collect()
+        assert sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in got) == want
