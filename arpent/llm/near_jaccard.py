@@ -1,11 +1,14 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles, without a lost pair.
-
-A 64-bit SimHash cannot find pairs at a similarity of 0.8: they differ in about 10 bits on average,
-and a covering radius of r needs 2^(r+1) - 1 tables. Candidates come from prefix filtering instead.
-All shingles have one global order. If two sets of shingles have a similarity of num/den or more,
-then the first n - ceil(n * num / den) + 1 shingles of each, by that order, have one in common. So
-each set enters one bucket for each shingle of its prefix, and no pair is lost. The order puts
-shingles last that are frequent in a sample; the sample only decides the order, any order is exact.
+"""Near-duplicates by word shingles at a Jaccard similarity of num/den or more, without a lost pair.
+
+First, SimHash: fingerprints of the shingles are linked through the covering tables of
+`simhash_cover`, and a link counts if the two sets of shingles are as similar as asked. That joins
+most copies cheaply. But 64 bits cannot find every pair at a similarity of 0.8: these differ in about
+10 bits on average, and a covering radius of r needs 2^(r+1) - 1 tables. So, second, the remaining
+candidates come from prefix filtering. All shingles have one global order. If two sets of shingles
+have a similarity of num/den or more, then the first n - ceil(n * num / den) + 1 shingles of each, by
+that order, have one in common. So each set enters one bucket for each shingle of its prefix, and no
+pair is lost; only pairs that SimHash has not joined yet are compared. The order puts shingles last
+that are frequent in a sample; the sample only decides the order, any order is exact.
 
 Pairs of a bucket are filtered by sizes and by the shingles their prefixes share, which bounds the
 overlap from above, and then verified: intersection and union of both sets are counted.
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_columns, materialise, row_key, utf8
-from .simhash_cover import connected
+from .simhash_cover import connected, fingerprint_of, links
 
 _LOW = np.uint64(8)
 SAMPLE, ORDERED = 5000, 100_000
@@ -68,10 +71,10 @@ def _ordered(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.n
 
 
 def _sets(docs: DataFrame, text_col: str, width: int, num: int, den: int, frequent) -> DataFrame:
-    """(_id, _hash, node, size, last, prefix) for each row of (_id, _hash, text)."""
+    """(_id, _hash, node, size, last, prefix, fingerprint) for each row of (_id, _hash, text)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node, size, last, prefix = [], [], [], []
+        node, size, last, prefix, prints = [], [], [], [], []
         for t in batch.column(2).to_pylist():
             s = shingles_of(t, width)
             p = len(s) - -(-len(s) * num // den) + 1 if len(s) else 0
@@ -80,10 +83,11 @@ def _sets(docs: DataFrame, text_col: str, width: int, num: int, den: int, freque
             size.append(len(s))
             last.append(int(o[-1]) if p else 0)
             prefix.append(o)
-        columns = [pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(last, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["_id", "_hash", "node", "size", "last", "prefix"])
+            prints.append(fingerprint_of(t, width))
+        columns = [pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(last, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["_id", "_hash", "node", "size", "last", "prefix", "fingerprint"])
 
-    return map_columns(docs.select("_id", "_hash", utf8(text_col).alias("text")), run, "_id string, _hash long, node long, size int, last long, prefix array<long>")
+    return map_columns(docs.select("_id", "_hash", utf8(text_col).alias("text")), run, "_id string, _hash long, node long, size int, last long, prefix array<long>, fingerprint long")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -144,18 +148,30 @@ def _batch(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["u", "v", "a", "b", "first"])
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 4, den: int = 5, hot: int = 64, rounds: int = 8) -> DataFrame:
+def _by_simhash(nodes: DataFrame, radius: int) -> DataFrame:
+    """(u, v): pairs of nodes whose fingerprints are linked; each node of a fingerprint with its first one."""
+    prints = materialise(nodes.groupBy("fingerprint").agg(F.min("node").alias("first")), "prints")
+    found = links(prints.select(F.col("fingerprint").alias("value")), radius)
+    ends = [prints.select(F.col("fingerprint").alias(c), F.col("first").alias(f"node_{c}")) for c in ("u", "v")]
+    linked = found.join(ends[0], "u").join(ends[1], "v").select(F.col("node_u").alias("x"), F.col("node_v").alias("y"))
+    equal = nodes.select("fingerprint", "node").join(prints, "fingerprint").select(F.col("node").alias("x"), F.col("first").alias("y"))
+    pairs = linked.unionByName(equal).where("x <> y")
+    return pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 4, den: int = 5, radius: int = 3, hot: int = 64, rounds: int = 8) -> DataFrame:
     """(_id, _hash, component), for each row of `docs`: what links of a similarity of num/den connect."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text_col, width))
     texts = docs.select(*row_key(id_col, text_col), utf8(text_col).alias("text"))
     rows = materialise(_sets(texts, "text", width, num, den, frequent), "shingles")
-    nodes = materialise(rows.dropDuplicates(["node"]).select("node", "size", "last", "prefix"), "nodes")
+    nodes = materialise(rows.dropDuplicates(["node"]).select("node", "size", "last", "prefix", "fingerprint"), "nodes")
+    edges = materialise(_verified(materialise(_by_simhash(nodes, radius), "linked"), rows, texts, width, num, den), "links")
+    labels = connected(edges)
     entries = nodes.select(F.explode("prefix").alias("key"), "node", "size")
     busy = materialise(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"), "busy")
-    labels = edges = done = None
+    done = None
     if busy.limit(1).count():
         crowd = materialise(entries.join(busy, "key", "left_semi"), "crowd")
-        labels = crowd.select("node", F.col("node").alias("label")).limit(0)
         left = -1
         for k in range(rounds):
             named = crowd.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label"))
@@ -169,13 +185,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
             tried = named.join(centres, "key").where((F.col("label") != F.col("c.label")) & _sizes_fit(F.col("size"), F.col("c.size"), num, den))
             pairs = tried.select(F.greatest("node", "c.node").alias("v"), F.least("node", "c.node").alias("u")).distinct()
             found = _verified(materialise(pairs, "tried"), rows, texts, width, num, den)
-            edges = materialise(found if edges is None else edges.unionByName(found), "links")
+            edges = materialise(edges.unionByName(found), "links")
             labels = connected(edges)
         last = crowd.join(labels, "node", "left").groupBy("key").agg(F.min(F.coalesce("label", "node")).alias("a"), F.max(F.coalesce("label", "node")).alias("b"))
         done = materialise(last.where("a = b").select("key"), "done")
-        nodes = nodes.join(labels, "node", "left").select("node", "size", "last", "prefix", F.coalesce("label", "node").alias("group"))
-    else:
-        nodes = nodes.withColumn("group", F.col("node"))
+    nodes = nodes.join(labels, "node", "left").select("node", "size", "last", "prefix", F.coalesce("label", "node").alias("group"))
     open_ = nodes.select(F.explode("prefix").alias("key"), "node", "group", "size", "last")
     if done is not None:
         open_ = open_.join(done, "key", "left_anti")
@@ -186,7 +200,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     most = F.col("n") + F.floor((size * num + (den - 1)) / den) - 1
     pairs = materialise(shared.where(most * (num + den) >= (F.col("a") + F.col("b")) * num).select("u", "v"), "pairs")
     found = _verified(pairs, rows, texts, width, num, den)
-    found = found if edges is None else edges.unionByName(found)
+    found = edges.unionByName(found)
     labels = connected(materialise(found, "links"))
     return rows.join(labels, "node", "left").select("_id", "_hash", F.coalesce("label", "node").alias("component"))
 
