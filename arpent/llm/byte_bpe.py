@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns
+from .common import map_columns, per_process
 
 
 def byte_alphabet() -> list[str]:
@@ -56,7 +56,7 @@ def merges_of(tokens: list[bytes]) -> list[tuple[bytes, bytes]]:
 
 
 class ByteBpe:
-    """Encoder and decoder for one rank file; built once for each task."""
+    """Encoder and decoder for one rank file; built once for each Python process."""
 
     def __init__(self, path: str, pattern: str):
         from tokenizers import Regex, Tokenizer
@@ -85,17 +85,13 @@ class ByteBpe:
 
 
 def _lazy(path: str, pattern: str):
-    held: list[ByteBpe] = []
+    def make() -> ByteBpe:
+        import os
 
-    def get() -> ByteBpe:
-        if not held:
-            import os
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
+        return ByteBpe(path, pattern)
 
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
-            held.append(ByteBpe(path, pattern))
-        return held[0]
-
-    return get
+    return lambda: per_process(("bpe", path, pattern), make)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", offsets: bool = False) -> DataFrame:

@@ -1,7 +1,9 @@
 """What the training-data operators share: tables, materialised stages, Arrow mapping."""
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -59,6 +61,18 @@ def utf8(column: str | Column) -> Column:
     return column.cast("binary")
 
 
+def per_process(key: tuple, make: Callable[[], object]) -> object:
+    """What `make` gives, once for each Python process.
+
+    Functions may travel to the workers by value, with globals of their own for each task; modules
+    of the interpreter stay.
+    """
+    held = sys.modules.setdefault("_arpent_held", types.ModuleType("_arpent_held")).__dict__.setdefault("objects", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def map_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 512) -> DataFrame:
     """Apply `fn` to Arrow batches of at most `rows` rows, so that a batch of long texts stays small."""
 

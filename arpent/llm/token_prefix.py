@@ -3,8 +3,8 @@
 The encoding of a prefix ends with one token t, and what stands before t is encoded as that shorter
 prefix is: so count[i] = count[i - len(t)] + 1, where t is the longest vocabulary entry ending at i
 that may follow the last token of the shorter prefix, that is, no merge with a lower rank would
-have joined across the border. States are keyed by the prefix of a split piece, and pieces that
-begin alike share them.
+have joined across the border. An automaton over the vocabulary gives the entries that end at each
+byte, longest first, in one pass, so a long piece costs no more for each byte than a short one.
 
 `prefix_counts` gives one number for each prefix in characters; the largest prefix within a budget,
 the count after truncation and the count of the whole text are look-ups. A prefix is split as a
@@ -17,6 +17,7 @@ table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_alphabet
-from .common import map_columns
+from .common import map_columns, per_process
+
+
+SHORT = 63  #: characters of a piece whose counts fit bytes
+HEAD = 5
 
 
 class PrefixCounter:
@@ -38,7 +43,7 @@ class PrefixCounter:
         raw = lambda s: bytes(back[c] for c in s)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.vocab = {raw(s): k for s, k in spec["model"]["vocab"].items() if s not in self.special}
-        self.longest = max(map(len, self.vocab))
+        self._build_automaton()
         self.join: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         for m in spec["model"]["merges"]:
@@ -52,15 +57,16 @@ class PrefixCounter:
         self.runs = regex.compile(r"\s{2,}")
         self.cuts = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.limit = cache_pieces
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: list[dict[int, bool]] = [{} for _ in range(max(self.vocab.values()) + 1)]
+        self.known_pairs = 0
         self._reset()
 
     def _reset(self) -> None:
-        self.states: dict[bytes, tuple[int, int]] = {b"": (0, -1)}
         self.cache: dict[str, bytes] = {}
+        self.heads: dict[bytes, tuple[list[int], list[int], int]] = {}  # pieces that begin alike share so much
         for whole in ("'re", "'ve", "'ll"):  # a prefix of these is an apostrophe and a letter
             counts = self._counts(whole)
-            self.cache[whole] = np.array([1, 2, counts[-1]], dtype="<u4").tobytes()
+            self.cache[whole] = bytes([1, 2, counts[-1]])
 
     def _apart(self, left: int, right: int) -> bool:
         """Whether two tokens may stand side by side.
@@ -69,9 +75,6 @@ class PrefixCounter:
         the first symbol of the right one stand at the border; if they merge before the next merge
         on either side takes one of them, the border would have gone.
         """
-        known = self.pairs.get((left, right))
-        if known is not None:
-            return known
         a, b = left, right
         taken_a = taken_b = len(self.join) + 1  # the step at which the symbol at the border is taken
         apart = True
@@ -88,77 +91,144 @@ class PrefixCounter:
                 taken_a, a = made_a, self.parts[a][1]
             else:
                 taken_b, b = made_b, self.parts[b][0]
-        if len(self.pairs) > 2_000_000:
-            self.pairs.clear()
-        self.pairs[left, right] = apart
+        self.known_pairs += 1
+        if self.known_pairs > 2_000_000:
+            self.known_pairs = 0
+            for known in self.pairs:
+                known.clear()
+        self.pairs[left][right] = apart
         return apart
 
-    def _state(self, prefix: bytes) -> tuple[int, int]:
-        """(count, last token) of a prefix whose own shorter prefixes are known."""
-        found = self.states.get(prefix)
-        if found is None:
-            n = len(prefix)
-            for size in range(min(n, self.longest), 0, -1):
-                token = self.vocab.get(prefix[n - size :])
-                if token is not None:
-                    count, last = self.states[prefix[: n - size]]
-                    if last < 0 or self._apart(last, token):
-                        found = count + 1, token
-                        break
-            self.states[prefix] = found
+    def _build_automaton(self) -> None:
+        """States are prefixes of vocabulary entries; `outs` has the entries a state ends with, longest first."""
+        self.steps, self.fail, own = {}, [0], [None]
+        for t, k in self.vocab.items():
+            state = 0
+            for byte in t:
+                edge = state << 8 | byte
+                state = self.steps.setdefault(edge, len(self.fail))
+                if state == len(self.fail):
+                    self.fail.append(0)
+                    own.append(None)
+            own[state] = (len(t), k)
+        self.outs: list[tuple] = [()] * len(own)
+        level = [(0, 0, 0)]  # (state, its parent, byte)
+        follow: list[list[tuple[int, int]]] = [[] for _ in own]
+        for edge, child in self.steps.items():
+            follow[edge >> 8].append((edge & 255, child))
+        self.jumps: dict[int, int] = {}  # steps, and what follows from them by falling back
+        while level:
+            for state, parent, byte in level:
+                if parent:
+                    self.fail[state] = self._fall(self.fail[parent], byte)
+                self.outs[state] = ((own[state],) if own[state] else ()) + (self.outs[self.fail[state]] if state else ())
+            level = [(child, state, byte) for state, _, _ in level for byte, child in follow[state]]
+
+    def _fall(self, state: int, byte: int) -> int:
+        while True:
+            found = self.steps.get(state << 8 | byte)
+            if found is not None:
+                return found
+            if not state:
+                return 0
+            state = self.fail[state]
+
+    def _jump(self, edge: int) -> int:
+        if len(self.jumps) > 2_000_000:
+            self.jumps.clear()
+        found = self.jumps[edge] = self._fall(edge >> 8, edge & 255)
         return found
 
     def _counts(self, piece: str) -> list[int]:
         """The counts of all prefixes of one piece, in characters."""
-        raw, at, out = piece.encode("utf-8", "replace"), 0, []
-        if len(raw) > 4096:
-            return self._long(piece, raw)
-        for char in piece:
-            for _ in range(len(char.encode("utf-8", "replace"))):
-                at += 1
-                count, _last = self._state(raw[:at])
-            out.append(count)
-        return out
-
-    def _long(self, piece: str, raw: bytes) -> list[int]:
-        """The same with states by position, for pieces too long to key by their prefixes."""
-        counts, lasts = [0], [-1]
-        for n in range(1, len(raw) + 1):
-            for size in range(min(n, self.longest), 0, -1):
-                token = self.vocab.get(raw[n - size : n])
-                if token is not None and (lasts[n - size] < 0 or self._apart(lasts[n - size], token)):
-                    counts.append(counts[n - size] + 1)
+        raw = piece.encode("utf-8", "replace")
+        known = self.heads.get(raw[:HEAD])
+        if known:
+            counts, lasts, state = known[0].copy(), known[1].copy(), known[2]
+        else:
+            counts, lasts, state = [], [], 0
+        pairs, jumps, outs = self.pairs, self.jumps, self.outs
+        for at in range(len(counts), len(raw)):
+            if at == HEAD and not known:
+                self.heads[raw[:HEAD]] = counts.copy(), lasts.copy(), state
+            byte = raw[at]
+            edge = state << 8 | byte
+            state = jumps.get(edge)
+            if state is None:
+                state = self._jump(edge)
+            for size, token in outs[state]:
+                before = at - size
+                if before < 0:
+                    counts.append(1)
                     lasts.append(token)
                     break
-        ends = np.cumsum([len(c.encode("utf-8", "replace")) for c in piece])
-        return np.array(counts)[ends].tolist()
+                last = lasts[before]
+                may = pairs[last].get(token)
+                if may or (may is None and self._apart(last, token)):
+                    counts.append(counts[before] + 1)
+                    lasts.append(token)
+                    break
+        if len(raw) == len(piece):
+            return counts
+        at, out = 0, []
+        for char in piece:
+            at += len(char.encode("utf-8", "replace"))
+            out.append(counts[at - 1])
+        return out
 
     def _piece(self, piece: str) -> bytes:
-        found = self.cache.get(piece)
-        if found is None:
-            found = np.array(self._counts(piece), dtype="<u4").tobytes()
-            if len(self.cache) >= self.limit or len(self.states) >= 4 * self.limit:
-                self._reset()
-            if len(piece) <= 64:
-                self.cache[piece] = found
+        """The counts of a piece of at most SHORT characters, one byte each."""
+        found = bytes(self._counts(piece))
+        if len(self.cache) >= self.limit:
+            self._reset()
+        self.cache[piece] = found
         return found
 
-    def _plain(self, text: str) -> np.ndarray:
+    def _long(self, piece: str) -> np.ndarray:
+        return np.array(self._counts(piece), dtype=np.uint32) if len(piece) > SHORT else np.frombuffer(self.cache.get(piece) or self._piece(piece), dtype=np.uint8)
+
+    def _plain(self, text: str, pieces: list[str] | None = None) -> np.ndarray:
         """Counts of all prefixes of a text without special tokens."""
-        pieces = self.split.findall(text)
+        pieces = self.split.findall(text) if pieces is None else pieces
         if not pieces:
             return np.empty(0, dtype=np.int64)
-        inner = np.frombuffer(b"".join(map(self._piece, pieces)), dtype="<u4").astype(np.int64)
         sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-        ends = np.cumsum(sizes)
-        before = np.cumsum(inner[ends - 1]) - inner[ends - 1]
-        out = inner + np.repeat(before, sizes)
+        if sizes.max() > SHORT:
+            inner = np.concatenate(list(map(self._long, pieces)))
+        else:
+            found = list(map(self.cache.get, pieces))
+            if None in found:
+                found = [f or self._piece(p) for f, p in zip(found, pieces)]
+            inner = np.frombuffer(b"".join(found), dtype=np.uint8)
+        each = inner[np.cumsum(sizes) - 1].astype(np.int64)
+        out = inner + np.repeat(np.cumsum(each) - each, sizes)
         for run in self.runs.finditer(text):
             base = out[run.start() - 1] if run.start() else 0
-            own = base + np.frombuffer(self._piece(run[0]), dtype="<u4")
-            out[run.start() : run.end()] = own
+            out[run.start() : run.end()] = base + self._long(run[0])
         return out
 
+    def prefix_counts_of(self, texts: list[str | None], block: int = 1 << 20) -> Iterator[np.ndarray]:
+        """The counts of many texts. New pieces of a block of texts are met in their order, so that
+        neighbours are alike and what they need is at hand."""
+        held, size = [], 0
+
+        def solve() -> Iterator[np.ndarray]:
+            split = [None if self.cuts and self.cuts.search(t) else self.split.findall(t) for t in held]
+            new = set().union(*filter(None, split)) - self.cache.keys()
+            for p in sorted(new):
+                if len(p) <= SHORT:
+                    self._piece(p)
+            for text, pieces in zip(held, split):
+                yield self.prefix_counts(text) if pieces is None else self._plain(text, pieces)
+
+        for text in texts:
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= block:
+                yield from solve()
+                held, size = [], 0
+        yield from solve()
+
     def prefix_counts(self, text: str | None) -> np.ndarray:
         """counts[i]: tokens of the first i + 1 characters."""
         text = text or ""
@@ -194,21 +264,19 @@ def token_budget(docs: DataFrame, path: str, pattern: str, budget: int = 512, id
 
 
 def _mapped(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, budget: int | None) -> DataFrame:
-    held: list[PrefixCounter] = []
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not held:
-            held.append(PrefixCounter(path, pattern))
+        counter = per_process(("prefix", path, pattern), lambda: PrefixCounter(path, pattern))
         texts = [t or "" for t in batch.column(1).to_pylist()]
-        counts = list(map(held[0].prefix_counts, texts))
         size = pa.array([len(t.encode("utf-8", "replace")) for t in texts], pa.int64())
         if budget is None:
-            return pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(counts, pa.list_(pa.int64()))], ["doc_id", "n_bytes", "counts"])
-        total = [int(c[-1]) if len(c) else 0 for c in counts]
-        fit = [PrefixCounter.longest_within(c, budget) for c in counts]
+            return pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(list(counter.prefix_counts_of(texts)), pa.list_(pa.int64()))], ["doc_id", "n_bytes", "counts"])
+        total, fit = [], []
+        for c in counter.prefix_counts_of(texts):
+            total.append(int(c[-1]) if len(c) else 0)
+            fit.append(PrefixCounter.longest_within(c, budget))
         arrays = [batch.column(0), size, pa.array(total, pa.int64()), pa.array([t > budget for t in total], pa.bool_()), pa.array(fit, pa.int64())]
         return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, n_bytes long, counts array<long>" if budget is None else "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long"
-    return map_columns(narrow, run, schema, rows=64)
+    return map_columns(narrow, run, schema, rows=256)
