@@ -9,7 +9,7 @@ Prediction reads whole texts and nothing but texts.
 
 Defined results: null texts and texts without a letter are `und` with score 0; labels that are null
 are not learned from; without any label everything is `und`; ties between languages go to the first
-in alphabetical order; repeated rows are predicted alike; other columns are ignored.
+in alphabetical order; rows without an id are held out; repeated rows are predicted alike; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -198,4 +198,4 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
-    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(True))

@@ -7,13 +7,15 @@ a border, so each distinct word is scored once, whatever its count.
 
 The scores that come with the vocabulary are merge ranks (an order, not logarithms of
 probabilities), so they only shape the prior: 1 / (rank + 10), normalised. Weights are re-estimated
-on the training words by expectation maximisation over the same lattices. Pieces that can't occur
+on the training words by one round of expectation maximisation over the same lattices. Pieces that can't occur
 (upper case A-Z, inner borders) get no weight; the 256 byte pieces spell any other character, so
 every text has a positive probability.
 
 Training words are entries of the lattice themselves: a discount D of each word's count is what the
 spelling gets, P(w) = max(c - D, 0) / N + D * V / N * spelling(w). Training documents of one class
-(here: one language) give a distribution of their own, discounted in the same way in favour of P.
+(here: one language, at most `max_classes`, the most frequent ones; all others are one class) give a
+distribution of their own, discounted in the same way in favour of P. A table without that column
+has one class.
 The class of a text is never looked at when it is scored: its probability is the mixture over
 classes, p(class) * product of P(w | class), and n words before the end follow a geometric law.
 
@@ -22,7 +24,7 @@ word; the lattice pass over distinct words; a join of postings with word scores,
 split where a word is hot; sums by chunk. Nothing but one number for each piece reaches the driver.
 
 Defined results: null text counts as empty and scores the end piece alone; repeated rows are scored
-each; rows without an id are hashed as empty text; without training rows the prior is used and
+each; rows without an id are hashed as empty text, so they are held out; without training rows the prior is used and
 nothing is known; an empty table gives an empty table; other columns are ignored.
 """
 from __future__ import annotations
@@ -158,17 +160,22 @@ class Lattice:
             alpha = self.forward(codes, edges)
             beta = np.full_like(alpha, -np.inf)
             beta[-1] = 0.0
-            for i, j, rows, _, weight in reversed(edges):
-                beta[i, rows] = np.logaddexp(beta[i, rows], beta[j, rows] + weight)
-            for i, j, rows, at, weight in edges:
-                use = np.exp(alpha[i, rows] + weight + beta[j, rows] - alpha[-1, rows]) * times[rows_in[rows]]
+            used, uses, spelled, shares = [], [], [], []
+            for i, j, rows, at, weight in reversed(edges):  # ordered by start, so beta[j] is complete
+                there = weight + beta[j, rows]
+                beta[i, rows] = np.logaddexp(beta[i, rows], there)
+                use = np.exp(alpha[i, rows] + there - alpha[-1, rows]) * times[rows_in[rows]]
                 if at[0] >= 0:
-                    total += np.bincount(at, use, minlength=self.n)
+                    used.append(at)
+                    uses.append(use)
                 else:
-                    for code in np.unique(codes[:, i]):
-                        share = use[codes[:, i] == code].sum()
-                        if share > 0:
-                            np.add.at(total, self.byte_at[list(chr(int(code)).encode("utf-8", "replace"))], share)
+                    spelled.append(codes[:, i])
+                    shares.append(use)
+            if used:
+                total += np.bincount(np.concatenate(used), np.concatenate(uses), minlength=self.n)
+            kinds, where = np.unique(np.concatenate(spelled), return_inverse=True)
+            for code, share in zip(kinds.tolist(), np.bincount(where, np.concatenate(shares)).tolist()):
+                np.add.at(total, self.byte_at[list(chr(code).encode("utf-8", "replace"))], share)
         return total
 
 
@@ -208,16 +215,16 @@ def _flush(ids: list, kinds: np.ndarray, texts: list[list[bytes]], chunk: int, n
         train[-1, k] = mine.sum()
         if len(begin):
             train[:-1, k] = np.add.reduceat(times * mine[row], begin)
-    row4, times4 = row.astype("<u4").tobytes(), times.astype("<u4").tobytes()
-    edge = [*(begin * 4).tolist(), len(row) * 4]
+    row2, times4 = row.astype("<u2").tobytes(), times.astype("<u4").tobytes()
+    edge = [*begin.tolist(), len(row)]
     spans = list(zip(edge, edge[1:]))
     offsets = pa.array(np.arange(len(train) + 1, dtype=np.int32) * n_kinds)
     columns = [
         pa.array([*every.dictionary.to_pylist(), None], pa.binary()),
         pa.array(np.full(len(spans) + 1, chunk)),
         pa.ListArray.from_arrays(offsets, pa.array(train.ravel())),
-        pa.array([*(row4[a:b] for a, b in spans), None], pa.binary()),
-        pa.array([*(times4[a:b] for a, b in spans), sizes.astype("<u4").tobytes()], pa.binary()),
+        pa.array([*(row2[2 * a : 2 * b] for a, b in spans), None], pa.binary()),
+        pa.array([*(times4[4 * a : 4 * b] for a, b in spans), sizes.astype("<u4").tobytes()], pa.binary()),
         pa.array([*[None] * len(spans), ids], pa.list_(pa.int64())),
     ]
     return pa.RecordBatch.from_arrays(columns, ["word", "chunk", "n_train", "at", "n", "ids"])
@@ -250,7 +257,7 @@ def _texts(column: pa.Array) -> list[str]:
     return [w.decode("utf-8", "replace") for w in column.to_pylist()]
 
 
-def learn_weights(counts: DataFrame, path: str, rounds: int = 2, prior_count: float = 1000.0) -> np.ndarray:
+def learn_weights(counts: DataFrame, path: str, rounds: int = 1, prior_count: float = 1000.0) -> np.ndarray:
     """Weights of the pieces from (word, c): each training word once, as discounts are."""
     pieces, prior, byte_at = read_pieces(path)
     weights = prior
@@ -274,10 +281,16 @@ def learn_weights(counts: DataFrame, path: str, rounds: int = 2, prior_count: fl
     return weights
 
 
-def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", class_col: str = "lang", rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", class_col: str = "lang", rounds: int = 1, max_classes: int = 32) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of `docs`."""
-    labels = docs.select(F.coalesce(F.col(class_col).cast("string"), F.lit("")).alias("k")).distinct()
-    classes = sorted(r[0] for r in labels.collect()) or [""]  # languages: a short list
+    if class_col not in docs.columns:
+        docs = docs.withColumn(class_col, F.lit(""))
+    learned = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 != 0
+    labels = docs.where(learned).groupBy(F.coalesce(F.col(class_col).cast("string"), F.lit("")).alias("k")).agg(F.count("*").alias("n"))
+    often = [r["k"] for r in labels.orderBy(F.desc("n"), "k").limit(max_classes + 1).collect()]
+    classes = sorted(often) or [""]
+    if len(often) > max_classes:
+        classes = ["", *sorted(k for k in often[:max_classes] if k)]  # rarer ones are counted with those without a label
     posted = materialise(postings(docs, classes, id_col, text_col, class_col), "postings")
     words = posted.where("word IS NOT NULL")
     of_class = [F.coalesce(F.sum(F.get("n_train", F.lit(k))), F.lit(0)).alias(f"c{k}") for k in range(len(classes))]
@@ -311,11 +324,11 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 for k, (n, v, d) in enumerate(by_class):
                     own = batch.column(2 + k).to_numpy().astype(float)
                     out.append(np.logaddexp(every + np.log(d * v / n), np.log(np.maximum(own - d, 0.0) / n)) if n else every)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.log10((c + 0.1) / below)), *map(pa.array, out)], ["word", "c", "base", *names_p])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *map(pa.array, out)], ["word", "c", *names_p])
 
-    schema = ", ".join(["word binary, c long, base double", *(f"{c} double" for c in names_p)])
+    schema = ", ".join(["word binary, c long", *(f"{c} double" for c in names_p)])
     scored = materialise(counts.mapInArrow(lattice_pass, schema), "scored")
-    joined = words.select("word", "chunk", "at", "n").join(scored, "word").select("chunk", "at", "n", "c", "base", *names_p)
+    joined = words.select("word", "chunk", "at", "n").join(scored, "word").select("chunk", "at", "n", "c", *names_p)
     columns = ["known", "base", *names_p]
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,22 +341,23 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             for chunk, slot in slots.items():
                 part = slice(slot * 4096, slot * 4096 + 4096)
                 at = np.flatnonzero(seen[part])
-                rows.append((chunk, at.astype("<u4").tobytes(), *(x[part][at].tobytes() for x in sums)))
+                rows.append((chunk, at.astype("<u2").tobytes(), *(x[part][at].tobytes() for x in sums)))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * (1 + len(columns))))], ["chunk", "at", *columns])
 
         for batch in batches:
             chunk, own = np.unique(batch.column(0).to_numpy(), return_inverse=True)
             slot = np.array([slots.setdefault(int(c), len(slots)) for c in chunk])[own]
             at, n = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            size = np.fromiter(map(len, at), dtype=np.int64, count=len(at)) // 4
-            row = np.frombuffer(b"".join(at), dtype="<u4") + np.repeat(slot * 4096, size)
+            size = np.fromiter(map(len, at), dtype=np.int64, count=len(at)) // 2
+            row = np.frombuffer(b"".join(at), dtype="<u2") + np.repeat(slot * 4096, size)
             times = np.frombuffer(b"".join(n), dtype="<u4").astype(float)
             room = len(slots) * 4096
             if sums.shape[1] < room:
                 sums = np.concatenate((sums, np.zeros((len(columns), room - sums.shape[1]))), axis=1)
                 seen = np.concatenate((seen, np.zeros(room - len(seen), dtype=bool)))
             seen[row] = True
-            each = [batch.column(3).to_numpy() > 0, *(c.to_numpy() for c in batch.columns[4:])]
+            c = batch.column(3).to_numpy()
+            each = [c > 0, np.log10((c + 0.1) / below), *(p.to_numpy() for p in batch.columns[4:])]
             for total, value in zip(sums, each):
                 total += np.bincount(row, times * np.repeat(value, size), minlength=sums.shape[1])
             if len(slots) >= 256:
@@ -391,7 +405,7 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 if r["ids"] is not None:
                     ids, sizes = r["ids"], np.frombuffer(r["n"], dtype="<u4")
                 else:
-                    at = np.frombuffer(r["at"], dtype="<u4")
+                    at = np.frombuffer(r["at"], dtype="<u2")
                     for total, name in zip(sums, columns):
                         total[at] += np.frombuffer(r[name])
         if now is not None:
