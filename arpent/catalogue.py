@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -371,7 +372,7 @@ def zone_colours(spark, d):
     "FROM stats s JOIN names ON s.zone = names.section LEFT JOIN streets ON s.zone = streets.zone, scale"
 )
 def layer_price(spark, d):
-    s = standin.clean(spark, d)
+    s = standin.clean(spark, d).persist(StorageLevel.DISK_ONLY)  # read four times; lost blocks are computed again
     return scale.price_layer(zones.statistics(s, "section"), zones.labels(s, "section"), zones.main_streets(s, "section"))
 
 
@@ -385,6 +386,46 @@ def layer_trend(spark, d):
     return scale.trend_layer(zones.statistics(s, "commune"), _rounded_trend(trend.trend(s, "commune")))
 
 
+_EUROS = "replace(format('{{:,}}', round_even({0}, 0)::BIGINT), ',', ' ')"
+_LEGEND_TICKS = ", ".join(_EUROS.format(f"(low + {k / 4} * (high - low))") for k in range(5))
+
+
+def _texts(row, *arrays):
+    return row.select(*(F.array_join(c, "|").alias(c) if c in arrays else c for c in row.columns))
+
+
+@register(f"{_STATS_SQL}{_SCALE_SQL} SELECT 'Median price' AS title, '{'|'.join(sc.PRICE_PALETTE)}' AS palette, concat_ws('|', {_LEGEND_TICKS}) AS ticks, 'Grey: few sales' AS note FROM scale")
+def legend_price(spark, d):
+    return _texts(scale.price_legend(scale.scale(zones.statistics(standin.clean(spark, d), "section")), "Median price", "Grey: few sales"), "palette", "ticks")
+
+
+@register(
+    _trend_sql("commune") + f", {_AMPLITUDE_SQL} SELECT 'Yearly change' AS title, '{'|'.join(sc.TREND_PALETTE)}' AS palette, 'Grey: few years' AS note, "
+    "replace(format('{:+.1f} %/an|+0.0 %/an|{:+.1f} %/an', -amplitude, amplitude), '.', ',') AS ticks FROM amp"
+)
+def legend_trend(spark, d):
+    return _texts(scale.trend_legend(trend.amplitude(trend.trend(standin.clean(spark, d), "commune")), "Yearly change", "Grey: few years"), "palette", "ticks")
+
+
+@register(f"{_STATS_SQL}{_SCALE_SQL} SELECT {q6('low')}, {q6('high')}, empty, '{'|'.join(sc.PRICE_PALETTE)}' AS palette, 'm2' AS \"column\" FROM scale")
+def scale_of_sales(spark, d):
+    return _texts(scale.sales_scale(scale.scale(zones.statistics(standin.clean(spark, d), "section"))).withColumns({"low": r6("low"), "high": r6("high")}), "palette")
+
+
+@register(
+    f"{WITH_CLEAN} SELECT string_agg(DISTINCT year::VARCHAR, '|' ORDER BY year::VARCHAR) AS years, 0.0::DOUBLE AS low, (floor(quantile_cont(area, 0.99) / 50) * 50 + 50)::DOUBLE AS high, true AS open_ended, "
+    "string_agg(DISTINCT property_type, '|' ORDER BY property_type) AS types, string_agg(DISTINCT state, '|' ORDER BY state) AS states FROM clean"
+)
+def filters_at_opening(spark, d):
+    return _texts(filters.default_filters(standin.clean(spark, d)), "years", "types", "states")
+
+
+@register(f"SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 'n/d' ELSE {_EUROS.format('o_totalprice')} || ' €' END AS euros, CASE WHEN o_orderkey % 50 = 0 THEN 'n/d' ELSE replace(format('{{:+.1f}} %/an', o_totalprice / 9973 - 20), '.', ',') END AS rate FROM orders")
+def number_labels(spark, d):
+    x = F.when(F.col("o_orderkey") % 50 != 0, F.col("o_totalprice"))
+    return standin.table(spark, d, "orders").select("o_orderkey", sc.euro_label(x).alias("euros"), sc.rate_label(x / 9973 - 20).alias("rate"))
+
+
 # --- vintages ---------------------------------------------------------------------------------
 
 _OLD, _NEW = "year <= 2000", "year >= 1996 AND sale_id % 9 <> 0"
@@ -430,7 +471,7 @@ UNION ALL SELECT 'communes lost', 'all', 0.0, n FROM g WHERE n > 3"""
 
 @register(_GUARD_SQL)
 def vintage_guardrails(spark, d):
-    s = standin.clean(spark, d)
+    s = standin.clean(spark, d).select("sale_id", "year", "commune", "department", "sale_date", "price_m2").persist(StorageLevel.DISK_ONLY)
     return vintage.guard_rails(s, s.where("commune > '00004' AND (year <> 1998 OR sale_id % 3 = 0)"))
 
 

@@ -151,3 +151,20 @@ def colour(position: Column, palette: Sequence[str]) -> Column:
         hexes.append(F.lpad(F.lower(F.hex(F.rint(a + (b - a) * part).cast("long"))), 2, "0"))
     # greatest and least skip nulls, so a missing position is told apart here
     return F.when(position.isNotNull(), F.concat(F.lit("#"), *hexes)).otherwise(F.lit(GREY))
+
+
+# Fixed values of labels.
+MISSING_LABEL, THOUSANDS = "n/d", " "
+
+
+def euro_label(x: Column, suffix: str = " €") -> Column:
+    """Whole euros, thousands set apart."""
+    text = F.replace(F.format_number(F.rint(x), 0), F.lit(","), F.lit(THOUSANDS))
+    return F.when(x.isNull() | F.isnan(x), MISSING_LABEL).otherwise(F.concat(text, F.lit(suffix)))
+
+
+def rate_label(x: Column) -> Column:
+    """A yearly rate in per cent with its sign, one decimal and a comma."""
+    digits = F.replace(F.replace(F.format_number(F.abs(x), 1), F.lit(","), F.lit("")), F.lit("."), F.lit(","))
+    sign = F.when(x < 0, "-").otherwise("+")
+    return F.when(x.isNull() | F.isnan(x), MISSING_LABEL).otherwise(F.concat(sign, digits, F.lit(" %/an")))

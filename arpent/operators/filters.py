@@ -58,3 +58,10 @@ def search(sales: DataFrame, commune: str, address: str, date: str) -> DataFrame
     found = sales.where((F.col("commune") == commune) | F.contains(F.lower("commune_name"), F.lit(commune.lower())))
     found = found.where(F.contains(address_key(F.col("address")), address_key(F.lit(address))))
     return found.where(F.startswith(F.date_format("sale_date", "yyyy-MM-dd"), F.lit(date)))
+
+
+def default_filters(sales: DataFrame) -> DataFrame:
+    """One row (years, low, high, open_ended, types, states): everything passes."""
+    listed = lambda c: F.array_sort(F.collect_set(c)).alias
+    top = (F.floor(F.percentile("area", 0.99) / 50) * 50 + 50).cast("double")
+    return sales.agg(listed("year")("years"), F.lit(0.0).alias("low"), top.alias("high"), F.lit(True).alias("open_ended"), listed("property_type")("types"), listed("state")("states"))

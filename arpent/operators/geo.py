@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import zero_fill
+
 POINT = "struct<lon:double,lat:double>"
 GEOMETRY = f"array<array<array<{POINT}>>>"
 _DEGREES_PER_METRE = 1.0 / 111_320.0
@@ -94,10 +96,17 @@ def vertex_count(geometry: Column) -> Column:
 
 
 def section_identity(properties: Column, get=F.get_json_object) -> Column:
-    """The 10-character section of three property schemas: code, id, or commune, prefix and letters."""
-    commune = F.coalesce(get(properties, "$.commune"), get(properties, "$.code_commune"))
-    built = F.concat(F.lpad(commune, 5, "0"), F.lpad(F.coalesce(get(properties, "$.prefixe"), F.lit("000")), 3, "0"), F.lpad(get(properties, "$.code"), 2, "0"))
-    return F.coalesce(get(properties, "$.code_section"), F.when(F.length(get(properties, "$.id")) == 10, get(properties, "$.id")), built)
+    """The 10-character section of three property schemas: ready codes, register files, and web answers.
+
+    Blank texts count as missing; NULL if the commune or the letters are missing.
+    """
+    value = lambda *names: F.coalesce(*(F.nullif(F.trim(get(properties, f"$.{n}")), F.lit("")) for n in names))
+    ready = [F.when(F.length(value(n)) >= 10, F.substring(value(n), 1, 10)) for n in ("code_section", "id")]
+    two_parts = F.nullif(F.concat(F.coalesce(value("code_dep"), F.lit("")), F.coalesce(value("code_com"), F.lit(""))), F.lit(""))
+    commune = F.coalesce(value("commune", "code_commune", "code_insee"), two_parts)
+    prefix = F.coalesce(value("prefixe", "com_abs"), F.lit("000"))
+    letters = value("code", "section", "section_courte")
+    return F.coalesce(*ready, F.concat(zero_fill(commune), zero_fill(prefix, 3), zero_fill(letters, 2)))
 
 
 def _keep(points: list[tuple[float, float]], tolerance: float, squeeze: float) -> list[tuple[float, float]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import GREY, PRICE_PALETTE, colour
+from ..functions.scalars import GREY, PRICE_PALETTE, TREND_PALETTE, colour, euro_label, rate_label
 from .trend import coloured
 
 SCARCE = 4
@@ -55,3 +55,20 @@ def trend_layer(stats: DataFrame, trends: DataFrame) -> DataFrame:
     return stats.join(t, "zone", "left").select(
         "zone", "n_sales", F.when(sure, F.col("rate")).alias("rate"), F.when(sure, F.col("r2")).alias("r2"), F.coalesce("n_years", F.lit(0)).alias("n_years"), F.coalesce("trend_colour", F.lit(GREY)).alias("colour")
     )
+
+
+def price_legend(one_scale: DataFrame, title: str, note: str, n: int = 5) -> DataFrame:
+    """(title, palette, ticks, note): one row, ticks as euro labels."""
+    labels = F.array(*(euro_label(F.col("low") + F.lit(k / (n - 1)) * (F.col("high") - F.col("low")), "") for k in range(n)))
+    return one_scale.select(F.lit(title).alias("title"), F.array(*map(F.lit, PRICE_PALETTE)).alias("palette"), labels.alias("ticks"), F.lit(note).alias("note"))
+
+
+def trend_legend(one_amplitude: DataFrame, title: str, note: str) -> DataFrame:
+    """The same for yearly rates from minus to plus the amplitude."""
+    a = F.col("amplitude")
+    return one_amplitude.select(F.lit(title).alias("title"), F.array(*map(F.lit, TREND_PALETTE)).alias("palette"), F.array(rate_label(-a), rate_label(a * 0), rate_label(a)).alias("ticks"), F.lit(note).alias("note"))
+
+
+def sales_scale(one_scale: DataFrame, column: str = "price_m2") -> DataFrame:
+    """What a map needs to colour sales on the scale of the zones: bounds and palette, no colour for each sale."""
+    return one_scale.select("low", "high", "empty", F.array(*map(F.lit, PRICE_PALETTE)).alias("palette"), F.lit("m2" if column == "price_m2" else "va").alias("column"))

@@ -37,18 +37,32 @@ def orphans(sales: DataFrame, contours: DataFrame) -> DataFrame:
 
 
 def guard_rails(old: DataFrame, new: DataFrame, contours: DataFrame | None = None, department: str = "department") -> DataFrame:
-    """(rule, subject, before, after) for each rule that the refresh breaks."""
-    total = old.agg(F.count("*").cast("double").alias("before")).crossJoin(new.agg(F.count("*").cast("double").alias("after")))
-    parts = [total.where(F.col("after") < (1 - SALES_DROP) * F.col("before")).select(F.lit("total").alias("rule"), F.lit("all").alias("subject"), "before", "after")]
-    a, b = same_period(old, new)
-    years = compare(a, b, "year").where("before > 0").where(F.col("after") < (1 - YEAR_DROP) * F.col("before"))
+    """(rule, subject, before, after) for each rule that the refresh breaks.
+
+    Counts by year, commune and day are made once for both sides and shared by all rules but the
+    median, which needs the prices.
+    """
+    side = lambda d, k: d.select(F.lit(k).alias("side"), "year", "commune", "sale_date", "price_m2", F.col(department).alias("department"))
+    both = side(old, 0).unionByName(side(new, 1))
+    counts = both.groupBy("side", "year", "commune", "sale_date").agg(F.count("*").alias("n"))
+    of = lambda k, what: F.sum(F.when(F.col("side") == k, what))
+    facts = counts.agg(*(F.coalesce(of(k, F.col("n")), F.lit(0)).cast("double").alias(c) for k, c in ((0, "before"), (1, "after"))))
+    parts = [facts.where(F.col("after") < (1 - SALES_DROP) * F.col("before")).select(F.lit("total").alias("rule"), F.lit("all").alias("subject"), "before", "after")]
+    ends = [f(F.when(F.col("side") == k, F.col("sale_date"))) for k in (0, 1) for f in (F.min, F.max)]
+    span = counts.agg(F.greatest(ends[0], ends[2]).alias("from_"), F.least(ends[1], ends[3]).alias("to_"))  # one row
+    inside = lambda d: d.crossJoin(F.broadcast(span)).where(F.col("sale_date").between(F.col("from_"), F.col("to_")))
+    years = inside(counts).where("year IS NOT NULL").groupBy("year").agg(*(F.coalesce(of(k, F.col("n")), F.lit(0)).alias(c) for k, c in ((0, "before"), (1, "after"))))
+    years = years.where("before > 0").where(F.col("after") < (1 - YEAR_DROP) * F.col("before"))
     parts.append(years.select(F.lit("year"), F.col("year").cast("string"), F.col("before").cast("double"), F.col("after").cast("double")))
-    shift = compare(a, b, department, F.median("price_m2")).where(F.abs(F.try_divide("after", "before") - 1) > PRICE_SHIFT)
-    parts.append(shift.select(F.lit("median price"), F.col(department).cast("string"), "before", "after"))
-    lost = commune_changes(old, new).where("change = 'gone'").agg(F.count("*").cast("double").alias("n")).where(F.col("n") > COMMUNES_LOST)
+    price = lambda k: F.median(F.when(F.col("side") == k, F.col("price_m2")))
+    shift = inside(both).where("department IS NOT NULL").groupBy("department").agg(price(0).alias("before"), price(1).alias("after"))
+    shift = shift.where(F.abs(F.try_divide("after", "before") - 1) > PRICE_SHIFT)
+    parts.append(shift.select(F.lit("median price"), F.col("department").cast("string"), "before", "after"))
+    gone = counts.where("commune IS NOT NULL").groupBy("commune").agg(F.max("side").alias("last")).where("last = 0")
+    lost = gone.agg(F.count("*").cast("double").alias("n")).where(F.col("n") > COMMUNES_LOST)
     parts.append(lost.select(F.lit("communes lost"), F.lit("all"), F.lit(0.0), "n"))
     if contours is not None:
-        missing = orphans(new, contours).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n")).crossJoin(new.agg(F.count("*").cast("double").alias("all")))
+        missing = orphans(new, contours).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n")).crossJoin(facts.select(F.col("after").alias("all")))
         parts.append(missing.where((F.col("all") > 0) & (F.col("n") > WITHOUT_CONTOUR * F.col("all"))).select(F.lit("without contour"), F.lit("all"), "all", "n"))
     out = parts[0]
     for p in parts[1:]:

@@ -31,17 +31,12 @@ def statistics(sales: DataFrame, key: str) -> DataFrame:
 
 
 def statistics_of_both(sales: DataFrame) -> DataFrame:
-    """Sections and communes in one pass, by grouping sets."""
-    name = "arpent_both"
-    sales.select("section", "commune", "price_m2", "price", "area").createOrReplaceTempView(name)
-    out = sales.sparkSession.sql(
-        f"""SELECT CASE WHEN grouping(section) = 0 THEN 'section' ELSE 'commune' END AS grain,
-        coalesce(section, commune) AS zone, count(*) AS n_sales, median(price_m2) AS median_m2,
-        rint(avg(price)) AS mean_price
-        FROM {name} WHERE section IS NOT NULL AND commune IS NOT NULL
-        GROUP BY GROUPING SETS ((section), (commune))"""
-    )
-    return out
+    """Sections and communes in one pass, by grouping sets; a sale without a section counts in its commune."""
+    section, commune = F.col("section"), F.col("commune")
+    measures = [F.count("*").alias("n_sales"), F.median("price_m2").alias("median_m2"), F.rint(F.avg("price")).alias("mean_price")]
+    grain = F.when(F.grouping("section") == 0, "section").otherwise("commune").alias("grain")
+    out = sales.groupingSets([[section], [commune]], section, commune).agg(grain, *measures)
+    return out.select("grain", F.coalesce("section", "commune").alias("zone"), "n_sales", "median_m2", "mean_price").where("zone IS NOT NULL")
 
 
 def extremes(sales: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import parse_number, section_code, text_or_null, title_case, zero_fill
 
+# Names of the columns of the source files.
 REQUIRED = ("id_mutation", "date_mutation", "valeur_fonciere", "code_commune", "type_local", "surface_reelle_bati")
 NUMERIC = (
     "valeur_fonciere", "surface_reelle_bati", "surface_terrain", "nombre_pieces_principales", "nombre_lots", "longitude", "latitude",
@@ -27,7 +28,8 @@ def separator(spark: SparkSession, path: str) -> str:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, names trimmed and lower-cased, the first of doubled names kept.
 
-    A gzip file is one task: it is dealt out again behind the scan.
+    A gzip file is one task: it is dealt out again behind the scan. `_ord` is the place in the files,
+    taken in the scan, so that it is the same on every run and does not change when rows are dealt out.
     """
     sep = separator(spark, path)
     raw = spark.read.option("header", False).option("sep", sep).option("encoding", "UTF-8").csv(path)
@@ -36,7 +38,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([T.StructField(f"_c{k}", T.StringType()) for k in range(len(names))])
     body = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", sep).csv(path)
     keep = [k for k, n in enumerate(names) if n and names.index(n) == k]
-    out = body.select(*(F.col(f"_c{k}").alias(names[k]) for k in keep))
+    place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    out = body.select(*(F.col(f"_c{k}").alias(names[k]) for k in keep), place.alias("_ord"))
     lacking = [c for c in REQUIRED if c not in out.columns]
     if lacking:
         raise ValueError(f"{path}: missing columns {', '.join(lacking)}")
@@ -47,7 +50,7 @@ def typed_lines(raw: DataFrame, communes: DataFrame | None = None) -> DataFrame:
     """The engine's lines from texts: markers become NULL, numbers parse tolerantly, keys are built.
 
     Lines without a premise type and, if `communes` is given, of other communes are dropped in the
-    scan. `ord` is the order in the file.
+    scan. `ord` is the order in the file, as `read_lines` found it.
     """
     has = set(raw.columns)
     text = lambda c: text_or_null(F.col(c)) if c in has else F.lit(None).cast("string")
@@ -61,7 +64,7 @@ def typed_lines(raw: DataFrame, communes: DataFrame | None = None) -> DataFrame:
     address = F.trim(F.regexp_replace(F.concat_ws(" ", house, text("adresse_suffixe"), title_case(text("adresse_nom_voie"))), r"(?U)\s+", " "))
     kind = text("type_local")
     return lines.select(
-        text("id_mutation").alias("sale_id"), F.monotonically_increasing_id().alias("ord"), F.to_date(F.try_to_timestamp(text("date_mutation"))).alias("sale_date"), text("nature_mutation").alias("nature"),
+        text("id_mutation").alias("sale_id"), (F.col("_ord") if "_ord" in has else F.monotonically_increasing_id()).alias("ord"), F.to_date(F.try_to_timestamp(text("date_mutation"))).alias("sale_date"), text("nature_mutation").alias("nature"),
         number("valeur_fonciere").alias("price"), kind.alias("premise_type"), number("surface_reelle_bati").alias("area"),
         F.when(known.isNotNull(), sum((F.coalesce(c, F.lit(0.0)) for c in lots), F.lit(0.0))).alias("private_area"), number("nombre_pieces_principales").alias("rooms"),
         text("id_parcelle").alias("parcel"), section_code(text("id_parcelle"), F.col("commune"), text("section_prefixe")).alias("section"), "commune", F.coalesce(text("nom_commune"), F.col("commune")).alias("commune_name"),

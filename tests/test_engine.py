@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arpent.functions import scalars as sc
-from arpent.operators import geo, quality, reconstruct, stations, tiles, trend, vintage
+from arpent.operators import zones, geo, quality, reconstruct, stations, tiles, trend, vintage
 from arpent.sources import columns, files
 
 
@@ -153,3 +153,53 @@ def test_tile_content(spark):
 def test_sources_compared(spark):
     old, new = (spark.createDataFrame(x, "name string, digest string") for x in ([("a", "1"), ("b", "1")], [("a", "2"), ("c", "1")]))
     assert {r["name"]: r["reason"] for r in vintage.source_changes(old, new).collect()} == {"a": "revised", "b": "removed", "c": "added"}
+
+
+def test_section_identity_of_three_schemas(spark):
+    from arpent.operators.geo import section_identity
+
+    cases = [
+        ('{"code_section": " 75101000AB9 "}', "75101000AB"),
+        ('{"code_section": "", "id": "75101000AC"}', "75101000AC"),
+        ('{"id": "7", "commune": "1001", "prefixe": "12", "code": "B"}', "010010120B"),
+        ('{"code_dep": "93", "code_com": "051", "com_abs": "", "section": "AD"}', "93051000AD"),
+        ('{"code_insee": "93051", "section_courte": "ABC"}', "93051000ABC"),
+        ('{"commune": "93051"}', None),
+        ('{"code": "AB"}', None),
+    ]
+    rows = spark.createDataFrame([(p,) for p, _ in cases], "p string").select(section_identity(F.col("p")).alias("s")).collect()
+    assert [r["s"] for r in rows] == [want for _, want in cases]
+
+
+_STATION = "name string, lon double, lat double, network string, type string, status string, lines array<string>, planned array<string>, ord long"
+
+
+def test_stations_fold_into_one_place(spark):
+    rows = [
+        ("Gare du Nord", 2.3550, 48.88, "Métro", "subway", "service", ["Métro 4"], None, 0),
+        ("gare du nord", 2.3551, 48.88, "Metro; RER", "station", "service", ["RER B", "metro 4 "], ["Ligne 15"], 1),
+        ("Gare du Nord", 2.3552, 48.88, "Tram", "tram", "project", ["ligne 15", "Tram 9"], None, 2),
+        ("Gare du Nord", 2.50, 48.88, "Eurostar", "station", "works", ["X"], None, 3),
+    ]
+    out = sorted(stations.merged(spark.createDataFrame(rows, _STATION)).collect(), key=lambda r: r["lon"])
+    assert len(out) == 2 and out[1]["status"] == "works" and list(out[1]["lines"]) == ["X"]
+    one = out[0]
+    assert one["network"] == "Metro;RER" and one["status"] == "service" and one["lon"] == 2.3551
+    assert list(one["lines"]) == ["RER B", "metro 4"] and list(one["planned"]) == ["Ligne 15", "Tram 9"]
+
+
+def test_a_stop_without_a_name_opens_no_line(spark):
+    rows = [
+        ("Cité", 2.3000, 48.88, "Tram", "tram", "project", ["Tram 9"], [], 0),
+        ("--", 2.3040, 48.88, "Tram", "tram", "service", ["tram 9"], [], 1),
+    ]
+    out = stations.reconciled(spark.createDataFrame(rows, _STATION)).collect()
+    assert sorted(r["name"] for r in out) == ["--", "Cité"]
+    near = stations.reconciled(spark.createDataFrame([rows[0], ("Cité Nord", *rows[1][1:])], _STATION)).collect()
+    assert [r["name"] for r in near] == ["Cité Nord"]
+
+
+def test_a_sale_without_section_counts_in_its_commune(spark):
+    sales = spark.createDataFrame([("A1", "A", 10.0, 100.0, 10.0), (None, "A", 30.0, 300.0, 10.0)], "section string, commune string, price_m2 double, price double, area double")
+    got = {(r["grain"], r["zone"]): r["n_sales"] for r in zones.statistics_of_both(sales).collect()}
+    assert got == {("section", "A1"): 1, ("commune", "A"): 2}
