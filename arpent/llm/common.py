@@ -1,8 +1,11 @@
 """What the training-data operators share: tables, materialised stages, Arrow mapping."""
 from __future__ import annotations
 
+import atexit
+import functools
 import sys
 import tempfile
+import threading
 import types
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,14 +23,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share; a local one only in local mode, where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.gettempdir()}/arpent-shared"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+class _Scopes(threading.local):
+    """What has to be dropped: by the operators that are running, innermost last."""
+
+    def __init__(self):
+        self.open: list[list[Callable[[], None]]] = []
+
+
+_scopes = _Scopes()
+_at_end: list[Callable[[], None]] = []
+
+
+def drop_later(drop: Callable[[], None]) -> None:
+    """Calls `drop` when the operator that is running has its result, or when the process ends."""
+    (_scopes.open[-1] if _scopes.open else _at_end).append(drop)
+
+
+@atexit.register
+def _drop_rest() -> None:
+    for drop in _at_end:
+        try:
+            drop()
+        except Exception:  # noqa: BLE001 - the session has ended and can drop nothing more
+            return
+
+
+def settled(label: str):
+    """For functions that return a DataFrame: it is written, and what was written for it is dropped."""
+
+    def wrap(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(fn)
+        def run(*args, **options) -> DataFrame:
+            made: list[Callable[[], None]] = []
+            _scopes.open.append(made)
+            try:
+                out = fn(*args, **options)
+            except BaseException:
+                _at_end.extend(made)
+                raise
+            finally:
+                _scopes.open.pop()
+            out = materialise(out, label)
+            for drop in made:
+                drop()
+            return out
+
+        return run
+
+    return wrap
+
+
+def drop_folder(spark: SparkSession, path: str) -> Callable[[], None]:
+    where, conf = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration()
+    return lambda: where.getFileSystem(conf).delete(where, True)
+
+
 class Stage:
     """A written intermediate table. It outlives lost executors and cuts the lineage."""
 
@@ -35,16 +94,13 @@ class Stage:
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/arpent-{label}-{uuid.uuid4().hex}"
         self.schema = df.schema
+        self.drop = drop_folder(self.spark, self.path)
+        drop_later(self.drop)
         df.write.option("compression", "zstd").parquet(self.path)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
-    def drop(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     return Stage(df, label).read()

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, utf8
+from .common import materialise, settled, utf8
 
 BORDER = "▁"
 LOG10 = np.log(10.0)
@@ -281,6 +281,7 @@ def learn_weights(counts: DataFrame, path: str, rounds: int = 1, prior_count: fl
     return weights
 
 
+@settled("scores")
 def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", class_col: str = "lang", rounds: int = 1, max_classes: int = 32) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of `docs`."""
     if class_col not in docs.columns:

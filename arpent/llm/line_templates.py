@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, row_key
+from .common import materialise, row_key, settled
 
 WILDCARD = "<*>"
 _SPACE = r"\x20\x09-\x0D"
@@ -65,6 +65,7 @@ def _templates(lines: DataFrame, depth: int, similarity: float, min_docs: int) -
     return wide.select("leaf", "a", "b", F.when((share >= similarity) & (share < 1), F.xxhash64(F.lit("fields"), "leaf", "c")).otherwise(own).alias("template"))
 
 
+@settled("positions")
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, similarity: float = 0.8, min_docs: int = 10) -> DataFrame:
     """(_id, _hash, positions) for the documents with lines of recurring templates."""
     narrow = docs.select(F.col(id_col).alias("_id_in"), F.col(text_col))
@@ -82,9 +83,9 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_whole: bool = False, **options) -> DataFrame:
     """`docs` with `text` reduced, and `n_lines`, `n_recurring` and `n_dropped` added."""
-    found = materialise(dropped_lines(docs, id_col, text_col, **options), "positions")
+    found = dropped_lines(docs, id_col, text_col, **options)
     row = F.struct(*docs.columns)  # keeps all columns apart from the ones added here
-    wide = docs.select(row.alias("row"), *row_key(id_col, text_col)).join(found, ["_id", "_hash"], "left").select("row", "positions")
+    wide = docs.select(row.alias("row"), *row_key(id_col, text_col)).join(found.hint("merge"), ["_id", "_hash"], "left").select("row", "positions")  # one plan at every size
     text, at = F.col("row")[text_col], F.coalesce("positions", F.array().cast("array<int>"))
     parts, full = F.split(text, "\n"), F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{_SPACE}]")))
     drop = (F.size(at) > 0) & (F.size(at) < full) if keep_whole else F.size(at) > 0

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, materialise, row_key, utf8
+from .common import map_columns, materialise, row_key, settled, utf8
 from .simhash_cover import connected, fingerprint_of, links
 
 _LOW = np.uint64(8)
@@ -159,6 +159,7 @@ def _by_simhash(nodes: DataFrame, radius: int) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
 
+@settled("groups")
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 4, den: int = 5, radius: int = 3, hot: int = 64, rounds: int = 8) -> DataFrame:
     """(_id, _hash, component), for each row of `docs`: what links of a similarity of num/den connect."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text_col, width))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, materialise, shared_dir, utf8
+from .common import drop_folder, drop_later, map_columns, materialise, settled, shared_dir, utf8
 
 K = 48
 _SEGMENT = 1 << 20
@@ -385,7 +385,10 @@ def _distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     once = rows.groupBy("tid", "key").agg(F.first("text").alias("text"), F.count("*").alias("copies"), F.min("i").alias("first_doc"))
     name = f"arpent_texts_{uuid.uuid4().hex}"
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    writer = once.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
+    path = f"{shared_dir(spark)}/{name}"
+    drop_later(drop_folder(spark, path))
+    drop_later(lambda: spark.sql(f"DROP TABLE IF EXISTS {name}"))
+    writer = once.write.format("parquet").option("compression", "zstd").option("path", path)
     writer.bucketBy(buckets, "tid", "key").sortBy("tid", "key").saveAsTable(name)
     return spark.table(name)
 
@@ -444,6 +447,7 @@ def merged_of_many(own: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple
     return own[first], start[first], reach[last] - own[first] * far
 
 
+@settled("solved")
 def solved_texts(docs: DataFrame, length: int = 200, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", hot: int = 1024, with_text: bool = False) -> DataFrame:
     """For each distinct text: key, first_doc, sizes, spans and the digest (and bytes) of what is kept."""
     if keep not in ("none", "first"):
@@ -481,7 +485,7 @@ def solved_texts(docs: DataFrame, length: int = 200, keep: str = "none", id_col:
 
 def report(docs: DataFrame, length: int = 200, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", hot: int = 1024) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of `docs`."""
-    solved = materialise(solved_texts(docs, length, keep, id_col, text_col, hot), "solved")
+    solved = solved_texts(docs, length, keep, id_col, text_col, hot)
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(utf8(text_col), F.lit(b"")).alias("text")).select("doc_id", *_identity("text"))
     both = ids.select("doc_id", "key").join(solved, "key")
     if keep == "none":

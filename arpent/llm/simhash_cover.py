@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, map_columns, materialise, row_key, utf8
+from .common import Stage, map_columns, materialise, row_key, settled, utf8
 
 BITS = 64
 
@@ -225,6 +225,7 @@ def connected(edges: DataFrame) -> DataFrame:
     return now.read().select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
+@settled("components")
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, bucket_limit: int = 512) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row for each row of `docs`."""
     prints = materialise(fingerprints(docs, id_col, text_col, width), "prints")
