@@ -36,7 +36,7 @@ STAGES = [
     ("byte-level BPE", encoding),
 ]
 
-#: Neither learned rules nor BPE can be written in SQL; tests compare with a brute-force version.
+#: Neither learned rules nor BPE can be written in SQL; tests compare near-dedup with a brute-force version.
 ORACLE_SQL = None
 
 
