@@ -4,24 +4,27 @@ First, SimHash: fingerprints of the shingles are linked through the covering tab
 `simhash_cover`, and a link counts if the two sets of shingles are as similar as asked. That joins
 most copies cheaply. But 64 bits cannot find every pair at a similarity of 0.8: these differ in about
 10 bits on average, and a covering radius of r needs 2^(r+1) - 1 tables. So, second, the remaining
-candidates come from prefix filtering. All shingles have one global order. If two sets of shingles
-have a similarity of num/den or more, then the first n - ceil(n * num / den) + 1 shingles of each, by
-that order, have one in common. So each set enters one bucket for each shingle of its prefix, and no
-pair is lost; only pairs that SimHash has not joined yet are compared. The order puts shingles last
-that are frequent in a sample; the sample only decides the order, any order is exact.
+candidates come from prefix filtering. All shingles have one global order. If two sets are similar
+enough, the first shingle that both have lies among the first n - ceil(n * num / den) + 1 of either
+one, and among the first n - ceil(2n * num / (num + den)) + 1 of the smaller one (`small`). So each
+set enters one bucket for each shingle of its prefix, and no pair is lost. The order puts shingles
+last that are frequent in a sample; the sample only decides the order, any order is exact.
 
-Pairs of a bucket are filtered by sizes and by the shingles their prefixes share, which bounds the
-overlap from above, and then verified: intersection and union of both sets are counted.
+Each set has a bitmap with the parity of the number of its shingles in each of 512 classes. Two
+bitmaps never differ in more bits than the sets differ in shingles, so pairs of a bucket are left out
+by roles, sizes and bitmaps, exactly. What remains is verified on both texts.
 
-Texts with equal sets are one node, so copies cost nothing. Where buckets have over `hot` nodes,
-rounds of verified comparisons with one node of each bucket first join large groups; only pairs of
-different groups are compared afterwards. Any number of rounds gives the same groups.
+Equal texts are one node, so copies cost nothing. Before pairs of a bucket are compared, rounds join
+large groups: each node is verified with the nearest of the centres of its buckets, one for each
+bucket, so a round verifies a pair for each node at most. Only pairs of different groups are compared
+afterwards, buckets of over `block` nodes block by block. Any number of rounds gives the same groups.
 
 Defined results: null text counts as empty, texts without words are copies of each other, texts
 shorter than a shingle are one shingle, rows are told apart by id and text.
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +33,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, materialise, row_key, settled, utf8
+from .common import drop_folder, drop_later, map_columns, materialise, row_key, settled, shared_dir, utf8
 from .simhash_cover import connected, fingerprint_of, links
 
 _LOW = np.uint64(8)
 SAMPLE, ORDERED = 5000, 100_000
+WORDS = 8  #: 64-bit words of a bitmap
+EMPTY = -1  #: the bucket of texts without words
 
 
 def shingles_of(text: bytes | None, width: int = 5) -> np.ndarray:
@@ -45,6 +50,17 @@ def shingles_of(text: bytes | None, width: int = 5) -> np.ndarray:
     return np.unique(found >> _LOW).view(np.int64)
 
 
+def bitmap_of(found: np.ndarray) -> np.ndarray:
+    """The parities of the numbers of shingles in 512 classes, as eight longs."""
+    odd = np.bincount(found & (64 * WORDS - 1), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def prefixes(n: int, num: int, den: int) -> tuple[int, int]:
+    """Lengths of the prefix of a set of n shingles: against smaller sets, against larger ones."""
+    return n - -(-n * num // den) + 1, n - -(-2 * n * num // (num + den)) + 1
+
+
 def _frequent(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingle, tier) of the shingles that occur in several texts of a sample, at most ORDERED."""
     every = max(1, docs.count() // SAMPLE)
@@ -70,82 +86,110 @@ def _ordered(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.n
     return np.sort(found)
 
 
-def _sets(docs: DataFrame, text_col: str, width: int, num: int, den: int, frequent) -> DataFrame:
-    """(_id, _hash, node, size, last, prefix, fingerprint) for each row of (_id, _hash, text)."""
+def _nodes(texts: DataFrame, width: int, num: int, den: int, frequent) -> DataFrame:
+    """(node, text, size, small, prefix, bits, fingerprint): each text once, bucketed by `node` in the shared folder."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node, size, last, prefix, prints = [], [], [], [], []
-        for t in batch.column(2).to_pylist():
+        size, small, prefix, bits, prints = [], [], [], [], []
+        for t in batch.column(1).to_pylist():
             s = shingles_of(t, width)
-            p = len(s) - -(-len(s) * num // den) + 1 if len(s) else 0
-            o = _ordered(s, frequent.value)[:p]
-            node.append(xxhash.xxh64_intdigest(s.tobytes()))
+            long, short = prefixes(len(s), num, den)
             size.append(len(s))
-            last.append(int(o[-1]) if p else 0)
-            prefix.append(o)
+            small.append(short)
+            prefix.append(_ordered(s, frequent.value)[:long] if len(s) else np.array([EMPTY]))
+            bits.append(bitmap_of(s))
             prints.append(fingerprint_of(t, width))
-        columns = [pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(last, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["_id", "_hash", "node", "size", "last", "prefix", "fingerprint"])
-
-    return map_columns(docs.select("_id", "_hash", utf8(text_col).alias("text")), run, "_id string, _hash long, node long, size int, last long, prefix array<long>, fingerprint long")
+        longs = pa.list_(pa.int64())
+        columns = [pa.array(size, pa.int32()), pa.array(small, pa.int32()), pa.array(prefix, longs), pa.array(bits, longs), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))]
+        return pa.RecordBatch.from_arrays([*batch.columns, *columns], ["node", "text", "size", "small", "prefix", "bits", "fingerprint"])
+
+    spark = texts.sparkSession
+    once = texts.groupBy(F.col("_hash").alias("node")).agg(F.first("text").alias("text"))
+    made = map_columns(once, run, "node long, text binary, size int, small int, prefix array<long>, bits array<long>, fingerprint long")
+    name = f"arpent_nodes_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    drop_later(drop_folder(spark, path))
+    drop_later(lambda: spark.sql(f"DROP TABLE IF EXISTS {name}"))
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    made.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, "node").saveAsTable(name)
+    return spark.table(name)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, width: int, num: int, den: int, share: int = 512) -> DataFrame:
+    """The pairs (u, v) whose sets have a similarity of num/den or more.
+
+    `u` may be in any number of pairs: its text goes to one place for each `share` of them.
+    """
+    hubs = materialise(pairs.groupBy("u").agg(F.ceil(F.count("*") / share).cast("int").alias("parts")), "hubs")
+    a = hubs.join(nodes.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "a")
+    dealt = pairs.join(hubs, "u").select("u", "v", F.pmod(F.xxhash64("v"), "parts").cast("int").alias("part"))
+    both = dealt.join(nodes.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").join(a, ["u", "part"]).select("u", "v", "a", "b")
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held, keep = {}, []
+        for u, a, b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+            if u not in held:
+                held = {u: shingles_of(a.as_py(), width)}
+            x, y = held[u], shingles_of(b.as_py(), width)
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(common * (num + den) >= (len(x) + len(y)) * num)
+        return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) whose sets have a similarity of num/den or more."""
-    both = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    one = rows.join(both, "node", "left_semi").groupBy("node").agg(F.min(F.struct("_id", "_hash")).alias("r")).select("node", "r.*")
+    return materialise(map_columns(both, run, "u long, v long"), "verified")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles_of(t, width) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
 
-    found = texts.join(one, ["_id", "_hash"]).dropDuplicates(["node"]).select("node", "text")
-    sets = materialise(map_columns(found, run, "node long, s array<long>"), "sets")
-    a, b = sets.select(F.col("node").alias("u"), F.col("s").alias("a")), sets.select(F.col("node").alias("v"), F.col("s").alias("b"))
-    common = F.size(F.array_intersect("a", "b"))
-    return pairs.join(a, "u").join(b, "v").where(common * (num + den) >= (F.size("a") + F.size("b")) * num).select("u", "v")
+def _may_match(a: str, b: str, num: int, den: int) -> Column:
+    """Whether roles, sizes and bitmaps of two entries of a bucket allow a similarity of num/den."""
+    m, n = F.col(f"{a}.size").cast("long"), F.col(f"{b}.size").cast("long")
+    role = ((m <= n) & F.col(f"{a}.small")) | ((n <= m) & F.col(f"{b}.small"))
+    return role & (F.least(m, n) * den >= F.greatest(m, n) * num) & (_distance(a, b) * (num + den) <= (m + n) * (den - num))
 
 
-def _sizes_fit(a: Column, b: Column, num: int, den: int) -> Column:
-    return F.least(a, b) * den >= F.greatest(a, b) * num
+def _distance(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k])) for k in range(WORDS)), F.lit(0))
 
 
 def _cross(buckets: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v, small, large, first): pairs of a bucket's nodes of different groups and fitting sizes.
+    """(u, v): pairs of a bucket's nodes of different groups that may match.
 
-    `first` tells whose prefix ends first, the one with the smaller node id or the other.
+    A bucket that holds two blocks compares nodes of the one with nodes of the other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends = batch.column(0).offsets.to_numpy()
-            flat = batch.column(0).values
-            node, group, size, last = (flat.field(k).to_numpy() for k in range(4))
-            out = []
-            for s, e in zip(ends[:-1], ends[1:]):
-                order = s + np.argsort(group[s:e], kind="stable")
-                cut = np.flatnonzero(np.diff(group[order])) + 1
-                starts = np.concatenate(([0], cut))
-                for k, stop in zip(starts[: len(cut)], cut):
-                    for x in order[k:stop]:
-                        other = order[stop:]
-                        a, b = size[x], size[other]
-                        other = other[np.minimum(a, b).astype(np.int64) * den >= np.maximum(a, b).astype(np.int64) * num]
-                        if len(other):
-                            swap = node[other] < node[x]
-                            u, v = np.where(swap, other, x), np.where(swap, x, other)
-                            out.append((node[u], node[v], size[u], size[v], last[u] <= last[v]))
-                        if len(out) > 2048:
-                            yield _batch(out)
-                            out = []
+            across = batch.column(0).to_numpy(zero_copy_only=False)
+            ends = batch.column(1).offsets.to_numpy()
+            flat = batch.column(1).flatten()
+            start = ends[0]
+            node, label, size, small, part = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+            bits = np.stack([flat.field(5 + k).to_numpy() for k in range(WORDS)], axis=1).view(np.uint64)
+            out: list[np.ndarray] = []
+            for two, s, e in zip(across, ends[:-1] - start, ends[1:] - start):
+                for x in range(s, e - 1):
+                    y = slice(x + 1, e)
+                    m, n = int(size[x]), size[y].astype(np.int64)
+                    ok = (label[y] != label[x]) & (np.minimum(m, n) * den >= np.maximum(m, n) * num)
+                    ok &= ((m <= n) & small[x]) | ((n <= m) & small[y])
+                    if two:
+                        ok &= part[y] != part[x]
+                    at = x + 1 + np.flatnonzero(ok)
+                    if len(at):
+                        apart = np.bitwise_count(bits[at] ^ bits[x]).sum(axis=1, dtype=np.int64)
+                        at = at[apart * (num + den) <= (size[at].astype(np.int64) + m) * (den - num)]
+                    if len(at):
+                        out.append(np.stack((np.minimum(node[at], node[x]), np.maximum(node[at], node[x])), axis=1))
+                    if len(out) > 2048:
+                        yield _batch(out)
+                        out = []
             if out:
                 yield _batch(out)
 
-    return buckets.mapInArrow(run, "u long, v long, a int, b int, first boolean")
+    return buckets.mapInArrow(run, "u long, v long")
 
 
-def _batch(out: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["u", "v", "a", "b", "first"])
+def _batch(out: list[np.ndarray]) -> pa.RecordBatch:
+    both = np.unique(np.concatenate(out), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
 
 
 def _by_simhash(nodes: DataFrame, radius: int) -> DataFrame:
@@ -153,57 +197,61 @@ def _by_simhash(nodes: DataFrame, radius: int) -> DataFrame:
     prints = materialise(nodes.groupBy("fingerprint").agg(F.min("node").alias("first")), "prints")
     found = links(prints.select(F.col("fingerprint").alias("value")), radius)
     ends = [prints.select(F.col("fingerprint").alias(c), F.col("first").alias(f"node_{c}")) for c in ("u", "v")]
-    linked = found.join(ends[0], "u").join(ends[1], "v").select(F.col("node_u").alias("x"), F.col("node_v").alias("y"))
-    equal = nodes.select("fingerprint", "node").join(prints, "fingerprint").select(F.col("node").alias("x"), F.col("first").alias("y"))
-    pairs = linked.unionByName(equal).where("x <> y")
-    return pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+    linked = found.join(ends[0], "u").join(ends[1], "v").select(F.col("node_v").alias("u"), F.col("node_u").alias("v"))
+    equal = nodes.select("fingerprint", "node").join(prints, "fingerprint").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    return linked.unionByName(equal).where("u <> v").distinct()
+
+
+def _named(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries with the group of their node; a node without a link is its own group."""
+    return entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _joined(labels: DataFrame, found: DataFrame) -> DataFrame:
+    return connected(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(found))
 
 
 @settled("groups")
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 4, den: int = 5, radius: int = 3, hot: int = 64, rounds: int = 8) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 4, den: int = 5, radius: int = 3, hot: int = 64, rounds: int = 8, block: int = 1024) -> DataFrame:
     """(_id, _hash, component), for each row of `docs`: what links of a similarity of num/den connect."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text_col, width))
-    texts = docs.select(*row_key(id_col, text_col), utf8(text_col).alias("text"))
-    rows = materialise(_sets(texts, "text", width, num, den, frequent), "shingles")
-    nodes = materialise(rows.dropDuplicates(["node"]).select("node", "size", "last", "prefix", "fingerprint"), "nodes")
-    edges = materialise(_verified(materialise(_by_simhash(nodes, radius), "linked"), rows, texts, width, num, den), "links")
-    labels = connected(edges)
-    entries = nodes.select(F.explode("prefix").alias("key"), "node", "size")
-    busy = materialise(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"), "busy")
-    done = None
-    if busy.limit(1).count():
-        crowd = materialise(entries.join(busy, "key", "left_semi"), "crowd")
-        left = -1
-        for k in range(rounds):
-            named = crowd.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label"))
-            named = materialise(named, "named")
-            parts = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-            now = parts.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("same")), F.lit(0))).first()[0]
-            if not now or now == left:
-                break
-            left = now
-            centres = named.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "size", "label")).alias("c"))
-            tried = named.join(centres, "key").where((F.col("label") != F.col("c.label")) & _sizes_fit(F.col("size"), F.col("c.size"), num, den))
-            pairs = tried.select(F.greatest("node", "c.node").alias("v"), F.least("node", "c.node").alias("u")).distinct()
-            found = _verified(materialise(pairs, "tried"), rows, texts, width, num, den)
-            edges = materialise(edges.unionByName(found), "links")
-            labels = connected(edges)
-        last = crowd.join(labels, "node", "left").groupBy("key").agg(F.min(F.coalesce("label", "node")).alias("a"), F.max(F.coalesce("label", "node")).alias("b"))
-        done = materialise(last.where("a = b").select("key"), "done")
-    nodes = nodes.join(labels, "node", "left").select("node", "size", "last", "prefix", F.coalesce("label", "node").alias("group"))
-    open_ = nodes.select(F.explode("prefix").alias("key"), "node", "group", "size", "last")
-    if done is not None:
-        open_ = open_.join(done, "key", "left_anti")
-    buckets = open_.groupBy("key").agg(F.collect_list(F.struct("node", "group", "size", "last")).alias("b")).where(F.size("b") > 1).select("b")
-    shared = _cross(buckets, num, den).groupBy("u", "v").agg(F.count("*").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("first").alias("first"))
-    # shingles up to the end of the prefix that ends first are all counted; what follows in that set bounds the rest
-    size = F.when(F.col("first"), F.col("a")).otherwise(F.col("b")).cast("long")
-    most = F.col("n") + F.floor((size * num + (den - 1)) / den) - 1
-    pairs = materialise(shared.where(most * (num + den) >= (F.col("a") + F.col("b")) * num).select("u", "v"), "pairs")
-    found = _verified(pairs, rows, texts, width, num, den)
-    found = edges.unionByName(found)
-    labels = connected(materialise(found, "links"))
-    return rows.join(labels, "node", "left").select("_id", "_hash", F.coalesce("label", "node").alias("component"))
+    rows = docs.select(*row_key(id_col, text_col), utf8(text_col).alias("text"))
+    nodes = _nodes(rows.select("_hash", "text"), width, num, den, frequent)
+    labels = connected(_verified(materialise(_by_simhash(nodes, radius), "linked"), nodes, width, num, den))
+
+    entries = nodes.select("node", F.posexplode("prefix").alias("at", "key"), "small").select("key", "node", (F.col("at") < F.col("small")).alias("small"))
+    common = materialise(entries.groupBy("key").agg(F.count("*").alias("n"), F.max("small").alias("small")).where("n > 1 AND small").select("key"), "common")
+    shared = materialise(entries.join(common, "key", "left_semi"), "shared")
+    open_ = _named(shared, labels).groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    crowd = shared.join(materialise(open_, "open"), "key", "left_semi")
+    crowd = materialise(crowd.join(nodes.select("node", "size", "bits"), "node"), "crowd")
+
+    entry = F.struct("node", "label", "size", "small", "bits")
+    for k in range(rounds):
+        named = materialise(_named(crowd, labels), "named")
+        centre = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), entry.alias("c"))).alias("m")
+        found = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), centre)
+        found = materialise(found.where("low <> high").select("key", "n", "m.c"), "centres")
+        if k and not found.where(F.col("n") > hot).limit(1).count():
+            break
+        tried = named.select("key", entry.alias("e")).join(found, "key").where((F.col("e.label") != F.col("c.label")) & _may_match("e", "c", num, den))
+        nearest = tried.groupBy(F.col("e.node").alias("v")).agg(F.min(F.struct(_distance("e", "c").alias("d"), F.col("c.node").alias("u"))).alias("m"))
+        links_ = _verified(materialise(nearest.select("m.u", "v"), "tried"), nodes, width, num, den)
+        if not links_.limit(1).count():
+            break
+        labels = _joined(labels, links_)
+
+    named = _named(crowd, labels)
+    left = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high")
+    dealt = named.join(materialise(left.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "left"), "key")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    member = F.struct("node", "label", "size", "small", "part", *(F.col("bits")[j].alias(f"w{j}") for j in range(WORDS)))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    buckets = dealt.groupBy("key", low.alias("low"), high.alias("high")).agg(F.collect_list(member).alias("b"))
+    pairs = _cross(buckets.where(F.size("b") > 1).select((F.col("low") < F.col("high")).alias("across"), "b"), num, den)
+    labels = _joined(labels, _verified(materialise(pairs.distinct(), "pairs"), nodes, width, num, den))
+    return rows.select("_id", "_hash").join(labels, F.col("_hash") == F.col("node"), "left").select("_id", "_hash", F.coalesce("label", "_hash").alias("component"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
