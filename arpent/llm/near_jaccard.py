@@ -17,7 +17,8 @@ by roles, sizes and bitmaps, exactly. What remains is verified on both texts.
 Equal texts are one node, so copies cost nothing. Before pairs of a bucket are compared, rounds join
 large groups: each node is verified with the nearest of the centres of its buckets, one for each
 bucket, so a round verifies a pair for each node at most. Only pairs of different groups are compared
-afterwards, buckets of over `block` nodes block by block. Any number of rounds gives the same groups.
+afterwards, buckets of over `block` nodes block by block. Rounds end when they join little, or no bucket
+of groups has over `hot` nodes; any number of rounds gives the same groups.
 
 Defined results: null text counts as empty, texts without words are copies of each other, texts
 shorter than a shingle are one shingle, rows are told apart by id and text.
@@ -226,20 +227,23 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     crowd = shared.join(materialise(open_, "open"), "key", "left_semi")
     crowd = materialise(crowd.join(nodes.select("node", "size", "bits"), "node"), "crowd")
 
-    entry = F.struct("node", "label", "size", "small", "bits")
+    entry, most = F.struct("node", "label", "size", "small", "bits"), 0
     for k in range(rounds):
-        named = materialise(_named(crowd, labels), "named")
-        centre = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), entry.alias("c"))).alias("m")
-        found = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), centre)
-        found = materialise(found.where("low <> high").select("key", "n", "m.c"), "centres")
+        named = materialise(_named(crowd, labels).withColumn("h", F.xxhash64("node", F.lit(k))), "named")
+        found = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.min("h").alias("h"))
+        found = materialise(found.where("low <> high").select("key", "n", "h"), "found")
         if k and not found.where(F.col("n") > hot).limit(1).count():
             break
-        tried = named.select("key", entry.alias("e")).join(found, "key").where((F.col("e.label") != F.col("c.label")) & _may_match("e", "c", num, den))
+        centres = materialise(named.join(found, ["key", "h"]).select("key", entry.alias("c")), "centres")
+        tried = named.select("key", entry.alias("e")).join(centres, "key").where((F.col("e.label") != F.col("c.label")) & _may_match("e", "c", num, den))
         nearest = tried.groupBy(F.col("e.node").alias("v")).agg(F.min(F.struct(_distance("e", "c").alias("d"), F.col("c.node").alias("u"))).alias("m"))
-        links_ = _verified(materialise(nearest.select("m.u", "v"), "tried"), nodes, width, num, den)
-        if not links_.limit(1).count():
+        new = _verified(materialise(nearest.select("m.u", "v"), "tried"), nodes, width, num, den)
+        n = new.count()
+        if n:
+            labels = _joined(labels, new)
+        most = max(most, n)
+        if 10 * n <= most:
             break
-        labels = _joined(labels, links_)
 
     named = _named(crowd, labels)
     left = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high")
@@ -255,9 +259,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each component, the one with the smallest id, with its own columns."""
-    found = groups(docs, id_col, text_col, **options)
+    """One row of each component, the one with the smallest id, with its own columns; repeats of that row go too.
+
+    Only keys of rows that go or repeat are joined to the documents, so these are not shuffled while such keys are few.
+    """
+    found = groups(docs, id_col, text_col, **options).groupBy("_id", "_hash").agg(F.min("component").alias("component"), F.count("*").alias("n"))
     first = found.groupBy("component").agg(F.min(F.struct((F.col("_id") == "").alias("none"), F.col("_id").try_cast("long").alias("i"), "_id", "_hash")).alias("r"))
-    keyed = docs.select("*", *row_key(id_col, text_col))
-    kept = keyed.join(first.select("r._id", "r._hash"), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
-    return kept.select(*docs.columns)
+    kept = first.select("r._id", "r._hash", F.lit(True).alias("stays"))
+    odd = found.join(kept, ["_id", "_hash"], "left").where("stays IS NULL OR n > 1").select("_id", "_hash", F.coalesce("stays", F.lit(False)).alias("repeats"))
+    keyed = docs.select(F.struct("*").alias("row"), *row_key(id_col, text_col)).join(materialise(odd, "odd"), ["_id", "_hash"], "left")
+    single = keyed.where("repeats IS NULL").select("row.*")
+    return single.unionByName(keyed.where("repeats").dropDuplicates(["_id", "_hash"]).select("row.*"))
