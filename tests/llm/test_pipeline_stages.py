@@ -42,11 +42,11 @@ def _variants(rng, groups=6, each=12):
     return texts
 
 
-@pytest.mark.parametrize("hot", [64, 3])
-def test_near_dedup_against_brute_force(spark, hot):
+@pytest.mark.parametrize("options", [{}, {"hot": 3}, {"rounds": 0, "block": 4}])
+def test_near_dedup_against_brute_force(spark, options):
     texts = _variants(random.Random(4)) + [r["text"] for r in table(spark, SF, "documents").orderBy("doc_id").limit(100).collect()] + [None, "", "one two", "One  TWO"]
     want = sorted(set(_components(texts)))
-    got = near_jaccard.keep_one(documents(spark, enumerate(texts)), hot=hot)
+    got = near_jaccard.keep_one(documents(spark, enumerate(texts)), **options)
     assert sorted(r["doc_id"] for r in got.collect()) == want
 
 
