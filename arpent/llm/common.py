@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import sys
 import tempfile
@@ -87,6 +88,18 @@ def drop_folder(spark: SparkSession, path: str) -> Callable[[], None]:
     return lambda: where.getFileSystem(conf).delete(where, True)
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside, what an execution has shuffled is dropped at its end, not when the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Stage:
     """A written intermediate table. It outlives lost executors and cuts the lineage."""
 
@@ -96,7 +109,8 @@ class Stage:
         self.schema = df.schema
         self.drop = drop_folder(self.spark, self.path)
         drop_later(self.drop)
-        df.write.option("compression", "zstd").parquet(self.path)
+        with shuffles_dropped(self.spark):
+            df.write.option("compression", "zstd").parquet(self.path)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
