@@ -16,9 +16,10 @@ by roles, sizes and bitmaps, exactly. What remains is verified on both texts.
 
 Equal texts are one node, so copies cost nothing. Before pairs of a bucket are compared, rounds join
 large groups: each node is verified with the nearest of the centres of its buckets, one for each
-bucket, so a round verifies a pair for each node at most. Only pairs of different groups are compared
-afterwards, buckets of over `block` nodes block by block. Rounds end when they join little, or no bucket
-of groups has over `hot` nodes; any number of rounds gives the same groups.
+bucket, so a round verifies a pair for each node at most. The first round verifies the links of SimHash
+too. Only pairs of different groups are compared afterwards, buckets of over `block` nodes block by
+block. Rounds end when they join little, or no bucket of groups has over `hot` nodes; any number of
+rounds gives the same groups.
 
 Defined results: null text counts as empty, texts without words are copies of each other, texts
 shorter than a shingle are one shingle, rows are told apart by id and text.
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_folder, drop_later, map_columns, materialise, row_key, settled, shared_dir, utf8
+from .common import drop_folder, drop_later, map_columns, materialise, row_key, settled, shared_dir, shuffles_dropped, utf8
 from .simhash_cover import connected, fingerprint_of, links
 
 _LOW = np.uint64(8)
@@ -112,7 +113,8 @@ def _nodes(texts: DataFrame, width: int, num: int, den: int, frequent) -> DataFr
     drop_later(drop_folder(spark, path))
     drop_later(lambda: spark.sql(f"DROP TABLE IF EXISTS {name}"))
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    made.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, "node").saveAsTable(name)
+    with shuffles_dropped(spark):
+        made.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, "node").saveAsTable(name)
     return spark.table(name)
 
 
@@ -203,12 +205,16 @@ def _by_simhash(nodes: DataFrame, radius: int) -> DataFrame:
     return linked.unionByName(equal).where("u <> v").distinct()
 
 
-def _named(entries: DataFrame, labels: DataFrame) -> DataFrame:
+def _named(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The entries with the group of their node; a node without a link is its own group."""
+    if labels is None:
+        return entries.withColumn("label", F.col("node"))
     return entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _joined(labels: DataFrame, found: DataFrame) -> DataFrame:
+def _joined(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    if labels is None:
+        return connected(found)
     return connected(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(found))
 
 
@@ -218,32 +224,33 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text_col, width))
     rows = docs.select(*row_key(id_col, text_col), utf8(text_col).alias("text"))
     nodes = _nodes(rows.select("_hash", "text"), width, num, den, frequent)
-    labels = connected(_verified(materialise(_by_simhash(nodes, radius), "linked"), nodes, width, num, den))
+    linked = materialise(_by_simhash(nodes, radius), "linked")
 
     entries = nodes.select("node", F.posexplode("prefix").alias("at", "key"), "small").select("key", "node", (F.col("at") < F.col("small")).alias("small"))
     common = materialise(entries.groupBy("key").agg(F.count("*").alias("n"), F.max("small").alias("small")).where("n > 1 AND small").select("key"), "common")
     shared = materialise(entries.join(common, "key", "left_semi"), "shared")
-    open_ = _named(shared, labels).groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    crowd = shared.join(materialise(open_, "open"), "key", "left_semi")
-    crowd = materialise(crowd.join(nodes.select("node", "size", "bits"), "node"), "crowd")
+    crowd = materialise(shared.join(nodes.select("node", "size", "bits"), "node"), "crowd")
 
+    labels = late = None  # late: verified links that the labels do not hold yet
     entry, most = F.struct("node", "label", "size", "small", "bits"), 0
     for k in range(rounds):
-        named = materialise(_named(crowd, labels).withColumn("h", F.xxhash64("node", F.lit(k))), "named")
-        found = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.min("h").alias("h"))
-        found = materialise(found.where("low <> high").select("key", "n", "h"), "found")
-        if k and not found.where(F.col("n") > hot).limit(1).count():
+        named = _named(crowd, labels).withColumn("h", F.xxhash64("node", F.lit(k)))
+        if labels is not None:
+            named = materialise(named, "named")
+        found = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.min(F.struct("h", entry.alias("c"))).alias("m"))
+        centres = materialise(found.where("low <> high").select("key", "n", "m.c"), "centres")
+        if k and centres.where(F.col("n") > hot).isEmpty():
             break
-        centres = materialise(named.join(found, ["key", "h"]).select("key", entry.alias("c")), "centres")
         tried = named.select("key", entry.alias("e")).join(centres, "key").where((F.col("e.label") != F.col("c.label")) & _may_match("e", "c", num, den))
         nearest = tried.groupBy(F.col("e.node").alias("v")).agg(F.min(F.struct(_distance("e", "c").alias("d"), F.col("c.node").alias("u"))).alias("m"))
-        new = _verified(materialise(nearest.select("m.u", "v"), "tried"), nodes, width, num, den)
+        pairs = nearest.select("m.u", "v")
+        new = _verified(materialise(pairs if k else pairs.unionByName(linked).distinct(), "tried"), nodes, width, num, den)
         n = new.count()
-        if n:
-            labels = _joined(labels, new)
         most = max(most, n)
-        if 10 * n <= most:
+        if k and 10 * n <= most:
+            late = new
             break
+        labels = _joined(labels, new)
 
     named = _named(crowd, labels)
     left = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high")
@@ -254,7 +261,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     low, high = F.least("part", "other"), F.greatest("part", "other")
     buckets = dealt.groupBy("key", low.alias("low"), high.alias("high")).agg(F.collect_list(member).alias("b"))
     pairs = _cross(buckets.where(F.size("b") > 1).select((F.col("low") < F.col("high")).alias("across"), "b"), num, den)
-    labels = _joined(labels, _verified(materialise(pairs.distinct(), "pairs"), nodes, width, num, den))
+    pairs = materialise((pairs if rounds else pairs.unionByName(linked)).distinct(), "pairs")
+    new = _verified(pairs, nodes, width, num, den)
+    labels = _joined(labels, new if late is None else new.unionByName(late))
     return rows.select("_id", "_hash").join(labels, F.col("_hash") == F.col("node"), "left").select("_id", "_hash", F.coalesce("label", "_hash").alias("component"))
 
 

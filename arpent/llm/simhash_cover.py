@@ -193,8 +193,11 @@ def links(distinct: DataFrame, radius: int, bucket_limit: int = 512) -> DataFram
     return out.distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether each upper end has one edge and is no lower end, so that each component is a star around its smallest node."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e"))
+    counted = ends.groupBy("e.node").agg(F.sum("e.up").alias("ups"), F.min("e.up").alias("least"))
+    return counted.where("ups > 1 OR (ups = 1 AND least = 0)").isEmpty()
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -204,8 +207,7 @@ def connected(edges: DataFrame) -> DataFrame:
     nodes; each step is written to the shared folder, so the lineage stays short.
     """
     now = Stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = _state(now.read())
-    while seen[0]:
+    while not _stars(now.read()):
         e = now.read()
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = Stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
@@ -215,13 +217,9 @@ def connected(edges: DataFrame) -> DataFrame:
         low2 = Stage(e.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = e.join(low2.read(), "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("p"))
         after = Stage(small.select(F.col("p.v").alias("u"), F.col("p.m").alias("v")).where("u <> v").distinct(), "edges")
-        state = _state(after.read())
         for old in (now, low, mid, low2):
             old.drop()
         now = after
-        if state == seen:
-            break
-        seen = state
     return now.read().select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
