@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, language_id, lattice_lm, line_templates, quality_rules, repeat_spans, simhash_cover, token_prefix
+from . import byte_bpe, chat_format, decontaminate, embedding_whitening, html_extract, language_id, lattice_lm, line_templates, quality_rules, repeat_spans, simhash_cover, source_divergence, token_prefix
 from .common import table
 
 
@@ -122,6 +122,44 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), each AS (SELECT k, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM each GROUP BY ALL HAVING count(DISTINCT k) >= 10),
+size AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+counted AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM each SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM d),
+totals AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM counted GROUP BY ALL),
+dense AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+    (1 + 1000000000 * (coalesce(c.n, 0) + 2) // (coalesce(t.total, 0) + 2 * size.v))::HUGEINT AS p, (1 + 1000000000 * (kept.n + 2) // (size.total + 2 * size.v))::HUGEINT AS q
+  FROM groups g JOIN kept ON g.lang = kept.lang JOIN size ON g.lang = size.lang
+    LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM dense WHERE n > 0 AND p > q
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM parts)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op12_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
 
-QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_chat_format, op3_line_templates, op4_simhash_cover, op5_quality_rules, op6_token_prefix, op7_language_id, op8_repeat_spans, op9_byte_bpe, op10_spaced_seeds)}
-ORACLES = {"op2_chat_format": OP2_SQL, "op3_line_templates": OP3_SQL}
+QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_chat_format, op3_line_templates, op4_simhash_cover, op5_quality_rules, op6_token_prefix, op7_language_id, op8_repeat_spans, op9_byte_bpe, op10_spaced_seeds, op11_source_divergence, op12_html_extract, op13_embedding_whitening)}
+ORACLES = {"op2_chat_format": OP2_SQL, "op3_line_templates": OP3_SQL, "op11_source_divergence": OP11_SQL}
