@@ -2,11 +2,15 @@
 
 Each line is parsed to a fixed depth: tokens with a digit become the wildcard `<*>`, the first
 level is the number of tokens, the next levels are the leading tokens; together they name a leaf.
-A leaf holds any number of templates. Its fields are generalised by position: a token that `min_docs`
-lines of the leaf or more have at that place is constant, every other one is a variable field. Lines
-with the same constants at the same places have one template if at least `similarity` of their
-tokens are constant; a line with fewer is a template of its own. A template recurs if `min_docs`
-different documents or more hold it.
+A leaf holds any number of templates. At each place of a leaf every token has a count of lines. A
+line's constants are the tokens that make up the `similarity` share of it by count, the commonest
+first (with ties, all of them); its other tokens, rarer at their place than all of these, are fields.
+So a field is told by comparing the counts of one line, never by a count alone: a template's constants
+are in all its lines and a field's values in a part of them, however common the values get as data
+grow. Lines with the same constants at the same places have one template; a line without fields is a
+template of its own, as its equals are. A template recurs if `min_docs` different documents or more
+hold it. A line whose field happens to hold a token that another template of the leaf makes commoner
+than the line's own constants counts with that token as a constant.
 
 Lines of recurring templates are dropped. With `keep_whole` a document that would lose all its lines
 stays as it is: such documents are copies, and a later stage keeps one of each group.
@@ -57,12 +61,16 @@ def _templates(lines: DataFrame, depth: int, similarity: float, min_docs: int) -
     counted = lines.groupBy("leaf", "m").agg(F.count("*").alias("n"))
     named = materialise(counted.select("leaf", F.xxhash64("m").alias("a"), F.xxhash64(F.lit("line"), "m").alias("b"), F.split("m", " ").alias("t"), "n"), "lines")
     tokens = named.where(F.size("t") > depth).select("leaf", "a", "b", "n", F.posexplode(F.transform(F.slice("t", depth + 1, F.size("t")), lambda x: F.xxhash64(x))).alias("at", "token"))
-    constant = materialise(tokens.groupBy("leaf", "at", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf", "at", "token", F.lit(True).alias("kept")), "constants")
-    held = tokens.join(constant, ["leaf", "at", "token"]).groupBy("leaf", "a", "b").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("c"))
-    wide = named.select("leaf", "a", "b", F.size("t").alias("size")).join(held, ["leaf", "a", "b"], "left")
-    share = (F.least("size", F.lit(depth)) + F.coalesce(F.size("c"), F.lit(0))) / F.col("size")
-    own = F.xxhash64(F.lit("line"), "a", "b")
-    return wide.select("leaf", "a", "b", F.when((share >= similarity) & (share < 1), F.xxhash64(F.lit("fields"), "leaf", "c")).otherwise(own).alias("template"))
+    # tokens that fewer lines have are no constants of a template that recurs, fields or not
+    common = materialise(tokens.groupBy("leaf", "at", "token").agg(F.sum("n").alias("lines")).where(F.col("lines") >= min_docs), "common")
+    seen = F.array_sort(F.collect_list(F.struct("at", "token", "lines")))
+    wide = named.select("leaf", "a", "b", F.size("t").alias("size")).join(tokens.join(common, ["leaf", "at", "token"]).groupBy("leaf", "a", "b").agg(seen.alias("seen")), ["leaf", "a", "b"], "left")
+    needed = F.col("size") - F.floor(F.col("size") * (100 - round(100 * similarity)) / 100).cast("int") - F.least("size", F.lit(depth))
+    least = F.when((needed > 0) & (F.size("seen") >= needed), F.element_at(F.sort_array(F.col("seen.lines"), asc=False), needed))
+    constants = F.transform(F.filter("seen", lambda x: x["lines"] >= F.col("least")), lambda x: F.struct(x["at"], x["token"]))
+    held = wide.withColumn("least", least).withColumn("c", constants)
+    fields = F.col("c").isNotNull() & (F.size("c") + F.least("size", F.lit(depth)) < F.col("size"))
+    return held.select("leaf", "a", "b", F.when(fields, F.xxhash64(F.lit("fields"), "leaf", "c")).otherwise(F.xxhash64(F.lit("line"), "a", "b")).alias("template"))
 
 
 @settled("positions")

@@ -72,14 +72,15 @@ each AS (
   SELECT doc_id, text, pos, list_transform(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM each
 ), lines AS (
   SELECT doc_id, text, pos, t, array_to_string(t, ' ') AS m, len(t) AS n, array_to_string(t[1:3], ' ') AS lead FROM tokens WHERE len(t) > 0
-), places AS (SELECT n, lead, m, t, unnest(range(4, n + 1)) AS p FROM lines WHERE n > 3),
-constants AS (SELECT n, lead, p, t[p] AS token FROM places GROUP BY n, lead, p, t[p] HAVING count(*) >= 10),
+), places AS (SELECT n, lead, m, unnest(range(4, n + 1)) AS p, unnest(t[4:]) AS token FROM lines WHERE n > 3),
+counted AS (SELECT n, lead, p, token, count(*) AS c FROM places GROUP BY ALL),
+sizes AS (SELECT DISTINCT n, lead, m, p, token, c FROM places JOIN counted USING (n, lead, p, token)),
+least AS (SELECT n, lead, m, list_sort(list(c), 'DESC')[n - n * 20 // 100 - 3] AS c FROM sizes GROUP BY n, lead, m),
 held AS (
-  SELECT f.n, f.lead, f.m, count(*) AS k, string_agg(f.p || ':' || c.token, ' ' ORDER BY f.p) AS fields
-  FROM (SELECT DISTINCT n, lead, m, p, t[p] AS token FROM places) f JOIN constants c ON f.n = c.n AND f.lead = c.lead AND f.p = c.p AND f.token = c.token
-  GROUP BY f.n, f.lead, f.m
+  SELECT s.n, s.lead, s.m, count(*) AS k, string_agg(p || ':' || token, ' ' ORDER BY p) AS fields
+  FROM sizes s JOIN least l ON s.n = l.n AND s.lead = l.lead AND s.m = l.m AND s.c >= l.c GROUP BY s.n, s.lead, s.m
 ), placed AS (
-  SELECT l.doc_id, l.text, l.pos, CASE WHEN (least(l.n, 3) + coalesce(k, 0)) / l.n BETWEEN 0.8 AND 0.999999 THEN concat('fields ', l.n, ' ', l.lead, ' ', fields) ELSE 'line ' || l.m END AS template
+  SELECT l.doc_id, l.text, l.pos, CASE WHEN k + 3 < l.n THEN concat('fields ', l.n, ' ', l.lead, ' ', fields) ELSE 'line ' || l.m END AS template
   FROM lines l LEFT JOIN held h ON l.n = h.n AND l.lead = h.lead AND l.m = h.m
 ), often AS (SELECT template FROM placed GROUP BY template HAVING count(DISTINCT (doc_id, text)) >= 10),
 found AS (SELECT doc_id, count(*) AS n_recurring, list(pos) AS positions FROM placed WHERE template IN (SELECT template FROM often) GROUP BY doc_id),

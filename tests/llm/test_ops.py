@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -133,8 +134,9 @@ def _brute_templates(texts, depth=3, similarity=0.8, least=10):
     holders = collections.defaultdict(set)
     named = []
     for d, at, t in rows:
-        fields = tuple(w if k < depth or count[(len(t), *t[:depth], k, w)] >= least else None for k, w in enumerate(t))
-        name = fields if sum(f is not None for f in fields) >= similarity * len(t) else tuple(t)
+        found = [count[(len(t), *t[:depth], k, w)] if k >= depth else math.inf for k, w in enumerate(t)]
+        enough = sorted(found, reverse=True)[math.ceil(round(similarity * len(t), 6)) - 1]
+        name = tuple(w if c >= enough else None for w, c in zip(t, found))
         named.append((d, at, name))
         holders[name].add((d, texts[d]))
     out = [set() for _ in texts]
@@ -164,6 +166,25 @@ def test_templates_against_brute_force(spark):
     assert all(whole[k]["n_dropped"] == 1 for k in range(65))
 
 
+@pytest.mark.parametrize("n", [4, 9, 10, 11, 50])
+def test_fields_with_common_values_stay_fields(spark, n):
+    """Every pair of n values in two fields: each of the n * n documents has the line, and none keeps it."""
+    value = lambda k: "abcdefghijklmnopqrstuvwxyz"[k % 26] * (1 + k // 26)
+    texts = [f"posted by user {value(i)} in the section {value(j)} of this site today\nown {value(i)} {value(j)} words" for i in range(n) for j in range(n)]
+    texts += [f"posted by user {value(i)} who wrote {value(i)} plain words of prose here" for i in range(5)]  # same leaf, five documents
+    got = line_templates.drop_recurring(documents(spark, texts)).collect()
+    assert all(r["n_dropped"] == (r["doc_id"] < n * n) for r in got)
+    assert all(not r["text"].startswith("posted") for r in got if r["doc_id"] < n * n)
+
+
+def test_field_with_one_common_value(spark):
+    """A value that most lines share is a field like the others, in a leaf with another template."""
+    names = ["anna"] * 300 + ["berta"] * 40 + [f"name{'xyz' * k}" for k in range(20)]
+    texts = [f"written on monday by {x} for all the readers of this page" for x in names] + [f"written on monday by the editor {'q' * k} about all kinds of things" for k in range(1, 30)]
+    got = line_templates.drop_recurring(documents(spark, texts)).collect()
+    assert len(got) == len(texts) and all(r["n_dropped"] == 1 for r in got)
+
+
 def test_repeated_rows_are_one_document(spark):
     rows = [(1, "a line that one document holds\nown", "en", None, 0)] * 12
     out = line_templates.drop_recurring(spark.createDataFrame(rows, SCHEMA)).collect()
