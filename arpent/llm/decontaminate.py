@@ -169,7 +169,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         def run(batch: pa.RecordBatch, index=index) -> pa.RecordBatch:
             found = _overlaps([t or b"" for t in batch.column(len(ids)).to_pylist()], index.value, per_process(("overlaps",), _Hasher), min_overlap)
             order = lambda x: (x[0] is None, x[0] or 0, *x[1:])
-            spans = pa.array([[dict(zip(names, x)) for x in sorted(f, key=order)] for f in found], fields)
+            spans = pa.array([[dict(zip(names, x)) for x in sorted(set(f), key=order)] for f in found], fields)
             out = pa.RecordBatch.from_arrays([*batch.columns[: len(ids)], spans], [*ids, "spans"])
             return out if blocks == 1 else out.filter(pa.array([bool(f) for f in found], pa.bool_()))
 
@@ -199,7 +199,7 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` without those that overlap with an item; rows are told apart by id and text."""
-    keyed = docs.select("*", *row_key(id_col, text_col))
-    rows = keyed.select(F.xxhash64("_id", "_hash").alias("__arpent_row"), text_col)
-    leaks = overlaps(rows, benchmark, "__arpent_row", text_col, **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("__arpent_leak")).distinct()
-    return keyed.join(leaks, F.xxhash64("_id", "_hash") == F.col("__arpent_leak"), "left_anti").select(*docs.columns)
+    keyed = docs.select(F.struct("*").alias("row"), *row_key(id_col, text_col)).withColumn("key", F.xxhash64("_id", "_hash"))
+    rows = keyed.select("key", F.col("row")[text_col].alias("text"))
+    leaks = overlaps(rows, benchmark, "key", "text", **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(leaks, "key", "left_anti").select("row.*")

@@ -89,19 +89,20 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.groupBy("_id", "_hash").agg(F.collect_set("at").alias("positions"))
 
 
-def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_whole: bool = False, **options) -> DataFrame:
-    """`docs` with `text` reduced, and `n_lines`, `n_recurring` and `n_dropped` added."""
+def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_whole: bool = False, counts: bool = True, **options) -> DataFrame:
+    """`docs` with `text` reduced; with `counts`, `n_lines`, `n_recurring` and `n_dropped` are added and replace columns of these names."""
     found = dropped_lines(docs, id_col, text_col, **options)
-    row = F.struct(*docs.columns)  # keeps all columns apart from the ones added here
+    row = F.struct("*")  # keeps all columns apart from the ones added here
     wide = docs.select(row.alias("row"), *row_key(id_col, text_col)).join(found.hint("merge"), ["_id", "_hash"], "left").select("row", "positions")  # one plan at every size
     text, at = F.col("row")[text_col], F.coalesce("positions", F.array().cast("array<int>"))
     parts, full = F.split(text, "\n"), F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{_SPACE}]")))
     drop = (F.size(at) > 0) & (F.size(at) < full) if keep_whole else F.size(at) > 0
     kept = F.array_join(F.filter(parts, lambda x, k: ~F.array_contains(at, k)), "\n")
     reduced = F.when(drop, kept).otherwise(text)
-    return wide.select(
-        *((reduced if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns),
-        F.when(text.isNull(), 0).otherwise(full).cast("long").alias("n_lines"),
-        F.size(at).cast("long").alias("n_recurring"),
-        F.when(drop, F.size(at)).otherwise(0).cast("long").alias("n_dropped"),
-    )
+    added = {
+        "n_lines": F.when(text.isNull(), 0).otherwise(full).cast("long"),
+        "n_recurring": F.size(at).cast("long"),
+        "n_dropped": F.when(drop, F.size(at)).otherwise(0).cast("long"),
+    } if counts else {}
+    kept_columns = ((reduced if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns if c not in added)
+    return wide.select(*kept_columns, *(c.alias(name) for name, c in added.items()))

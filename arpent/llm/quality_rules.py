@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_columns, materialise, utf8
 
@@ -189,14 +190,16 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 20_000, base: bool = True) -> list[Rule]:
-    """Rules learned from statistics of labelled rows; with `base`, of those that pass the base rule."""
+def sampled(labels: DataFrame, label_col: str, max_rows: int) -> DataFrame:
+    """(doc_id, bad) of about `max_rows` labels, chosen by a hash of the id."""
     truth = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(label_col) == 0).alias("bad")).where("doc_id IS NOT NULL AND bad IS NOT NULL")
-    total = truth.count()
-    if not total:
-        return []
     dice = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = truth.where(dice < min(1.0, max_rows / total))
+    return truth.where(dice < min(1.0, max_rows / max(1, truth.count())))
+
+
+def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 20_000, base: bool = True) -> list[Rule]:
+    """Rules learned from statistics of labelled rows; with `base`, of those that pass the base rule."""
+    chosen = sampled(labels, label_col, max_rows)
     named = ratios()
     rows = (stats.where(~base_failed()) if base else stats).join(chosen, "doc_id").select("doc_id", "bad", *(c.alias(k) for k, c in named.items()))
     frame = rows.toPandas().sort_values(["doc_id", "bad"], kind="stable")
@@ -214,11 +217,23 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & kept if base else kept)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """`docs` without what the learned list rejects; rows that share an id go only if all are rejected.
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 20_000) -> DataFrame:
+    """`docs` without the rows that the learned list rejects; each row is judged by its own text.
 
     The base rule is left out here: labelled good texts may be short, and the list learns what
-    repetition the labels reject.
+    repetition the labels reject. Counts travel with their row, so no row is joined or shuffled. The ids
+    of the labelled sample, about `max_rows`, are broadcast.
     """
-    keep = judge(docs, labels, base=False, **options).where("kept").select(F.col("doc_id").alias("__arpent_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__arpent_keep")), "left_semi")
+    ids = F.broadcast(sampled(labels, label_col, max_rows).select("doc_id").distinct())
+    labelled = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id", "left_semi")
+    keep = verdict(fit(statistics(labelled), labels, label_col, max_rows, base=False))
+    at = docs.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(0).field(at).cast(pa.binary()).to_pylist()
+        found = np.array([statistics_of(t) for t in texts], dtype=np.int64).reshape(-1, len(COUNTS))
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, k]) for k in range(len(COUNTS)))], ["row", *COUNTS])
+
+    rows = docs.select(F.struct("*").alias("row"))
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.LongType()) for c in COUNTS)])
+    return map_columns(rows, run, schema).where(keep).select("row.*")

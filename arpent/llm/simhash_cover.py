@@ -241,9 +241,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Rows are told apart by id and text, so different texts with the same id or without one stay.
     """
-    keyed = docs.select("*", *row_key(id_col, text_col))
-    rows = materialise(keyed.select(F.xxhash64("_id", "_hash").alias("__arpent_row"), "_id", "_hash", text_col), "rows")
-    found = near_duplicates(rows, "__arpent_row", text_col, **options).select("doc_id", "component_id")
+    keyed = docs.select(F.struct("*").alias("row"), *row_key(id_col, text_col))
+    rows = materialise(keyed.select(F.xxhash64("_id", "_hash").alias("__arpent_row"), "_id", "_hash", F.col("row")[text_col].alias("text")), "rows")
+    found = near_duplicates(rows, "__arpent_row", "text", **options).select("doc_id", "component_id")
     first = F.min(F.struct((F.col("_id") == "").alias("none"), F.col("_id").try_cast("long").alias("i"), "_id", "_hash")).alias("r")
     keep = found.join(rows, F.col("doc_id") == F.col("__arpent_row")).groupBy("component_id").agg(first).select("r._id", "r._hash")
-    return keyed.join(keep, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    return keyed.join(keep, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select("row.*")

@@ -11,7 +11,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from arpent.llm import byte_bpe, chat_format, common, decontaminate, language_id, lattice_lm, line_templates, quality_rules, queries, repeat_spans, simhash_cover, token_prefix
+from arpent.llm import byte_bpe, chat_format, common, decontaminate, language_id, lattice_lm, line_templates, near_jaccard, quality_rules, queries, repeat_spans, simhash_cover, token_prefix
 from arpent.llm.common import table
 from tests.oracle import connect, same
 
@@ -47,6 +47,9 @@ def _results(spark, docs):
         "bpe": byte_bpe.round_trip(docs, path, P.PATTERN),
         "bench": decontaminate.report(docs, bench),
         "clean": decontaminate.keep_clean(docs, bench),
+        "good": quality_rules.keep_good(docs, labels),
+        "near": near_jaccard.keep_one(docs),
+        "reduced": line_templates.drop_recurring(docs, counts=False),
     }
 
 
@@ -66,11 +69,13 @@ def test_empty_table_gives_empty_table(spark):
 
 def test_odd_rows_and_clashing_columns(spark):
     docs = documents(spark, ODD).unionByName(spark.createDataFrame([(None, "no id", None, None, None)], SCHEMA))
-    for c in ("key", "k", "text_", "fingerprint", "label", "chunk", "word", "anchor", "_at", "size"):
+    for c in ("key", "k", "text_", "fingerprint", "label", "chunk", "word", "anchor", "_at", "size", "_id", "_hash", "row", "n_lines", "n_dropped", "n_words", "kept", "spans", "repeats"):
         docs = docs.withColumn(c, F.lit("clash"))
     for name, out in _results(spark, docs).items():
         # null, the empty and the blank text are one component, and so are the two copies
-        assert out.count() == (len(ODD) + 1 - 3 if name == "keep_one" else len(ODD) + 1), name
+        assert out.count() == (len(ODD) + 1 - 3 if name in ("keep_one", "near") else len(ODD) + 1), name
+        if name in ("keep_one", "near", "clean", "good", "reduced"):
+            assert out.columns == docs.columns, name
 
 
 def test_lattice_sums_over_all_segmentations():

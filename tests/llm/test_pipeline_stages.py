@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from arpent.llm import decontaminate, line_templates, near_jaccard, simhash_cover
+from arpent.llm import decontaminate, line_templates, near_jaccard, quality_rules, simhash_cover
 from arpent.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -76,3 +76,25 @@ def test_blocks_of_items_change_no_row(spark):
     for size in (4 << 20, 30, 8):
         got = decontaminate.report(documents(spark, rows), bench, block_bytes=size).collect()
         assert sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in got) == want
+
+
+def test_equal_spans_count_once_in_one_block_and_in_many(spark):
+    a = " ".join(f"a{k}" for k in range(20))
+    bench = spark.createDataFrame([(1, a), (1, f"{a} more words behind")], "item_id long, text string")
+    for size in (4 << 20, 8):
+        got = decontaminate.report(documents(spark, [(1, a), (2, "no")]), bench, block_bytes=size).orderBy("doc_id").collect()
+        assert [tuple(r) for r in got] == [(1, True, 1, "1", 20), (2, False, 0, "", 0)]
+
+
+def test_good_rows_stay_by_their_own_text(spark):
+    """Rejected texts go though a row of the same id stays; null ids are no one row."""
+    rng = random.Random(2)
+    good = lambda: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(80))
+    bad = lambda: " ".join("".join(rng.choices("abcdefgh", k=3)) + "###$$$" for _ in range(80))
+    train = [(k, bad() if k % 3 == 0 else good()) for k in range(300)]
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(300)], "doc_id long, quality int, toxic int")
+    kept, gone = [good() for _ in range(4)], [bad() for _ in range(3)]
+    more = list(zip([None, None, 7, 1000], kept)) + list(zip([None, 7, 1000], gone)) + [(2000, None), (2001, "")]
+    got = quality_rules.keep_good(documents(spark, train + more), labels).collect()
+    texts = {r["text"] for r in got}
+    assert texts >= {*kept, *(t for k, t in train if k % 3)} and not texts & {*gone, *(t for k, t in train if k % 3 == 0)}
