@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from arpent.llm import byte_bpe, decontaminate, line_templates, near_jaccard, quality_rules
-from arpent.llm.common import materialise, table
+from arpent.llm.common import materialise, settled, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +13,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_templates.drop_recurring(docs, keep_whole=True).select(*docs.columns)
+    return line_templates.drop_recurring(docs, keep_whole=True, counts=False)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,14 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@settled("corpus")
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; what the stages wrote on the way is dropped.
+
+    Null and empty texts have no lines, words or leaks: they stay in every stage but near-dedup, where
+    all texts without a word are one group; repeated rows are one document there. Rows are told apart by
+    id and text, an empty table gives an empty table, and other columns stay up to the last stage.
+    """
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
