@@ -1,17 +1,21 @@
 """All registered queries of the engine, with the SQL that gives the same rows."""
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as sc
-from .operators import filters, geo, quality, reconstruct, scale, stations, tiles, trend, vintage, zones
+from .operators import boxes, filters, geo, quality, reconstruct, scale, stations, tiles, trend, units, vintage, zones
 from .plans import standin
 from .plans.standin import BOX, STATIONS_SQL, WITH_CLEAN, WITH_LINES, WITH_SALES
-from .sources import columns
+from .sources import columns, contours, published, unknown
+from .sources.stores import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -680,3 +684,208 @@ def station_kind(spark, d):
     network = F.when(k == 0, "RER A").when(k == 1, "Métro").when(k == 2, "Tramway")
     type_ = F.when(k == 3, "light_rail").otherwise("station")
     return standin.table(spark, d, "supplier").select("s_suppkey", stations.kind(network, type_).alias("kind"), stations.rank(network, type_).alias("rank"))
+
+
+# --- sources and sinks ------------------------------------------------------------------------
+
+
+def _zipped(rows: DataFrame, parts: int) -> DataFrame:
+    """(prefix, extension, content): zip archives of the rows as CSV, one of each part."""
+    names = rows.columns
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr("data.csv", frame[names].to_csv(index=False, sep="|"))
+        return pd.DataFrame([("packed", "bin", out.getvalue())], columns=["prefix", "extension", "content"])
+
+    return rows.withColumn("part", F.pmod(F.xxhash64(*names), F.lit(parts))).groupBy("part").applyInPandas(pack, "prefix string, extension string, content binary")
+
+
+@register("SELECT f.form, s_suppkey::VARCHAR AS s_suppkey, s_name, s_nationkey::VARCHAR AS s_nationkey, s_acctbal::DECIMAL(18, 2)::VARCHAR AS s_acctbal FROM supplier, (VALUES ('gzip'), ('plain'), ('zip')) f(form)")
+def unknown_tables(spark, d):
+    """The suppliers, written in three packings with three separators and read back without saying which."""
+    rows = standin.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("s_suppkey"), "s_name", F.col("s_nationkey").cast("string").alias("s_nationkey"), F.col("s_acctbal").cast("decimal(18,2)").cast("string").alias("s_acctbal"))
+    base = fresh_dir(spark, "unknown")
+    rows.write.option("header", True).option("sep", ";").csv(f"{base}/plain")
+    rows.write.option("header", True).option("sep", "\t").option("compression", "gzip").csv(f"{base}/gzip")
+    published.publish(_zipped(rows, 4), f"{base}/zip")
+    out = None
+    for form in ("plain", "gzip", "zip"):
+        # the sink's manifest is no table, so archives are read by their names
+        found = unknown.read_unknown(spark, f"{base}/{form}", suffixes=".bin" if form == "zip" else "").withColumn("form", F.lit(form))
+        out = found if out is None else out.unionByName(found)
+    return out.select("form", *rows.columns)
+
+
+_CONTENTS_SQL = (
+    "SELECT n.n_nationkey, string_agg(c_mktsegment || ';' || k || ';' || cents, chr(10) ORDER BY c_mktsegment) AS content FROM "
+    "(SELECT c_nationkey AS n_nationkey, c_mktsegment, count(*) AS k, sum(round_even(c_acctbal * 100, 0)::BIGINT)::BIGINT AS cents FROM customer GROUP BY 1, 2) n GROUP BY 1"
+)
+
+
+@register(f"SELECT 'nation-' || n_nationkey || '-' || substr(sha256(content), 1, 16) || '.csv' AS name, 'nation-' || n_nationkey AS prefix, octet_length(encode(content))::BIGINT AS bytes, sha256(content) AS sha256 FROM ({_CONTENTS_SQL})")
+def published_files(spark, d):
+    """A file of customer segments for each nation, named by its content; the manifest that the sink wrote."""
+    cents = F.sum(sc.half_even(F.col("c_acctbal") * 100).cast("long"))
+    lines = standin.table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.concat_ws(";", "c_mktsegment", F.count("*").cast("string"), cents.cast("string")).alias("line"))
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_mktsegment", "line"))), lambda x: x["line"]), "\n")
+    files = lines.groupBy("c_nationkey").agg(content.alias("content"))
+    return published.publish(files.select(F.concat(F.lit("nation-"), "c_nationkey").alias("prefix"), F.lit("csv").alias("extension"), F.col("content").cast("binary").alias("content")), fresh_dir(spark, "published"))
+
+
+# --- contours, boxes, units -------------------------------------------------------------------
+
+
+def _contour_files(spark, d):
+    """(prefix, extension, content): files of contours that overlap, of sections taken from customers."""
+    held = standin.table(spark, d, "customer").select(F.lpad(F.col("c_nationkey").cast("string"), 5, "0").alias("commune"), F.col("c_nationkey").alias("n"), F.substring(F.rpad("c_mktsegment", 5, "X"), 1, 5).alias("letters")).distinct()
+    kinds = F.explode(F.array(
+        F.struct(F.lit(0).alias("kind"), F.concat(F.lit("geo/00/"), "commune", F.lit("-sections")).alias("prefix")),
+        F.struct(F.lit(1).alias("kind"), F.concat(F.lit("geo/b/cadastre-"), "commune", F.lit("-sections")).alias("prefix")),
+        F.struct(F.lit(2).alias("kind"), F.concat(F.lit("geo/a/more-sections-"), "commune").alias("prefix")),
+        F.struct(F.lit(3).alias("kind"), F.concat(F.lit("cache/"), "commune", F.lit("-sections")).alias("prefix")),
+    ))
+    rows = held.select("*", kinds.alias("f")).select("commune", "n", "letters", "f.*")
+    there = (F.col("kind") == 0) & (F.col("n") % 3 == 0) | (F.col("kind") == 1) & (F.col("n") % 2 == 0) | (F.col("kind") == 2) & (F.col("n") % 4 == 0) | (F.col("kind") == 3) & (F.col("n") % 5 < 3)
+    west = F.col("kind").cast("string")
+    square = F.concat(F.lit('[[['), west, F.lit(',0],['), west, F.lit('.5,0],['), west, F.lit('.5,1],['), west, F.lit(',0]]]'))
+    feature = F.concat(F.lit('{"type":"Feature","properties":{"code":"'), F.substring("letters", 1, 2), F.lit('"},"geometry":{"type":"Polygon","coordinates":'), square, F.lit("}}"))
+    content = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.array_sort(F.collect_list(feature)), ","), F.lit("]}"))
+    broken = (F.col("kind") == 0) & (F.col("n") % 7 == 0)
+    files = rows.where(there).groupBy("commune", "n", "kind", "prefix").agg(content.alias("content"))
+    return files.select("prefix", F.when(F.col("kind") == 2, "json").otherwise("geojson").alias("extension"), F.when(broken, F.lit('{"type": "Feat')).otherwise(F.col("content")).cast("binary").alias("content"))
+
+
+_CONTOUR_SQL = """WITH held AS (SELECT DISTINCT c_nationkey AS n, lpad(c_nationkey::VARCHAR, 5, '0') AS commune, substr(c_mktsegment, 1, 2) AS letters FROM customer),
+chosen AS (SELECT *, CASE WHEN n % 3 = 0 AND n % 7 <> 0 THEN 0 WHEN n % 4 = 0 THEN 2 WHEN n % 2 = 0 THEN 1 WHEN n % 5 < 3 THEN 3 END AS kind FROM held)"""
+_FILE_SQL = "CASE kind WHEN 0 THEN 'local (' || commune || '-sections.geojson)' WHEN 1 THEN 'local (cadastre-' || commune || '-sections.geojson)' WHEN 2 THEN 'local (more-sections-' || commune || '.json)' WHEN 3 THEN 'cache (' || commune || '-sections.geojson)' END"
+
+
+def _contours(spark, d):
+    base = fresh_dir(spark, "contours")
+    published.publish(_contour_files(spark, d), base, named_by="prefix")
+    c = standin.table(spark, d, "customer").select(F.lpad(F.col("c_nationkey").cast("string"), 5, "0").alias("commune"), F.concat(F.lpad(F.col("c_nationkey").cast("string"), 5, "0"), F.lit("000"), F.substring("c_mktsegment", 1, 2)).alias("section"))
+    return c, contours.load(spark, f"{base}/geo", c, c.where("section NOT LIKE '%BU'"), f"{base}/cache")
+
+
+@register(f"{_CONTOUR_SQL} SELECT commune || '000' || letters AS zone, commune, kind::DOUBLE AS west, {_FILE_SQL} AS source FROM chosen WHERE kind IS NOT NULL AND letters <> 'BU'")
+def contour_precedence(spark, d):
+    _, found = _contours(spark, d)
+    return found.zones.select("zone", "commune", F.col("geometry")[0][0][0]["lon"].alias("west"), "source")
+
+
+@register(f"{_CONTOUR_SQL} SELECT DISTINCT commune, {_FILE_SQL} AS source FROM chosen")
+def contour_sources(spark, d):
+    return _contours(spark, d)[1].sources
+
+
+@register(f"{_CONTOUR_SQL} SELECT commune || '000' || letters AS section FROM chosen WHERE kind IS NULL OR letters = 'BU'")
+def contours_missing(spark, d):
+    c, found = _contours(spark, d)
+    return contours.without_contour(c, found.zones)
+
+
+def _boxes(spark, d, n: str = "s_suppkey"):
+    s = standin.table(spark, d, "supplier").select(F.col(n).cast("long").alias("box"))
+    size = F.pow(F.lit(2.0), -(F.col("box") * 7 % 6)) / 8
+    west, south = F.lit(2.0) + (F.col("box") * 37 % 64) / F.lit(256.0), F.lit(48.5) + (F.col("box") * 53 % 48) / F.lit(128.0)
+    return s.select("box", west.alias("west"), south.alias("south"), (west + size).alias("east"), (south + size * F.when(F.col("box") % 3 == 0, 1.5).otherwise(0.75)).alias("north"))
+
+
+_BOXES_SQL = """WITH k AS (SELECT s_suppkey AS box, 2.0::DOUBLE ** (-(s_suppkey * 7 % 6)) / 8 AS size, 2.0::DOUBLE + (s_suppkey * 37 % 64) / 256.0::DOUBLE AS west, 48.5::DOUBLE + (s_suppkey * 53 % 48) / 128.0::DOUBLE AS south FROM supplier),
+boxes AS (SELECT box, west, south, west + size AS east, south + size * CASE WHEN box % 3 = 0 THEN 1.5 ELSE 0.75 END::DOUBLE AS north FROM k)"""
+
+
+@register(f"{_BOXES_SQL} SELECT box FROM boxes a WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.box > a.box AND b.west <= a.west AND b.south <= a.south AND a.east <= b.east AND a.north <= b.north)")
+def boxes_absorbed(spark, d):
+    return boxes.absorbed(_boxes(spark, d)).select("box")
+
+
+@register(f"{_BOXES_SQL} SELECT box, EXISTS (SELECT 1 FROM boxes b WHERE b.box % 4 = 1 AND b.west - 0.01::DOUBLE <= a.west AND b.south - 0.01::DOUBLE <= a.south AND a.east <= b.east + 0.01::DOUBLE AND a.north <= b.north + 0.01::DOUBLE) AS covered FROM boxes a WHERE box % 4 <> 1")
+def boxes_covered(spark, d):
+    b = _boxes(spark, d)
+    return boxes.covered(b.where("box % 4 <> 1"), b.where("box % 4 = 1"))
+
+
+@register(
+    "WITH pairs AS (SELECT DISTINCT lpad(c_nationkey::VARCHAR, 5, '0') AS parent, lpad(c_nationkey::VARCHAR, 2, '0') || substr(c_mktsegment, 1, 3) AS commune FROM customer WHERE c_nationkey % 3 = 0), "
+    "members AS (SELECT lpad(n_nationkey::VARCHAR, 5, '0') AS parent, n_regionkey FROM nation), "
+    "grown AS (SELECT n_regionkey, coalesce(p.commune, m.parent) AS commune FROM members m LEFT JOIN pairs p ON p.parent = m.parent) "
+    "SELECT lpad(n_regionkey::VARCHAR, 5, '0') AS unit, commune FROM grown WHERE commune NOT LIKE '%MAC' AND commune <> '00001'"
+)
+def urban_units(spark, d):
+    """Regions as units: a third of the nations are known by their customers' segments only."""
+    n = standin.table(spark, d, "nation")
+    pairs = standin.table(spark, d, "customer").where("c_nationkey % 3 = 0").select(F.lpad(F.col("c_nationkey").cast("string"), 5, "0").alias("parent"), F.concat(F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.substring("c_mktsegment", 1, 3)).alias("commune")).distinct()
+    known = pairs.select("commune").unionByName(n.select(F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("commune"))).where("commune NOT LIKE '%MAC' AND commune <> '00001'")
+    table = n.select(F.col("n_regionkey").alias("CODE_UU"), F.concat(F.lit(" "), "n_nationkey").alias("COM"))
+    out = None
+    for unit in range(5):
+        code = f"{unit:05d}"
+        found = units.in_unit(table, code, known, pairs).select(F.lit(code).alias("unit"), "commune")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+# --- stations of boxes ------------------------------------------------------------------------
+
+_REFRESH_BOXES = ((0, 2.0, 48.6, 2.25, 48.9, True, True), (1, 2.2, 48.6, 2.5, 48.95, True, True), (2, 2.0, 48.85, 2.5, 49.2, True, False), (3, 2.1, 48.7, 2.15, 48.75, False, True))
+
+
+def _refreshed(spark, d):
+    """Suppliers as stations; the second box's answer lacks a third of them, the third's has no plans, the fourth gave none."""
+    s = standin.stations(spark, d).withColumn("n", F.regexp_extract("station", r"(\d+)$", 1).cast("long"))
+    none = F.array().cast("array<string>")
+    record = lambda status, planned: (F.col("station").alias("name"), "lon", "lat", F.lit("Metro").alias("network"), F.lit("station").alias("type"), status.alias("status"), F.array(F.concat(F.lit("L"), F.col("n").cast("string"))).alias("lines"), planned.alias("planned"), F.col("n").alias("ord"))
+    known = s.where("n % 11 <> 5").select(*record(F.when(F.col("n") % 6 == 0, "project").otherwise("service"), F.when(F.col("n") % 10 == 1, F.array(F.concat(F.lit("P"), F.col("n").cast("string")))).otherwise(none)))
+    rows = spark.createDataFrame(_REFRESH_BOXES, "box long, west double, south double, east double, north double, answered boolean, plans_answered boolean")
+    met = boxes.holding(s, rows, "station").join(s, "station").where("box <> 3")
+    lost = F.when(F.col("box") == 1, F.col("n") % 3 == 0).otherwise(F.col("n") % 40 == F.col("box"))
+    fresh = met.where(~lost & ~((F.col("box") == 2) & (F.col("n") % 6 == 0) & (F.col("n") % 12 != 0))).select(*record(F.when((F.col("n") % 12 == 6), "project").otherwise("service"), none), "box")
+    return stations.refresh(known, fresh, rows)
+
+
+_REFRESH_SQL = rf"""WITH {STATIONS_SQL}, s AS (SELECT *, regexp_extract(station, '(\d+)$', 1)::BIGINT AS n FROM stations),
+inside AS (SELECT *, {", ".join(f"(lon BETWEEN {w} AND {e} AND lat BETWEEN {so} AND {no}) AS b{k}" for k, w, so, e, no, *_ in _REFRESH_BOXES)} FROM s),
+k AS (SELECT * FROM inside WHERE n % 11 <> 5),
+f0 AS (SELECT *, n % 12 = 6 AS plan FROM inside WHERE b0 AND n % 40 <> 0), f1 AS (SELECT *, n % 12 = 6 AS plan FROM inside WHERE b1 AND n % 3 <> 0), f2 AS (SELECT *, false AS plan FROM inside WHERE b2 AND n % 40 <> 2 AND NOT (n % 6 = 0 AND n % 12 <> 0)),
+d0 AS (SELECT *, after >= 0.9 * before AS ok FROM (SELECT count(*) AS before, (SELECT count(*) FROM f0 WHERE NOT plan) AS after FROM k WHERE b0 AND n % 6 <> 0)),
+n0 AS (SELECT station, lon, lat, n, b0, b1, b2, b3, CASE WHEN n % 6 = 0 THEN 'project' ELSE 'service' END AS status, n % 6 <> 0 AND n % 10 = 1 AS more FROM k WHERE NOT (b0 AND (SELECT ok FROM d0))
+  UNION ALL SELECT station, lon, lat, n, b0, b1, b2, b3, CASE WHEN plan THEN 'project' ELSE 'service' END, false FROM f0 WHERE (SELECT ok FROM d0)),
+d1 AS (SELECT *, after >= 0.9 * before AS ok FROM (SELECT count(*) AS before, (SELECT count(*) FROM f1 WHERE NOT plan) AS after FROM n0 WHERE b1 AND status = 'service')),
+n1 AS (SELECT * FROM n0 WHERE NOT (b1 AND (SELECT ok FROM d1)) UNION ALL SELECT station, lon, lat, n, b0, b1, b2, b3, CASE WHEN plan THEN 'project' ELSE 'service' END, false FROM f1 WHERE (SELECT ok FROM d1)),
+d2 AS (SELECT *, after >= 0.9 * before AS ok FROM (SELECT count(*) AS before, (SELECT count(*) FROM f2) AS after FROM n1 WHERE b2 AND status = 'service')),
+n2 AS (SELECT station, n, status, more FROM n1 WHERE NOT (b2 AND (SELECT ok FROM d2)) UNION ALL SELECT station, n, 'service', false FROM f2 WHERE (SELECT ok FROM d2)
+  UNION ALL SELECT station, n, CASE WHEN status = 'service' THEN 'works' ELSE status END, true FROM n1 WHERE b2 AND (SELECT ok FROM d2) AND (more OR status <> 'service'))"""
+
+
+@register(
+    f"{_REFRESH_SQL} SELECT 0::BIGINT AS box, before, after, ok AS accepted FROM d0 UNION ALL SELECT 1, before, after, ok FROM d1 UNION ALL SELECT 2, before, after, ok FROM d2 "
+    "UNION ALL SELECT 3, (SELECT count(*) FROM n1 WHERE b3 AND status = 'service' AND NOT (b2 AND (SELECT ok FROM d2))) + (SELECT count(*) FROM f2 WHERE b3 AND (SELECT ok FROM d2)), 0, false"
+)
+def station_refresh_decisions(spark, d):
+    return _refreshed(spark, d).decisions
+
+
+@register(f"{_REFRESH_SQL} SELECT station AS name, min(CASE status WHEN 'service' THEN 0 WHEN 'works' THEN 1 ELSE 2 END)::INT AS status FROM n2 GROUP BY station")
+def station_refresh(spark, d):
+    network = _refreshed(spark, d).network
+    return network.select("name", F.when(F.col("status") == "service", 0).when(F.col("status") == "works", 1).otherwise(2).alias("status"))
+
+
+_CITED_SQL = rf"""WITH {_CUSTOMER_POINTS}, {STATIONS_SQL}, s AS (SELECT *, regexp_extract(station, '(\d+)$', 1)::BIGINT AS n FROM stations), kinds AS (SELECT *, n % 3 <> 0 AS runs, n % 3 = 0 OR n % 7 = 0 AS planned, CASE WHEN n % 5 = 1 THEN 2 ELSE 1 END AS rank FROM s),
+near AS (SELECT c_custkey, station, runs, planned, rank, sqrt(((p.lon - k.lon) * 111195.0 * cos(radians((p.lat + k.lat) / 2))) ** 2 + ((p.lat - k.lat) * 111195.0) ** 2) AS metres FROM (SELECT c_custkey, lon, lat + 11 AS lat FROM pts) p, (SELECT * REPLACE (lat + 11 AS lat) FROM kinds) k),
+within AS (SELECT *, greatest(1, ceil(metres / 64.0))::BIGINT AS minutes FROM near WHERE ceil(metres / 64.0) <= 30),
+best AS (SELECT *, row_number() OVER (PARTITION BY c_custkey, role ORDER BY metres, station) AS k FROM (SELECT *, 'service' AS role FROM within WHERE runs UNION ALL SELECT *, 'project' FROM within WHERE planned UNION ALL SELECT *, 'train' FROM within WHERE runs AND rank = 2)),
+first AS (SELECT * FROM best WHERE k = 1)
+SELECT f.c_custkey, f.role, f.station, {R6.format("f.metres")} AS metres, f.minutes FROM first f LEFT JOIN first s ON s.c_custkey = f.c_custkey AND s.role = 'service'
+WHERE f.role = 'service' OR (f.role = 'project' AND (s.metres IS NULL OR f.metres < s.metres)) OR (f.role = 'train' AND s.rank <> 2)"""
+
+
+@register(_CITED_SQL)
+def stations_cited(spark, d):
+    """At 60 degrees north, where a degree of longitude is half as wide."""
+    n = F.regexp_extract("station", r"(\d+)$", 1).cast("long")
+    s = standin.stations(spark, d).select("station", "lon", (F.col("lat") + 11).alias("lat"), F.when(n % 3 != 0, "service").otherwise("project").alias("status"), F.when(n % 7 == 0, F.array(F.lit("x"))).alias("planned"), F.when(n % 5 == 1, 2).otherwise(1).alias("rank"))
+    return stations.cited(_customers(spark, d).withColumn("lat", F.col("lat") + 11), s, "c_custkey").withColumn("metres", r6("metres"))

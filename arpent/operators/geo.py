@@ -95,15 +95,16 @@ def vertex_count(geometry: Column) -> Column:
     return F.size(points_of(geometry))
 
 
-def section_identity(properties: Column, get=F.get_json_object) -> Column:
+def section_identity(properties: Column, get=F.get_json_object, expected: Column | None = None) -> Column:
     """The 10-character section of three property schemas: ready codes, register files, and web answers.
 
-    Blank texts count as missing; NULL if the commune or the letters are missing.
+    Blank texts count as missing; NULL if the commune or the letters are missing. `expected` is the
+    commune where the properties name none.
     """
     value = lambda *names: F.coalesce(*(F.nullif(F.trim(get(properties, f"$.{n}")), F.lit("")) for n in names))
     ready = [F.when(F.length(value(n)) >= 10, F.substring(value(n), 1, 10)) for n in ("code_section", "id")]
     two_parts = F.nullif(F.concat(F.coalesce(value("code_dep"), F.lit("")), F.coalesce(value("code_com"), F.lit(""))), F.lit(""))
-    commune = F.coalesce(value("commune", "code_commune", "code_insee"), two_parts)
+    commune = F.coalesce(value("commune", "code_commune", "code_insee"), two_parts, *([] if expected is None else [expected]))
     prefix = F.coalesce(value("prefixe", "com_abs"), F.lit("000"))
     letters = value("code", "section", "section_courte")
     return F.coalesce(*ready, F.concat(zero_fill(commune), zero_fill(prefix, 3), zero_fill(letters, 2)))

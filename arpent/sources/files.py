@@ -109,18 +109,27 @@ def read_removals(spark: SparkSession, path: str) -> DataFrame:
     return parts.select(F.col("p")[0].cast("date").alias("removed_date"), F.col("p")[1].alias("removed_commune"), F.trim(F.col("p")[2]).alias("removed_address"))
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """(zone, geometry) from feature collections; Polygon is a MultiPolygon of one part, first id wins."""
+def features(texts: DataFrame, text_col: str, expected: Column | None = None) -> DataFrame:
+    """`texts` with a row (k, zone, geometry) for each usable feature of its collections; Polygon is a MultiPolygon of one part.
+
+    A text that is no collection has no features.
+    """
     from ..operators.geo import section_identity
 
-    whole = spark.read.option("wholetext", True).text(path).select(F.expr("from_json(value, 'features array<string>')").alias("c"))
-    f = whole.select(F.posexplode("c.features").alias("k", "f"))
+    others = [c for c in texts.columns if c != text_col]
+    f = texts.select(*others, F.posexplode(F.from_json(text_col, "features array<string>")["features"]).alias("k", "f"))
     kind, coordinates = F.get_json_object("f", "$.geometry.type"), F.get_json_object("f", "$.geometry.coordinates")
     many = F.when(kind == "Polygon", F.concat(F.lit("["), coordinates, F.lit("]"))).when(kind == "MultiPolygon", coordinates)
     nested = F.from_json(many, "array<array<array<array<double>>>>")
     point = lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))
     geometry = F.transform(nested, lambda poly: F.transform(poly, lambda ring: F.transform(ring, point)))
-    rows = f.select("k", section_identity(F.get_json_object("f", "$.properties")).alias("zone"), geometry.alias("geometry")).where("zone IS NOT NULL AND geometry IS NOT NULL")
+    zone = section_identity(F.get_json_object("f", "$.properties"), expected=expected)
+    return f.select(*others, "k", zone.alias("zone"), geometry.alias("geometry")).where("zone IS NOT NULL AND geometry IS NOT NULL")
+
+
+def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """(zone, geometry) from feature collections; the first feature of an id wins."""
+    rows = features(spark.read.option("wholetext", True).text(path), "value")
     return rows.groupBy("zone").agg(F.min_by("geometry", "k").alias("geometry"))
 
 
