@@ -6,7 +6,6 @@ import zipfile
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +13,8 @@ from .functions import scalars as sc
 from .operators import boxes, filters, geo, quality, reconstruct, scale, stations, tiles, trend, units, vintage, zones
 from .plans import standin
 from .plans.standin import BOX, STATIONS_SQL, WITH_CLEAN, WITH_LINES, WITH_SALES
-from .sources import columns, contours, published, unknown
-from .sources.stores import fresh_dir
+from .sources import columns, contours, files, published, unknown
+from .sources.stores import Scratch, fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -193,11 +192,13 @@ def zone_stats_two_grains(spark, d):
     return zones.statistics_of_both(standin.clean(spark, d))
 
 
+_END_SQL = "{t}.sale_id AS {e}_sale, {t}.price AS {e}_price, {t}.area AS {e}_area, {t}.price_m2 AS {e}_m2, {t}.property_type AS {e}_type, {t}.sale_date AS {e}_date"
+
+
 @register(
-    f"{WITH_CLEAN}, high AS (SELECT *, row_number() OVER (PARTITION BY commune ORDER BY price_m2 DESC, sale_date, sale_id) AS k FROM clean), "
-    "low AS (SELECT *, row_number() OVER (PARTITION BY commune ORDER BY price_m2, sale_date, sale_id) AS k FROM clean) "
-    "SELECT h.commune AS zone, h.price_m2 AS max_m2, h.sale_id AS max_sale, h.price AS max_price, h.sale_date AS max_date, l.price_m2 AS min_m2, l.sale_id AS min_sale, l.price AS min_price, l.sale_date AS min_date "
-    "FROM high h JOIN low l ON h.commune = l.commune WHERE h.k = 1 AND l.k = 1"
+    f"{WITH_CLEAN}, high AS (SELECT *, row_number() OVER (PARTITION BY commune ORDER BY price DESC, sale_date, ord, sale_id) AS k FROM clean), "
+    "low AS (SELECT *, row_number() OVER (PARTITION BY commune ORDER BY price, sale_date, ord, sale_id) AS k FROM clean) "
+    f"SELECT h.commune AS zone, {_END_SQL.format(t='h', e='max')}, {_END_SQL.format(t='l', e='min')} FROM high h JOIN low l ON h.commune = l.commune WHERE h.k = 1 AND l.k = 1"
 )
 def zone_extremes(spark, d):
     return zones.extremes(standin.clean(spark, d), "commune")
@@ -376,8 +377,9 @@ def zone_colours(spark, d):
     "FROM stats s JOIN names ON s.zone = names.section LEFT JOIN streets ON s.zone = streets.zone, scale"
 )
 def layer_price(spark, d):
-    s = standin.clean(spark, d).persist(StorageLevel.DISK_ONLY)  # read four times; lost blocks are computed again
-    return scale.price_layer(zones.statistics(s, "section"), zones.labels(s, "section"), zones.main_streets(s, "section"))
+    with Scratch(spark) as scratch:
+        s = scratch.written(standin.clean(spark, d).select("section", "commune_name", "address", "price", "area", "price_m2"))
+        return scratch.result(scale.price_layer(zones.statistics(s, "section"), zones.labels(s, "section"), zones.main_streets(s, "section")))
 
 
 @register(
@@ -475,8 +477,9 @@ UNION ALL SELECT 'communes lost', 'all', 0.0, n FROM g WHERE n > 3"""
 
 @register(_GUARD_SQL)
 def vintage_guardrails(spark, d):
-    s = standin.clean(spark, d).select("sale_id", "year", "commune", "department", "sale_date", "price_m2").persist(StorageLevel.DISK_ONLY)
-    return vintage.guard_rails(s, s.where("commune > '00004' AND (year <> 1998 OR sale_id % 3 = 0)"))
+    with Scratch(spark) as scratch:
+        s = scratch.written(standin.clean(spark, d).select("sale_id", "year", "commune", "department", "sale_date", "price_m2"))
+        return scratch.result(vintage.guard_rails(s, s.where("commune > '00004' AND (year <> 1998 OR sale_id % 3 = 0)")))
 
 
 _PERIODS = "2020-s1 2020-s2 2021 2021-s2 2022 2023 2024 2024-s1 2025 2026-s1".split()
@@ -889,3 +892,59 @@ def stations_cited(spark, d):
     n = F.regexp_extract("station", r"(\d+)$", 1).cast("long")
     s = standin.stations(spark, d).select("station", "lon", (F.col("lat") + 11).alias("lat"), F.when(n % 3 != 0, "service").otherwise("project").alias("status"), F.when(n % 7 == 0, F.array(F.lit("x"))).alias("planned"), F.when(n % 5 == 1, 2).otherwise(1).alias("rank"))
     return stations.cited(_customers(spark, d).withColumn("lat", F.col("lat") + 11), s, "c_custkey").withColumn("metres", r6("metres"))
+
+
+# --- from files to sales ----------------------------------------------------------------------
+
+_FILE_SALES = "sale_id, sale_date, year, nature, price, n_prices, commune, commune_name, section, parcel, area, private_area, rooms, n_premises, n_repeats, n_outbuildings, has_activity, premise_types, property_type, lon, lat"
+
+
+def _back(x: str, names: dict[str, str]):
+    return files.named(F.col(x), {name: source for source, name in names.items()})
+
+
+def _source_files(spark, d) -> str:
+    """The stand-in's lines as the source publishes them: CSV texts with its names, decimal commas and markers of missing values."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    n = standin.lines(spark, d)
+    kind = F.when(F.col("premise_type") == "Outbuilding", F.when(F.col("sale_id") % 2 == 0, "Dépendance").otherwise("DÉPENDANCE")).otherwise(_back("premise_type", files.PREMISES))
+    rows = n.select(
+        text("sale_id").alias(" ID_mutation "), text("sale_date").alias("date_mutation"), F.concat(_back("nature", files.NATURES), F.lit(" ")).alias("nature_mutation"), F.replace(text("price"), F.lit("."), F.lit(",")).alias("valeur_fonciere"),
+        F.regexp_replace("commune", "^0+(?=.)", "").alias("code_commune"), "commune_name", kind.alias("type_local"), text("area").alias("surface_reelle_bati"), text("private_area").alias("lot2_surface_carrez"),
+        text("rooms").alias("nombre_pieces_principales"), F.col("parcel").alias("id_parcelle"), text("lon").alias("longitude"), text("lat").alias("latitude"),
+    ).withColumnRenamed("commune_name", "nom_commune")
+    path = fresh_dir(spark, "source")
+    rows.write.option("header", True).option("sep", ";").option("compression", "gzip").csv(path)
+    return path
+
+
+@register(f"{WITH_SALES} SELECT {_FILE_SALES.replace('sale_id,', 'sale_id::VARCHAR AS sale_id,', 1).replace(', parcel,', ',').replace(', lon, lat', '')}, {q6('lon')}, {q6('lat')} FROM sales")
+def file_to_sales(spark, d):
+    """Lines written as source files, read back, typed and put together again."""
+    lines = files.typed_lines(files.read_lines(spark, _source_files(spark, d)))
+    return reconstruct.reconstruct(lines).select(*(c for c in _FILE_SALES.split(", ") if c not in ("parcel", "lon", "lat")), r6("lon"), r6("lat"))
+
+
+@register(f"{WITH_SALES} SELECT sale_id::VARCHAR AS sale_id, count(*) AS n_lines, sum(round_even(price * 100, 0)::BIGINT)::BIGINT AS cents, count(area) AS n_areas FROM lines WHERE commune IN (SELECT lpad(n_nationkey::VARCHAR, 5, '0') FROM nation WHERE n_regionkey = 1) GROUP BY sale_id")
+def file_lines_of_perimeter(spark, d):
+    """Lines of the communes of one region, read from source files."""
+    codes = fresh_dir(spark, "codes")
+    standin.table(spark, d, "nation").where("n_regionkey = 1").select(F.concat(F.lpad(F.col("n_nationkey").cast("string"), 5, "0"), F.lit("\t# "), "n_name").alias("value")).write.text(codes)
+    lines = files.typed_lines(files.read_lines(spark, _source_files(spark, d)), files.read_codes(spark, codes))
+    return lines.groupBy("sale_id").agg(F.count("*").alias("n_lines"), F.sum(sc.half_even(F.col("price") * 100).cast("long")).alias("cents"), F.count("area").alias("n_areas"))
+
+
+@register(f"{WITH_CLEAN}, asked AS (SELECT sale_date, commune, address FROM clean WHERE sale_id % 40 = 3) SELECT sale_id FROM clean WHERE (sale_date, commune, lower(address)) NOT IN (SELECT sale_date, commune, lower(address) FROM asked)")
+def removals_from_file(spark, d):
+    """Sales without those that a list of removals names."""
+    s, path = standin.clean(spark, d), fresh_dir(spark, "removals")
+    s.where("sale_id % 40 = 3").select(F.concat_ws(";", F.col("sale_date").cast("string"), "commune", F.concat(F.lit(" "), F.upper("address"))).alias("value")).write.text(path)
+    return filters.without_removed(s, files.read_removals(spark, path)).select("sale_id")
+
+
+@register(f"{WITH_CLEAN} SELECT commune, count(*) AS n, sum(round_even(price * 100, 0)::BIGINT)::BIGINT AS cents FROM clean GROUP BY commune")
+def frozen_sales(spark, d):
+    """Clean sales frozen to parquet with their counters and read back by column."""
+    path = fresh_dir(spark, "frozen")
+    files.write_sales(standin.clean(spark, d), path, {"source": "stand-in"})
+    return files.read_sales(spark, path, ["commune", "price", "no such column"]).groupBy("commune").agg(F.count("*").alias("n"), F.sum(sc.half_even(F.col("price") * 100).cast("long")).alias("cents"))

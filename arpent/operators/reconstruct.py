@@ -75,6 +75,7 @@ def reconstruct(lines: DataFrame, dedupe: bool = True) -> DataFrame:
         F.bool_or("is_activity").alias("has_activity"),
         F.count_if(F.col("premise_type") == OUTBUILDING).alias("n_outbuildings"),
         F.min(F.when(kept, F.col("sale_date"))).alias("sale_date"),
+        F.min(F.when(kept, F.col("ord"))).alias("ord"),
         first_known("nature"),
         first_known("commune"),
         first_known("commune_name"),
@@ -97,5 +98,5 @@ def reconstruct(lines: DataFrame, dedupe: bool = True) -> DataFrame:
         F.coalesce("area", F.lit(0.0)).alias("area"), F.coalesce("private_area", F.lit(0.0)).alias("private_area"), "rooms", "n_premises", "n_repeats", "n_outbuildings", "has_activity",
         F.array_join(types, ", ").alias("premise_types"),
         F.when(F.size(types) == 1, types[0]).otherwise(MIXED).alias("property_type"),
-        "lon", "lat",
+        "lon", "lat", "ord",
     )

@@ -59,6 +59,7 @@ def trend_layer(stats: DataFrame, trends: DataFrame) -> DataFrame:
 
 def price_legend(one_scale: DataFrame, title: str, note: str, n: int = 5) -> DataFrame:
     """(title, palette, ticks, note): one row, ticks as euro labels."""
+    n = max(n, 2)
     labels = F.array(*(euro_label(F.col("low") + F.lit(k / (n - 1)) * (F.col("high") - F.col("low")), "") for k in range(n)))
     return one_scale.select(F.lit(title).alias("title"), F.array(*map(F.lit, PRICE_PALETTE)).alias("palette"), labels.alias("ticks"), F.lit(note).alias("note"))
 

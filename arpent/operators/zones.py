@@ -40,17 +40,20 @@ def statistics_of_both(sales: DataFrame) -> DataFrame:
 
 
 def extremes(sales: DataFrame, key: str) -> DataFrame:
-    """The dearest and the cheapest sale of each zone; ties go to the earlier sale, then smaller id."""
-    whole = F.struct("sale_id", "price", "area", "sale_date")
-    high = F.struct(F.col("price_m2"), -F.unix_date(F.to_date("sale_date")), -F.col("sale_id"))
-    low = F.struct(F.col("price_m2"), F.unix_date(F.to_date("sale_date")), F.col("sale_id"))
+    """The dearest and the cheapest sale of each zone, by price, with its attributes.
+
+    Ties go to the earlier sale, then to the first in the file (`ord`, where sales have it), then to the
+    smaller id. Sales without a price are passed over; a zone with no other stays, with NULLs.
+    """
+    whole = {"sale": "sale_id", "price": "price", "area": "area", "m2": "price_m2", "type": "property_type", "date": "sale_date"}
+    tie = [c for c in ("ord", "sale_id") if c in sales.columns]
+    day = F.to_date("sale_date")
+    order = lambda price: F.when(F.col("price").isNotNull(), F.struct(price.alias("by"), day.isNull().alias("undated"), day.alias("day"), *tie))
     out = sales.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("zone")).agg(
-        F.max("price_m2").alias("max_m2"), F.min("price_m2").alias("min_m2"), F.max_by(whole, high).alias("h"), F.min_by(whole, low).alias("l")
+        F.min_by(F.struct(*whole.values()), order(-F.col("price"))).alias("max"), F.min_by(F.struct(*whole.values()), order(F.col("price"))).alias("min")
     )
-    return out.select(
-        "zone", "max_m2", F.col("h.sale_id").alias("max_sale"), F.col("h.price").alias("max_price"), F.to_date("h.sale_date").alias("max_date"),
-        "min_m2", F.col("l.sale_id").alias("min_sale"), F.col("l.price").alias("min_price"), F.to_date("l.sale_date").alias("min_date"),
-    )
+    value = lambda end, name: F.to_date(f"{end}.sale_date") if name == "date" else F.col(f"{end}.{whole[name]}")
+    return out.select("zone", *(value(end, name).alias(f"{end}_{name}") for end in ("max", "min") for name in whole))
 
 
 def by_year(sales: DataFrame, key: str, metric: str = "median_m2") -> DataFrame:

@@ -83,11 +83,11 @@ of_section AS (
   SELECT sale_id, min(sale_date) AS sale_date, min_by(nature, ord) AS nature, min_by(commune, ord) AS commune, min_by(commune_name, ord) AS commune_name,
     coalesce(sum(area), 0.0) AS area, coalesce(sum(private_area), 0.0) AS private_area, coalesce(sum(rooms), 0)::BIGINT AS rooms, count(*) AS n_premises,
     string_agg(DISTINCT premise_type, ', ' ORDER BY premise_type) AS premise_types,
-    CASE WHEN count(DISTINCT premise_type) = 1 THEN min(premise_type) ELSE 'Mixed' END AS property_type, avg(lon) AS lon, avg(lat) AS lat, min(department) AS department
+    CASE WHEN count(DISTINCT premise_type) = 1 THEN min(premise_type) ELSE 'Mixed' END AS property_type, avg(lon) AS lon, avg(lat) AS lat, min(department) AS department, min(ord) AS ord
   FROM kept GROUP BY sale_id
 ), sales AS (
   SELECT p.sale_id, sale_date, year(sale_date)::INT AS year, nature, price, n_prices, commune, commune_name, s.section, l.address, l.parcel, area, private_area, rooms,
-    n_premises, n_repeats, n_outbuildings, has_activity, premise_types, property_type, lon, lat, department
+    n_premises, n_repeats, n_outbuildings, has_activity, premise_types, property_type, lon, lat, department, ord
   FROM part_of p JOIN whole w USING (sale_id) JOIN of_section s ON s.sale_id = p.sale_id AND s.k = 1 JOIN of_line l ON l.sale_id = p.sale_id AND l.k = 1
 )"""
 

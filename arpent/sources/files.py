@@ -3,10 +3,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.reconstruct import OUTBUILDING
 from ..functions.scalars import parse_number, section_code, text_or_null, title_case, zero_fill
 
 # Names of the columns of the source files.
@@ -15,6 +16,10 @@ NUMERIC = (
     "valeur_fonciere", "surface_reelle_bati", "surface_terrain", "nombre_pieces_principales", "nombre_lots", "longitude", "latitude",
     "lot1_surface_carrez", "lot2_surface_carrez", "lot3_surface_carrez", "lot4_surface_carrez", "lot5_surface_carrez",
 )
+# Texts of the source files and what the model calls them; other texts stay as they are.
+PREMISES = {"Appartement": "Apartment", "Maison": "House"}
+OUTBUILDING_TEXT = "dépendance"  # in any case
+NATURES = {"Vente": "Sale", "Vente en l'état futur d'achèvement": "Off-plan sale"}
 LOTS = tuple(f"lot{k}_surface_carrez" for k in range(1, 6))
 
 
@@ -46,13 +51,22 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return out.repartition(spark.sparkContext.defaultParallelism) if path.endswith(".gz") else out
 
 
+def named(x: Column, names: dict[str, str]) -> Column:
+    out = x
+    for source, name in names.items():
+        out = F.when(x == source, name).otherwise(out)
+    return out
+
+
 def typed_lines(raw: DataFrame, communes: DataFrame | None = None) -> DataFrame:
-    """The engine's lines from texts: markers become NULL, numbers parse tolerantly, keys are built.
+    """The engine's lines from texts: markers become NULL, numbers parse tolerantly, keys are built, values are named.
 
     Lines without a premise type and, if `communes` is given, of other communes are dropped in the
-    scan. `ord` is the order in the file, as `read_lines` found it.
+    scan. `ord` is the order in the file, as `read_lines` found it in `_ord`.
     """
     has = set(raw.columns)
+    if "_ord" not in has:
+        raise ValueError("lines have no column _ord, their order in the file")
     text = lambda c: text_or_null(F.col(c)) if c in has else F.lit(None).cast("string")
     number = lambda c: parse_number(text(c)) if c in has else F.lit(None).cast("double")
     lines = raw.where(text("type_local").isNotNull()).withColumn("commune", zero_fill(text("code_commune")))
@@ -62,10 +76,11 @@ def typed_lines(raw: DataFrame, communes: DataFrame | None = None) -> DataFrame:
     known = F.coalesce(*lots)
     house = F.regexp_replace(F.coalesce(text("adresse_numero"), F.lit("")), r"\.0$", "")
     address = F.trim(F.regexp_replace(F.concat_ws(" ", house, text("adresse_suffixe"), title_case(text("adresse_nom_voie"))), r"(?U)\s+", " "))
-    kind = text("type_local")
+    kind = F.trim(text("type_local"))
+    premise = F.when(F.lower(kind) == OUTBUILDING_TEXT, OUTBUILDING).otherwise(named(kind, PREMISES))
     return lines.select(
-        text("id_mutation").alias("sale_id"), (F.col("_ord") if "_ord" in has else F.monotonically_increasing_id()).alias("ord"), F.to_date(F.try_to_timestamp(text("date_mutation"))).alias("sale_date"), text("nature_mutation").alias("nature"),
-        number("valeur_fonciere").alias("price"), kind.alias("premise_type"), number("surface_reelle_bati").alias("area"),
+        text("id_mutation").alias("sale_id"), F.col("_ord").alias("ord"), F.to_date(F.try_to_timestamp(text("date_mutation"))).alias("sale_date"), named(F.trim(text("nature_mutation")), NATURES).alias("nature"),
+        number("valeur_fonciere").alias("price"), premise.alias("premise_type"), number("surface_reelle_bati").alias("area"),
         F.when(known.isNotNull(), sum((F.coalesce(c, F.lit(0.0)) for c in lots), F.lit(0.0))).alias("private_area"), number("nombre_pieces_principales").alias("rooms"),
         text("id_parcelle").alias("parcel"), section_code(text("id_parcelle"), F.col("commune"), text("section_prefixe")).alias("section"), "commune", F.coalesce(text("nom_commune"), F.col("commune")).alias("commune_name"),
         address.alias("address"), kind.rlike(r"(?i)^local\s+industriel").alias("is_activity"), number("longitude").alias("lon"), number("latitude").alias("lat"),
@@ -100,11 +115,12 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_removals(spark: SparkSession, path: str) -> DataFrame:
-    """date;commune;address; a line of another form fails the job and is quoted."""
-    line = F.trim("value")
+    """date;commune;address; a line of another form fails the job and is quoted with its number."""
     good = r"^(\d{4}-\d{2}-\d{2});([0-9AB]{5});(.+)$"
-    rows = spark.read.text(path).where((line != "") & ~F.startswith(line, F.lit("#"))).select(line.alias("line"))
-    checked = F.when(F.col("line").rlike(good), F.col("line")).otherwise(F.raise_error(F.concat(F.lit("malformed removal: "), "line")))
+    whole = spark.read.text(path, wholetext=True)  # a list is written by hand
+    each = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("k", "line")).select((F.col("k") + 1).cast("string").alias("k"), F.trim("line").alias("line"))
+    rows = each.where((F.col("line") != "") & ~F.startswith(F.col("line"), F.lit("#")))
+    checked = F.when(F.col("line").rlike(good), F.col("line")).otherwise(F.raise_error(F.concat(F.lit("malformed removal, line "), "k", F.lit(": "), "line")))
     parts = rows.select(F.split(checked, ";", 3).alias("p"))
     return parts.select(F.col("p")[0].cast("date").alias("removed_date"), F.col("p")[1].alias("removed_commune"), F.trim(F.col("p")[2]).alias("removed_address"))
 
@@ -129,7 +145,7 @@ def features(texts: DataFrame, text_col: str, expected: Column | None = None) ->
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """(zone, geometry) from feature collections; the first feature of an id wins."""
-    rows = features(spark.read.option("wholetext", True).text(path), "value")
+    rows = features(spark.read.text(path, wholetext=True), "value")
     return rows.groupBy("zone").agg(F.min_by("geometry", "k").alias("geometry"))
 
 

@@ -139,7 +139,7 @@ def publish(files: DataFrame, path: str, about: dict | None = None, **options) -
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(name, prefix, bytes, sha256) of the last build."""
-    whole = spark.read.option("wholetext", True).text(f"{path.rstrip('/')}/{MANIFEST}")
+    whole = spark.read.text(f"{path.rstrip('/')}/{MANIFEST}", wholetext=True)
     return whole.select(F.inline(F.expr("from_json(value, 'files array<struct<name string, prefix string, bytes bigint, sha256 string>>').files")))
 
 

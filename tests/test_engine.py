@@ -138,7 +138,7 @@ def test_removal_list_fails_on_a_bad_line(spark, tmp_path):
 def test_geojson(spark, tmp_path):
     ring = [[0, 0], [1, 0], [1, 1], [0, 0]]
     path = tmp_path / "z.geojson"
-    path.write_text(json.dumps({"type": "FeatureCollection", "features": [{"properties": {"code_section": "75001000AB"}, "geometry": {"type": "Polygon", "coordinates": [ring]}}, {"properties": {"commune": "75002", "prefixe": "000", "code": "C"}, "geometry": {"type": "MultiPolygon", "coordinates": [[ring], [ring]]}}]}))
+    path.write_text(json.dumps({"type": "FeatureCollection", "features": [{"properties": {"code_section": "75001000AB"}, "geometry": {"type": "Polygon", "coordinates": [ring]}}, {"properties": {"commune": "75002", "prefixe": "000", "code": "C"}, "geometry": {"type": "MultiPolygon", "coordinates": [[ring], [ring]]}}]}, indent=1))  # over several lines
     got = {r["zone"]: len(r["geometry"]) for r in files.read_geojson(spark, str(path)).collect()}
     assert got == {"75001000AB": 1, "750020000C": 2}
 

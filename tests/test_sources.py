@@ -7,8 +7,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from arpent.operators import quality, reconstruct, zones
 from arpent.plans.standin import table
-from arpent.sources import published, unknown
+from arpent.sources import files, published, unknown
 
 SF = "/root/testdata/sf0.001"
 
@@ -113,3 +114,48 @@ def test_damaged_file_is_found(spark, tmp_path):
     (tmp_path / "site" / name).write_bytes(b"bad")
     with pytest.raises(Exception, match="damaged"):
         published.read_published(spark, f"file://{tmp_path}/site").collect()
+
+
+HEAD = "id_mutation,date_mutation,nature_mutation,valeur_fonciere,code_commune,nom_commune,type_local,surface_reelle_bati,nombre_pieces_principales,id_parcelle,adresse_numero,adresse_nom_voie"
+LINES = [
+    '2021-1,2021-03-01,Vente,"300000,50",75101,Paris 1,Appartement,50,2,75101000AB0001,1,RUE X',
+    '2021-1,2021-03-01,Vente,"300000,50",75101,Paris 1,Appartement,50,2,75101000AB0001,1,RUE X',
+    '2021-1,2021-03-01,Vente,"300000,50",75101,Paris 1,Dépendance,None,0,75101000AB0001,1,RUE X',
+    "2021-2,2021-03-01,Vente en l'état futur d'achèvement,300000.5,75101,Paris 1, Maison ,80,4,75101000AC0002,2,RUE Y",
+    "2021-3,2021-02-01,Vente,300000.50,75101,Paris 1,Maison,90,4,75101000AC0002,2,RUE Y",
+    "2021-4,2021-02-01,Echange,250000,75101,Paris 1,Maison,90,4,75101000AC0002,2,RUE Y",
+    "2021-5,2021-02-02,Vente,250000,75101,Paris 1,Local industriel. commercial ou assimilé,90,0,75101000AC0002,2,RUE Y",
+    "2021-0,2021-02-01,Vente,300000.50,75101,Paris 1,Appartement,40,1,75101000AC0003,3,RUE Z",
+]
+
+
+def test_from_source_file_to_zones(spark, tmp_path):
+    """Eight lines of a source file: sales, their rules, and the extremes of a zone under text ids."""
+    (tmp_path / "full.csv").write_text("\n".join([HEAD, *LINES]) + "\n")
+    lines = files.typed_lines(files.read_lines(spark, f"file://{tmp_path}/full.csv"))
+    sales = reconstruct.reconstruct(lines)
+    got = {r["sale_id"]: (r["price"], r["property_type"], r["nature"], r["n_repeats"], r["n_outbuildings"], r["section"], r["address"]) for r in sales.collect()}
+    assert got == {
+        "2021-1": (300000.5, "Apartment", "Sale", 1, 1, "75101000AB", "1 Rue X"), "2021-2": (300000.5, "House", "Off-plan sale", 0, 0, "75101000AC", "2 Rue Y"),
+        "2021-3": (300000.5, "House", "Sale", 0, 0, "75101000AC", "2 Rue Y"), "2021-4": (250000.0, "House", "Echange", 0, 0, "75101000AC", "2 Rue Y"), "2021-0": (300000.5, "Apartment", "Sale", 0, 0, "75101000AC", "3 Rue Z"),
+    }
+    clean = quality.survivors(sales)
+    assert {(r["sale_id"], r["state"]) for r in clean.collect()} == {("2021-0", "Old"), ("2021-1", "Old"), ("2021-2", "New"), ("2021-3", "Old")}
+    top = zones.extremes(clean, "commune").first()
+    # equal prices: the earlier day, there the first in the file, though its id is larger
+    assert (top["max_sale"], top["min_sale"], top["max_area"], top["max_type"], str(top["max_date"])) == ("2021-3", "2021-3", 90.0, "House", "2021-02-01")
+    blank = zones.extremes(clean.withColumn("price", F.lit(None).cast("double")), "commune").first()
+    assert blank["zone"] == "75101" and blank["max_sale"] is None
+
+
+def test_lines_without_their_order_are_refused(spark):
+    with pytest.raises(ValueError, match="_ord"):
+        files.typed_lines(spark.createDataFrame([("1",)], "id_mutation string"))
+
+
+def test_removals_name_the_malformed_line(spark, tmp_path):
+    (tmp_path / "r.txt").write_text("# who asked\n\n2021-01-02;75101; 1 Rue X ; 2\n")
+    assert [tuple(map(str, r)) for r in files.read_removals(spark, f"file://{tmp_path}/r.txt").collect()] == [("2021-01-02", "75101", "1 Rue X ; 2")]
+    (tmp_path / "r.txt").write_text("# who asked\n\n2021-01-02;7510;1 Rue X\n")
+    with pytest.raises(Exception, match="line 3: 2021-01-02;7510;1 Rue X"):
+        files.read_removals(spark, f"file://{tmp_path}/r.txt").collect()
