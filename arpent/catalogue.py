@@ -547,10 +547,21 @@ def binary_parts(spark, d):
 def binary_order(spark, d):
     from pyspark.sql import Window
 
-    n = columns.numbered(standin.clean(spark, d))
+    with Scratch(spark) as scratch:
+        n = scratch.result(columns.numbered(standin.clean(spark, d), scratch))
     return n.select("sale_id", F.col("commune_id").cast("int").alias("commune_id"), F.row_number().over(Window.partitionBy("commune").orderBy("price_m2", "sale_id")).alias("place"))
 
 
+@register(
+    f"{WITH_CLEAN} SELECT row_number() OVER (ORDER BY commune, price_m2, sale_id) - 1 AS place, commune, section, year::BIGINT AS year, property_type, state, price, area, price_m2 FROM clean"
+)
+def binary_slices(spark, d):
+    """Clean sales published as slices of packed columns and read back."""
+    path = fresh_dir(spark, "columns")
+    columns.publish_columns(standin.clean(spark, d), path)
+    return columns.read_columns(spark, path)
+
+
 # --- scalar functions -------------------------------------------------------------------------
 
 
