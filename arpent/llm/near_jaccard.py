@@ -12,7 +12,9 @@ last that are frequent in a sample; the sample only decides the order, any order
 
 Each set has a bitmap with the parity of the number of its shingles in each of 512 classes. Two
 bitmaps never differ in more bits than the sets differ in shingles, so pairs of a bucket are left out
-by roles, sizes and bitmaps, exactly. What remains is verified on both texts.
+by roles, sizes and bitmaps, exactly. Candidates are then held against a second bitmap, which has about
+as many classes as the set has shingles, so that long texts are told apart too; it takes a fiftieth of
+the text's room, and texts move only for pairs it can't tell apart. What remains is verified on both texts.
 
 Equal texts are one node, so copies cost nothing. Before pairs of a bucket are compared, rounds join
 large groups: each node is verified with the nearest of the centres of its buckets, one for each
@@ -58,6 +60,20 @@ def bitmap_of(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_of(found: np.ndarray) -> bytes:
+    """The parities in as many classes as there are shingles, rounded up to a power of two from 512 on."""
+    classes = 1 << max(9, (max(1, len(found)) - 1).bit_length())
+    return np.packbits((np.bincount(found & (classes - 1), minlength=classes) & 1).astype(np.uint8)).tobytes()
+
+
+def wide_distance(a: bytes, b: bytes) -> int:
+    """Bits in which two bitmaps differ; the longer one is folded, which gives the parities in half the classes."""
+    x, y = sorted((np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def prefixes(n: int, num: int, den: int) -> tuple[int, int]:
     """Lengths of the prefix of a set of n shingles: against smaller sets, against larger ones."""
     return n - -(-n * num // den) + 1, n - -(-2 * n * num // (num + den)) + 1
@@ -89,10 +105,10 @@ def _ordered(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.n
 
 
 def _nodes(texts: DataFrame, width: int, num: int, den: int, frequent) -> DataFrame:
-    """(node, text, size, small, prefix, bits, fingerprint): each text once, bucketed by `node` in the shared folder."""
+    """(node, text, size, small, prefix, bits, wide, fingerprint): each text once, bucketed by `node` in the shared folder."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        size, small, prefix, bits, prints = [], [], [], [], []
+        size, small, prefix, bits, wide, prints = [], [], [], [], [], []
         for t in batch.column(1).to_pylist():
             s = shingles_of(t, width)
             long, short = prefixes(len(s), num, den)
@@ -100,14 +116,15 @@ def _nodes(texts: DataFrame, width: int, num: int, den: int, frequent) -> DataFr
             small.append(short)
             prefix.append(_ordered(s, frequent.value)[:long] if len(s) else np.array([EMPTY]))
             bits.append(bitmap_of(s))
+            wide.append(wide_of(s))
             prints.append(fingerprint_of(t, width))
         longs = pa.list_(pa.int64())
-        columns = [pa.array(size, pa.int32()), pa.array(small, pa.int32()), pa.array(prefix, longs), pa.array(bits, longs), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))]
-        return pa.RecordBatch.from_arrays([*batch.columns, *columns], ["node", "text", "size", "small", "prefix", "bits", "fingerprint"])
+        columns = [pa.array(size, pa.int32()), pa.array(small, pa.int32()), pa.array(prefix, longs), pa.array(bits, longs), pa.array(wide, pa.binary()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))]
+        return pa.RecordBatch.from_arrays([*batch.columns, *columns], ["node", "text", "size", "small", "prefix", "bits", "wide", "fingerprint"])
 
     spark = texts.sparkSession
     once = texts.groupBy(F.col("_hash").alias("node")).agg(F.first("text").alias("text"))
-    made = map_columns(once, run, "node long, text binary, size int, small int, prefix array<long>, bits array<long>, fingerprint long")
+    made = map_columns(once, run, "node long, text binary, size int, small int, prefix array<long>, bits array<long>, wide binary, fingerprint long")
     name = f"arpent_nodes_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     drop_later(drop_folder(spark, path))
@@ -118,15 +135,25 @@ def _nodes(texts: DataFrame, width: int, num: int, den: int, frequent) -> DataFr
     return spark.table(name)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, width: int, num: int, den: int, share: int = 512) -> DataFrame:
-    """The pairs (u, v) whose sets have a similarity of num/den or more.
+def _met(pairs: DataFrame, nodes: DataFrame, column: Column, share: int) -> DataFrame:
+    """(u, v, a, b): the pairs with what `column` has of both.
 
-    `u` may be in any number of pairs: its text goes to one place for each `share` of them.
+    `u` may be in any number of pairs: its value goes to one place for each `share` of them.
     """
     hubs = materialise(pairs.groupBy("u").agg(F.ceil(F.count("*") / share).cast("int").alias("parts")), "hubs")
-    a = hubs.join(nodes.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "a")
+    a = hubs.join(nodes.select(F.col("node").alias("u"), column.alias("a")), "u").select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "a")
     dealt = pairs.join(hubs, "u").select("u", "v", F.pmod(F.xxhash64("v"), "parts").cast("int").alias("part"))
-    both = dealt.join(nodes.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").join(a, ["u", "part"]).select("u", "v", "a", "b")
+    return dealt.join(nodes.select(F.col("node").alias("v"), column.alias("b")), "v").join(a, ["u", "part"]).select("u", "v", "a", "b")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, width: int, num: int, den: int, share: int = 512) -> DataFrame:
+    """The pairs (u, v) whose sets have a similarity of num/den or more: by wide bitmaps first, then by texts."""
+
+    def near(batch: pa.RecordBatch) -> pa.RecordBatch:
+        both = [batch.column(k) for k in (2, 3)]
+        m, n = (c.field("size").to_numpy(zero_copy_only=False).astype(np.int64) for c in both)
+        apart = np.array([wide_distance(x, y) for x, y in zip(*(c.field("wide").to_pylist() for c in both))], dtype=np.int64)
+        return batch.select([0, 1]).filter(pa.array(apart * (num + den) <= (m + n) * (den - num)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         held, keep = {}, []
@@ -138,7 +165,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, width: int, num: int, den: int
             keep.append(common * (num + den) >= (len(x) + len(y)) * num)
         return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return materialise(map_columns(both, run, "u long, v long"), "verified")
+    left = materialise(map_columns(_met(pairs, nodes, F.struct("wide", "size"), share), near, "u long, v long"), "near")
+    return materialise(map_columns(_met(left, nodes, F.col("text"), share), run, "u long, v long"), "verified")
 
 
 def _may_match(a: str, b: str, num: int, den: int) -> Column:
@@ -270,12 +298,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each component, the one with the smallest id, with its own columns; repeats of that row go too.
 
-    Only keys of rows that go or repeat are joined to the documents, so these are not shuffled while such keys are few.
+    Only keys of rows that go or repeat are joined to the documents.
     """
     found = groups(docs, id_col, text_col, **options).groupBy("_id", "_hash").agg(F.min("component").alias("component"), F.count("*").alias("n"))
     first = found.groupBy("component").agg(F.min(F.struct((F.col("_id") == "").alias("none"), F.col("_id").try_cast("long").alias("i"), "_id", "_hash")).alias("r"))
     kept = first.select("r._id", "r._hash", F.lit(True).alias("stays"))
     odd = found.join(kept, ["_id", "_hash"], "left").where("stays IS NULL OR n > 1").select("_id", "_hash", F.coalesce("stays", F.lit(False)).alias("repeats"))
-    keyed = docs.select(F.struct("*").alias("row"), *row_key(id_col, text_col)).join(materialise(odd, "odd"), ["_id", "_hash"], "left")
+    keyed = docs.select(F.struct("*").alias("row"), *row_key(id_col, text_col)).join(materialise(odd, "odd").hint("merge"), ["_id", "_hash"], "left")  # one plan at every size
     single = keyed.where("repeats IS NULL").select("row.*")
     return single.unionByName(keyed.where("repeats").dropDuplicates(["_id", "_hash"]).select("row.*"))

@@ -2,6 +2,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from arpent.llm import decontaminate, line_templates, near_jaccard, quality_rules, simhash_cover
@@ -98,3 +99,14 @@ def test_good_rows_stay_by_their_own_text(spark):
     got = quality_rules.keep_good(documents(spark, train + more), labels).collect()
     texts = {r["text"] for r in got}
     assert texts >= {*kept, *(t for k, t in train if k % 3)} and not texts & {*gone, *(t for k, t in train if k % 3 == 0)}
+
+
+def test_wide_bitmaps_never_exceed_the_difference():
+    rng = np.random.default_rng(8)
+    for size in (0, 1, 3, 500, 513, 2000, 9000):
+        a = np.unique(rng.integers(0, 1 << 56, size))
+        for other in (0, size // 2, size, 2 * size + 5):
+            b = np.unique(np.concatenate([a[: len(a) // 2], rng.integers(0, 1 << 56, other)]))
+            apart = near_jaccard.wide_distance(near_jaccard.wide_of(a), near_jaccard.wide_of(b))
+            assert apart <= len(np.setxor1d(a, b)) and apart == near_jaccard.wide_distance(near_jaccard.wide_of(b), near_jaccard.wide_of(a))
+            assert apart % 2 == len(np.setxor1d(a, b)) % 2
