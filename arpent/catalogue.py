@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as sc
-from .operators import boxes, filters, geo, quality, reconstruct, scale, stations, tiles, trend, units, vintage, zones
+from .operators import boxes, filters, geo, layers, quality, reconstruct, scale, search, stations, tiles, trend, units, vintage, zones
 from .plans import standin
 from .plans.standin import BOX, STATIONS_SQL, WITH_CLEAN, WITH_LINES, WITH_SALES
 from .sources import columns, contours, files, published, unknown
@@ -482,18 +482,34 @@ def vintage_guardrails(spark, d):
         return scratch.result(vintage.guard_rails(s, s.where("commune > '00004' AND (year <> 1998 OR sale_id % 3 = 0)")))
 
 
-_PERIODS = "2020-s1 2020-s2 2021 2021-s2 2022 2023 2024 2024-s1 2025 2026-s1".split()
-
-
 @register(
-    "WITH p AS (SELECT url, substr(url, 7, 4)::INT AS year, CASE WHEN url LIKE '%-s1/%' THEN 1 WHEN url LIKE '%-s2/%' THEN 2 END AS half FROM (SELECT unnest(["
-    + ", ".join(f"'/file/{p}/x.gz'" for p in _PERIODS)
-    + "]) AS url)), q AS (SELECT url, year, make_date(year, CASE WHEN half = 2 THEN 7 ELSE 1 END, 1) AS first_day, CASE WHEN half = 1 THEN make_date(year, 6, 30) ELSE make_date(year, 12, 31) END AS last_day FROM p), "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY last_day - first_day DESC, first_day) AS k FROM q WHERE last_day >= DATE '2021-04-01' AND first_day <= DATE '2026-03-31') SELECT url, year, first_day, last_day FROM r WHERE k = 1"
+    "WITH p AS (SELECT DISTINCT year(o_orderdate::DATE) AS year, CASE WHEN year(o_orderdate::DATE) % 3 <> 0 THEN (month(o_orderdate::DATE) + 5) // 6 END AS half FROM orders UNION SELECT DISTINCT year(o_orderdate::DATE), NULL FROM orders WHERE year(o_orderdate::DATE) % 4 = 0), "
+    "q AS (SELECT '/file/' || year || coalesce('-s' || half, '') || '/x.gz' AS url, year::INT AS year, make_date(year, CASE WHEN half = 2 THEN 7 ELSE 1 END, 1) AS first_day, CASE WHEN half = 1 THEN make_date(year, 6, 30) ELSE make_date(year, 12, 31) END AS last_day FROM p), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY last_day - first_day DESC, first_day) AS k FROM q WHERE last_day >= DATE '1994-04-01' AND first_day <= DATE '1999-03-31') SELECT url, year, first_day, last_day FROM r WHERE k = 1"
 )
 def sliding_window_periods(spark, d):
-    listed = spark.range(1).select(F.explode(F.array(*(F.lit(f"/file/{p}/x.gz") for p in _PERIODS))).alias("url"))
-    return vintage.sliding_window(vintage.periods_of(listed), "2026-03-31").select("url", "year", "first_day", "last_day")
+    """Files by the periods of orders: halves, whole years, and both for some years."""
+    day = F.to_date("o_orderdate")
+    half = F.when(F.year(day) % 3 != 0, F.concat(F.lit("-s"), F.ceil(F.month(day) / 6).cast("string"))).otherwise("")
+    o = standin.table(spark, d, "orders")
+    listed = o.select(F.year(day).alias("y"), half.alias("h")).unionByName(o.where(F.year(day) % 4 == 0).select(F.year(day).alias("y"), F.lit("").alias("h"))).distinct()
+    urls = listed.select(F.concat(F.lit("/file/"), F.col("y").cast("string"), "h", F.lit("/x.gz")).alias("url"))
+    return vintage.sliding_window(vintage.periods_of(urls), "1999-03-31").select("url", "year", "first_day", "last_day")
+
+
+_REPORT_SQL = f"""{_PAIR_SQL}, y AS (SELECT coalesce(a.year, b.year)::VARCHAR AS subject, a.n::DOUBLE AS before, b.n::DOUBLE AS after FROM (SELECT year, count(*) AS n FROM old GROUP BY 1) a FULL JOIN (SELECT year, count(*) AS n FROM new GROUP BY 1) b ON a.year = b.year),
+p AS (SELECT coalesce(a.department, b.department)::VARCHAR AS subject, a.m AS before, b.m AS after FROM (SELECT department, median(price_m2) AS m FROM old GROUP BY 1) a FULL JOIN (SELECT department, median(price_m2) AS m FROM new GROUP BY 1) b ON a.department = b.department),
+e AS (SELECT coalesce(a.department, b.department)::VARCHAR AS subject, a.m AS before, b.m AS after FROM (SELECT department, median(price_m2) AS m FROM old2 GROUP BY 1) a FULL JOIN (SELECT department, median(price_m2) AS m FROM new2 GROUP BY 1) b ON a.department = b.department),
+c AS (SELECT 'gone' AS part, commune, 1.0::DOUBLE AS before, NULL::DOUBLE AS after FROM (SELECT DISTINCT commune FROM old EXCEPT SELECT DISTINCT commune FROM new) UNION ALL SELECT 'come', commune, NULL, 1.0 FROM (SELECT DISTINCT commune FROM new EXCEPT SELECT DISTINCT commune FROM old)),
+every AS (SELECT 'sales' AS part, 'all' AS subject, (SELECT count(*) FROM old)::DOUBLE AS before, (SELECT count(*) FROM new)::DOUBLE AS after UNION ALL SELECT 'year', * FROM y UNION ALL SELECT 'price', * FROM p UNION ALL SELECT 'same period', * FROM e UNION ALL SELECT part, commune, before, after FROM c)
+SELECT part, subject, before, after, {q6('CASE WHEN before > 0 THEN (after / before - 1) * 100 END', 'change')} FROM every"""
+
+
+@register(_REPORT_SQL)
+def vintage_report(spark, d):
+    with Scratch(spark) as scratch:
+        s = scratch.written(standin.clean(spark, d).select("sale_id", "year", "commune", "commune_name", "department", "sale_date", "price_m2", "section"))
+        return scratch.result(vintage.report(s.where(_OLD), s.where(_NEW))).select("part", "subject", "before", "after", r6("change"))
 
 
 # --- tiles and columns ------------------------------------------------------------------------
@@ -536,6 +552,15 @@ def tile_payloads(spark, d):
     return tiles.payloads(_points(spark, d))
 
 
+@register(
+    f"{_POINTS_SQL} SELECT x, y, rlon AS lon, rlat AS lat, year AS an, coalesce(round_even(rooms, 0), -1)::BIGINT AS pi, coalesce(round_even(area, 0), -1)::BIGINT AS su, coalesce(round_even(price, 0), -1)::BIGINT AS va, coalesce(price_m2, -1)::BIGINT AS m2, "
+    "(year(sale_date) * 10000 + month(sale_date) * 100 + day(sale_date))::BIGINT AS dt, property_type AS ty, state AS et, address AS ad FROM points"
+)
+def tile_contents(spark, d):
+    """The sales that the tiles' contents give back."""
+    return tiles.opened(tiles.payloads(_points(spark, d)))
+
+
 @register(f"{WITH_CLEAN} SELECT sale_id, floor(price)::BIGINT AS euros, round_even((price - floor(price)) * 100, 0)::BIGINT AS cents, (year(sale_date) * 10000 + month(sale_date) * 100 + day(sale_date))::INT AS date_number, round_even(area, 0)::BIGINT AS whole_area FROM clean")
 def binary_parts(spark, d):
     s = standin.clean(spark, d)
@@ -636,9 +661,24 @@ def point_in_polygon(spark, d):
     return geo.points_in_zones(_customers(spark, d), _zones(spark)).select("c_custkey", "zone")
 
 
-@register("SELECT * FROM (VALUES ('double', 2.03125, 49.03125, 0.00390625), ('holed', 2.15625, 48.78125, 0.03515625), ('triangle', 2.375, 48.83333, 0.03125)) t(zone, lon, lat, area)".replace("2.03125", "2.03125::DOUBLE").replace("0.00390625", "round_even(0.00390625::DOUBLE * 1e8, 0) / 1e8").replace("49.03125", "49.03125::DOUBLE").replace("0.03515625", "0.03515625::DOUBLE"))
+def _outlines(spark, d, per_side: int = 1):
+    """Each nation's customers as a rectangle; sides have `per_side` points each, off the line by less than a metre."""
+    n = standin.table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    wide, high = F.lit(1 / 64.0), F.col("n") / F.lit(4096.0)
+    x, y = F.lit(2.0) + F.col("c_nationkey") / F.lit(32.0), F.lit(48.5)
+    steps = F.sequence(F.lit(0), F.lit(per_side - 1))
+    off = lambda k: F.when(k % 2 == 1, F.lit(2e-6)).otherwise(0.0)
+    side = lambda lon, lat: F.transform(steps, lambda k: F.struct(lon(k).alias("lon"), lat(k).alias("lat")))
+    ring = F.concat(
+        side(lambda k: x + wide * k / per_side, lambda k: y + off(k)), side(lambda k: x + wide + off(k), lambda k: y + high * k / per_side),
+        side(lambda k: x + wide - wide * k / per_side, lambda k: y + high + off(k)), side(lambda k: x + off(k), lambda k: y + high - high * k / per_side), F.array(F.struct(x.alias("lon"), y.alias("lat"))),
+    )
+    return n.select(F.col("c_nationkey").cast("string").alias("zone"), F.array(F.array(ring)).alias("geometry"))
+
+
+@register("SELECT c_nationkey::VARCHAR AS zone, round_even((2 + c_nationkey / 32.0 + 1 / 128.0)::DOUBLE * 1e5, 0) / 1e5 AS lon, round_even((48.5 + count(*) / 8192.0)::DOUBLE * 1e5, 0) / 1e5 AS lat, round_even((count(*) / 262144.0)::DOUBLE * 1e8, 0) / 1e8 AS area FROM customer GROUP BY c_nationkey")
 def ring_area_centroid(spark, d):
-    return geo.representative_points(_zones(spark))
+    return geo.representative_points(_outlines(spark, d))
 
 
 @register(f"WITH {_CUSTOMER_POINTS} SELECT c_custkey, lon BETWEEN 2.08 AND 2.32 AND lat BETWEEN 48.68 AND 48.92 AS inside FROM pts")
@@ -677,19 +717,30 @@ def _flat(s: DataFrame) -> DataFrame:
     return s.select("name", "status", "network", F.array_join(F.array_sort("lines"), ",").alias("lines"), F.array_join(F.array_sort("planned"), ",").alias("planned"), "ord")
 
 
-@register()
+_MERGED_SQL = rf"""WITH {STATIONS_SQL}, s AS (SELECT *, regexp_extract(station, '(\d+)$', 1)::BIGINT AS n FROM stations),
+m AS (SELECT n, CASE WHEN n % 3 = 0 THEN station ELSE upper(station) END AS name, 'service' AS status, CASE WHEN n % 3 = 0 THEN 'Metro' ELSE 'RER;Metro' END AS network, lon + CASE WHEN n % 3 = 0 THEN 0 ELSE 0.001 END AS lon, lat,
+  'Line ' || least(n % 7, (n + 1) % 7) || ',Line ' || greatest(n % 7, (n + 1) % 7) AS lines, (n + 2) % 7 AS plan, n * 10 + CASE WHEN n % 3 = 0 THEN 0 ELSE 1 END AS ord FROM s)"""
+
+
+@register(f"{_MERGED_SQL} SELECT name, status, network, lines, 'Line ' || plan AS planned, ord FROM m")
 def station_merge(spark, d):
     return _flat(stations.merged(_records(spark, d)))
 
 
-@register()
+@register(
+    f"{_MERGED_SQL} SELECT name, status, network, lines, CASE WHEN EXISTS (SELECT 1 FROM m b WHERE b.n <> a.n AND a.plan IN (b.n % 7, (b.n + 1) % 7) "
+    "AND sqrt(((a.lon - b.lon) * 111320.0 * cos(radians((a.lat + b.lat) / 2))) ** 2 + ((a.lat - b.lat) * 111320.0) ** 2) <= 150) THEN '' ELSE 'Line ' || plan END AS planned, ord FROM m a"
+)
 def station_reconcile(spark, d):
     return _flat(stations.reconciled(stations.merged(_records(spark, d))))
 
 
-@register()
+@register("SELECT c_nationkey::VARCHAR AS zone, 5 AS n_vertices, 81 AS n_before FROM customer GROUP BY c_nationkey")
 def simplify_rings(spark, d):
-    return geo.simplified(_zones(spark), 8.0).select("zone", geo.vertex_count(F.col("geometry")).alias("n_vertices"))
+    """Rectangles of 80 points, of which the corners are needed."""
+    before = _outlines(spark, d, 20)
+    after = geo.simplified(before, 8.0).select("zone", geo.vertex_count(F.col("geometry")).alias("n_vertices"))
+    return after.join(before.select("zone", geo.vertex_count(F.col("geometry")).alias("n_before")), "zone")
 
 
 @register("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'metro' WHEN 2 THEN 'tram' ELSE 'metro' END AS kind, CASE s_suppkey % 4 WHEN 0 THEN 2 ELSE 1 END AS rank FROM supplier")
@@ -959,3 +1010,133 @@ def frozen_sales(spark, d):
     path = fresh_dir(spark, "frozen")
     files.write_sales(standin.clean(spark, d), path, {"source": "stand-in"})
     return files.read_sales(spark, path, ["commune", "price", "no such column"]).groupBy("commune").agg(F.count("*").alias("n"), F.sum(sc.half_even(F.col("price") * 100).cast("long")).alias("cents"))
+
+
+# --- complete layers --------------------------------------------------------------------------
+
+
+def _layer(spark, d, key: str, **options):
+    """A complete layer; its parts read one written table."""
+    with Scratch(spark) as scratch:
+        s = scratch.written(standin.clean(spark, d).select("sale_id", "ord", "sale_date", "year", "section", "commune", "commune_name", "address", "property_type", "price", "area", "price_m2"))
+        found = layers.layer(s, key, titles=zones.labels(s, key), streets=zones.main_streets(s, key), words=layers.Words(key), **options)
+        return layers.Layer(*(scratch.result(x) for x in (found.rows, found.legend, found.summary, found.scale)))
+
+
+_LAYER_SQL = f"{_STATS_SQL}{_SCALE_SQL}, {_STREETS_SQL}, names AS (SELECT section, min(commune_name) AS commune_name, max(price) AS max_price, min(price) AS min_price FROM clean GROUP BY section)"
+
+
+@register(
+    f"{_LAYER_SQL} SELECT s.zone, CASE WHEN n_sales <= 4 THEN '{sc.GREY}' ELSE {_ZONE_COLOUR} END AS colour, commune_name || ' ' || s.zone AS title, streets, "
+    "CASE WHEN n_sales <= 4 THEN 'Too few sales to stand for their place: section in grey' END AS note, n_sales, median_m2, mean_m2, median_price, mean_price, median_area, max_price, min_price "
+    "FROM stats s JOIN names ON s.zone = names.section LEFT JOIN streets ON s.zone = streets.zone, scale"
+)
+def complete_layer_price(spark, d):
+    return _layer(spark, d, "section").rows
+
+
+@register(
+    f"{_STATS_SQL} SELECT replace(format('{{:,}}', sum(n_sales)::BIGINT), ',', ' ') || ' sales in ' || count(*) || ' sections' || CASE WHEN count(*) FILTER (n_sales <= 4) > 0 THEN ', ' || count(*) FILTER (n_sales <= 4) || ' of them grey for lack of sales.' ELSE '.' END AS summary FROM stats"
+)
+def layer_summary_price(spark, d):
+    return _layer(spark, d, "section").summary
+
+
+_STATS_COMMUNE = _zone_sql("commune").split(" SELECT commune AS zone", 1)[1]
+
+
+@register(
+    _trend_sql("commune") + f", {_AMPLITUDE_SQL}, stats AS (SELECT commune AS zone{_STATS_COMMUNE}), names AS (SELECT commune, max(price) AS max_price, min(price) AS min_price FROM clean GROUP BY commune) "
+    f"SELECT s.zone, {_colour_sql('CASE WHEN reliable THEN (rate + amplitude) / (2 * amplitude) END', sc.TREND_PALETTE)} AS colour, CASE WHEN coalesce(reliable, false) THEN NULL ELSE 'No trend: it takes 3 years of 5 sales' END AS note, "
+    "s.n_sales, median_m2, max_price, min_price, CASE WHEN reliable THEN rate END AS rate, CASE WHEN reliable THEN \"change\" END AS change, CASE WHEN reliable THEN r2 END AS r2, n_years "
+    "FROM stats s JOIN names ON s.zone = names.commune LEFT JOIN trend ON s.zone = trend.zone, amp"
+)
+def complete_layer_trend(spark, d):
+    rows = _layer(spark, d, "commune", with_trend=True).rows
+    return rows.select("zone", "colour", "note", "n_sales", "median_m2", "max_price", "min_price", r6("rate"), r6("change"), r6("r2"), "n_years")
+
+
+@register(f"{_STATS_SQL.replace('SELECT section AS zone', 'SELECT commune AS zone').replace('WHERE section IS NOT NULL GROUP BY section', 'WHERE commune IS NOT NULL GROUP BY commune')}{_SCALE_SQL} SELECT {q6('low')}, {q6('high')}, empty, '{'|'.join(sc.PRICE_PALETTE)}' AS palette, 'm2' AS \"column\" FROM scale")
+def layer_scale_in_trend_mode(spark, d):
+    """Single sales keep the scale of prices where zones show their trend."""
+    return _texts(_layer(spark, d, "commune", with_trend=True).scale.withColumns({"low": r6("low"), "high": r6("high")}), "palette")
+
+
+@register(
+    f"{WITH_CLEAN}, f AS (SELECT quantile_cont(lon, 0.01) AS west, quantile_cont(lat, 0.01) AS south, quantile_cont(lon, 0.99) AS east, quantile_cont(lat, 0.99) AS north FROM clean WHERE lon BETWEEN 2.0 AND 2.5 AND lat BETWEEN 48.6 AND 49.2) "
+    f"SELECT {q6('round_even(west * 1e6, 0) / 1e6 - 0.6::DOUBLE', 'west')}, {q6('round_even(south * 1e6, 0) / 1e6 - 0.3::DOUBLE', 'south')}, {q6('round_even(east * 1e6, 0) / 1e6 + 0.6::DOUBLE', 'east')}, {q6('round_even(north * 1e6, 0) / 1e6 + 0.3::DOUBLE', 'north')} FROM f"
+)
+def navigation_limits(spark, d):
+    return layers.navigation_limits(zones.opening_frame(standin.clean(spark, d), BOX)).select(r6("west"), r6("south"), r6("east"), r6("north"))
+
+
+# --- search and labels ------------------------------------------------------------------------
+
+
+@register(
+    "WITH names AS (SELECT DISTINCT p_name AS name FROM part), q AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN left(p_name, 6) WHEN 2 THEN substr(p_name, 3, 4) ELSE '  ' || replace(left(p_name, 9), ' ', '--') END AS asked FROM part WHERE p_partkey % 20 = 0 OR p_partkey % 20 = 5 OR p_partkey % 20 = 10 OR p_partkey % 20 = 15), "
+    "k AS (SELECT p_partkey, trim(regexp_replace(lower(asked), '[^a-z0-9]+', ' ', 'g')) AS asked FROM q), n AS (SELECT name, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS key FROM names), "
+    "met AS (SELECT p_partkey, name, CASE WHEN key = asked THEN 0 WHEN starts_with(key, asked) THEN 1 ELSE 2 END AS rank FROM k JOIN n ON contains(key, asked) WHERE asked <> '') "
+    "SELECT p_partkey, name, rank FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY rank, name) AS i FROM met) WHERE i = 1"
+)
+def place_search(spark, d):
+    """Parts of part names, typed with other case and marks, against all names."""
+    p, n = standin.table(spark, d, "part"), F.col("p_name")
+    kind = F.col("p_partkey") % 4
+    asked = F.when(kind == 0, F.upper(n)).when(kind == 1, F.substring(n, 1, 6)).when(kind == 2, F.substring(n, 3, 4)).otherwise(F.concat(F.lit("  "), F.replace(F.substring(n, 1, 9), F.lit(" "), F.lit("--"))))
+    return search.find(p.where("p_partkey % 5 = 0").select("p_partkey", asked.alias("text")), search.index(p, "p_name"), "p_partkey")
+
+
+def _commune_squares(spark, d):
+    """Each nation as two squares whose size follows its customers."""
+    n = standin.table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    side, x, y = F.sqrt(F.col("n").cast("double")) / 64, F.col("c_nationkey").cast("double"), F.lit(40.0)
+    point = lambda a, b: F.array(a, b)
+    square = lambda a, b, s: F.array(F.array(point(a, b), point(a + s, b), point(a + s, b + s), point(a, b + s), point(a, b)))
+    geometry = F.struct(F.lit("MultiPolygon").alias("type"), F.array(square(x, y, side / 2), square(x, y + 2, side)).alias("coordinates"))
+    code = F.when(F.col("c_nationkey") % 3 == 0, F.struct(F.lit(None).cast("string").alias("code_commune"), F.lit(None).cast("string").alias("commune"), F.col("c_nationkey").cast("string").alias("id")))
+    code = code.otherwise(F.struct(F.when(F.col("c_nationkey") % 3 == 1, F.lpad(F.col("c_nationkey").cast("string"), 5, "0")).alias("code_commune"), F.col("c_nationkey").cast("string").alias("commune"), F.lit("x").alias("id")))
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), code.alias("properties"), geometry.alias("geometry")))
+    content = F.concat(F.lit('{"type":"FeatureCollection",\n"features":[\n'), F.array_join(F.array_sort(F.collect_list(feature)), ",\n"), F.lit("\n]}\n"))
+    base = fresh_dir(spark, "communes")
+    published.publish(n.groupBy((F.col("c_nationkey") % 4).cast("string").alias("prefix")).agg(F.lit("geojson").alias("extension"), content.cast("binary").alias("content")), base, named_by="prefix")
+    return files.read_commune_contours(spark, f"{base}/*.geojson")
+
+
+_SQUARES_SQL = "WITH n AS (SELECT c_nationkey AS n, sqrt(count(*)::DOUBLE) / 64 AS side FROM customer GROUP BY 1)"
+
+
+@register(f"{_SQUARES_SQL} SELECT n_name AS name, round_even((n + side / 2) * 1e5, 0) / 1e5 AS lon, round_even((42 + side / 2) * 1e5, 0) / 1e5 AS lat, {q6('side * side', 'weight')} FROM n JOIN nation ON n = n_nationkey WHERE n > 0")
+def map_labels(spark, d):
+    names = standin.table(spark, d, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("zone"), F.concat("n_name", F.lit("  Arrondissement")).alias("name"))
+    return geo.map_labels(_commune_squares(spark, d), names).withColumn("weight", r6("weight"))
+
+
+@register(f"{_SQUARES_SQL}, p AS (SELECT n, unnest([side * side / 4, side * side]) AS area, unnest([n + side / 4, n + side / 2]) AS lon, unnest([40 + side / 4, 42 + side / 2]) AS lat FROM n WHERE n > 0) SELECT lpad(n::VARCHAR, 5, '0') AS commune, {q6('sum(lon * area) / sum(area)', 'lon')}, {q6('sum(lat * area) / sum(area)', 'lat')}, {q6('sum(area)', 'area')} FROM p GROUP BY n")
+def anchors_of_parts(spark, d):
+    found = geo.anchors_of_parts(_commune_squares(spark, d).withColumnRenamed("zone", "commune"))
+    return found.select("commune", r6("lon"), r6("lat"), r6("area"))
+
+
+@register(f"{_SQUARES_SQL} SELECT lpad(n::VARCHAR, 5, '0') AS zone, lpad(n::VARCHAR, 5, '0') AS c, 'MultiPolygon' AS kind, 10 AS vertices FROM n WHERE n > 0")
+def map_contours(spark, d):
+    found = geo.map_contours(_commune_squares(spark, d), 8.0)
+    part = lambda path: F.get_json_object("feature", path)
+    size = F.aggregate(F.from_json(part("$.geometry.coordinates"), "array<array<array<array<double>>>>"), F.lit(0), lambda s, p: s + F.size(p[0]))
+    return found.select("zone", part("$.properties.c").alias("c"), part("$.geometry.type").alias("kind"), size.alias("vertices"))
+
+
+@register(f"WITH {STATIONS_SQL}, s AS (SELECT *, regexp_extract(station, '(\\d+)$', 1)::BIGINT AS n FROM stations) SELECT station AS name, CASE WHEN n % 2 = 0 THEN 'Metro' ELSE 'RER' END AS network, 'L' || n % 7 || ', L' || (n + 1) % 7 AS lines, CASE WHEN n % 3 = 0 THEN 'P' ELSE '' END AS planned, CASE WHEN n % 2 = 0 THEN 1 ELSE 2 END AS rank, CASE WHEN n % 2 = 0 THEN 'metro' ELSE 'train' END AS kind FROM s WHERE n % 10 <> 4")
+def station_points(spark, d):
+    """Stations written as a network file, read back, and shown as points."""
+    s = standin.stations(spark, d).withColumn("n", F.regexp_extract("station", r"(\d+)$", 1).cast("long"))
+    line = lambda k: F.concat(F.lit("L"), ((F.col("n") + k) % 7).cast("string"))
+    rows = s.select(
+        F.col("station").alias("name"), "lon", "lat", F.when(F.col("n") % 2 == 0, "Metro").otherwise("RER").alias("network"), F.when(F.col("n") % 20 == 4, "bus").otherwise("station").alias("type"), F.lit("service").alias("status"),
+        F.array(line(0), line(1)).alias("lines"), F.when(F.col("n") % 3 == 0, F.array(F.lit("P"))).alias("planned"), F.col("n").alias("ord"), F.when(F.col("n") % 20 == 14, "industrial").alias("usage"),
+    )
+    path = fresh_dir(spark, "network")
+    files.write_network(stations.for_passengers(rows).drop("usage"), path)
+    found = stations.as_points(files.read_network(spark, path))
+    part = lambda n: F.get_json_object("feature", f"$.properties.{n}").alias(n)
+    return found.select("name", part("network"), part("lines"), part("planned"), part("rank").cast("int").alias("rank"), part("kind"))

@@ -54,10 +54,18 @@ def in_box(lon: Column, lat: Column, box: tuple[float, float, float, float], mar
 
 
 def search(sales: DataFrame, commune: str, address: str, date: str) -> DataFrame:
-    """By commune code or part of its name, part of the address, start of the date."""
-    found = sales.where((F.col("commune") == commune) | F.contains(F.lower("commune_name"), F.lit(commune.lower())))
+    """By commune code or part of its name, part of the address, start of the date; case is folded, the earliest first."""
+    found = sales.where((F.col("commune") == commune) | F.contains(address_key(F.col("commune_name")), address_key(F.lit(commune))))
     found = found.where(F.contains(address_key(F.col("address")), address_key(F.lit(address))))
-    return found.where(F.startswith(F.date_format("sale_date", "yyyy-MM-dd"), F.lit(date)))
+    return found.where(F.startswith(F.date_format("sale_date", "yyyy-MM-dd"), F.lit(date))).orderBy("sale_date")
+
+
+def removal_lines(found: DataFrame, most: int = 5) -> DataFrame:
+    """(line) to add to the list of removals for the sales that a search found; more than `most` fail, as the search was too wide."""
+    n = found.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"over {most} sales: name the day or the whole address")
+    return found.orderBy("sale_date").select(F.concat_ws(";", F.date_format("sale_date", "yyyy-MM-dd"), "commune", "address").alias("line")).distinct()
 
 
 def default_filters(sales: DataFrame) -> DataFrame:

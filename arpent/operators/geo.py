@@ -29,7 +29,7 @@ def ring_centre(ring: Column) -> Column:
         return F.struct((t["s"] + cross).alias("s"), (t["x"] + (e["a"]["lon"] + e["b"]["lon"]) * cross).alias("x"), (t["y"] + (e["a"]["lat"] + e["b"]["lat"]) * cross).alias("y"))
 
     def finish(t: Column) -> Column:
-        return F.when(F.abs(t["s"] / 2) >= 1e-12, F.struct((t["x"] / (3 * t["s"])).alias("lon"), (t["y"] / (3 * t["s"])).alias("lat"), F.abs(t["s"] / 2).alias("area")))
+        return F.when(F.abs(t["s"]) >= 1e-12, F.struct((t["x"] / (3 * t["s"])).alias("lon"), (t["y"] / (3 * t["s"])).alias("lat"), F.abs(t["s"] / 2).alias("area")))
 
     return F.when(F.size(ring) >= 4, F.aggregate(_segments(ring), zero, step, finish))
 
@@ -69,13 +69,48 @@ def box_of(geometry: Column) -> Column:
 
 
 def representative_points(zones: DataFrame) -> DataFrame:
-    """Centre of the largest outer ring of (zone, geometry), rounded as published."""
+    """Centre of the largest outer ring of (zone, geometry), the first of equals, rounded as published."""
     centres = F.filter(F.transform("geometry", lambda p: ring_centre(p[0])), lambda c: c.isNotNull())
-    best = F.array_max(F.transform(centres, lambda c: F.struct(c["area"].alias("area"), c["lon"].alias("lon"), c["lat"].alias("lat"))))
+    best = F.reduce(centres, F.lit(None).cast("struct<lon:double,lat:double,area:double>"), lambda a, c: F.when(a.isNull() | (c["area"] > a["area"]), c).otherwise(a))
     out = zones.select("zone", best.alias("b")).where("b IS NOT NULL")
     return out.select("zone", (F.rint(F.col("b.lon") * 1e5) / 1e5).alias("lon"), (F.rint(F.col("b.lat") * 1e5) / 1e5).alias("lat"), (F.rint(F.col("b.area") * 1e8) / 1e8).alias("area"))
 
 
+def short_name(name: Column) -> Column:
+    """A commune's name as it fits on a map: the word for a district is dropped."""
+    return F.regexp_replace(name, r"(?U)\s+Arrondissement$", "")
+
+
+def map_labels(contours: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, lon, lat, weight) of communes with a contour and a name, the largest first.
+
+    The weight is the area, so that of two labels in one place the larger commune's is kept. `names`:
+    (zone, name).
+    """
+    known = names.groupBy("zone").agg(F.min("name").alias("name"))
+    placed = representative_points(contours).join(known, "zone")
+    return placed.select(short_name(F.col("name")).alias("name"), "lon", "lat", F.col("area").alias("weight"), "zone").orderBy(F.desc("weight"), "zone").drop("zone")
+
+
+def anchors_of_parts(parts: DataFrame, whole: str = "commune") -> DataFrame:
+    """(whole, lon, lat, area): the area-weighted middle of what the parts (whole, geometry) cover together.
+
+    For communes that have sections and no contour of their own; holes count by the outer ring.
+    """
+    rings = parts.select(F.col(whole), F.explode(F.transform("geometry", lambda p: ring_centre(p[0]))).alias("c")).where("c IS NOT NULL")
+    area = F.sum("c.area")
+    return rings.groupBy(whole).agg((F.sum(F.col("c.lon") * F.col("c.area")) / area).alias("lon"), (F.sum(F.col("c.lat") * F.col("c.area")) / area).alias("lat"), area.alias("area"))
+
+
+def map_contours(zones: DataFrame, metres: float = 8.0) -> DataFrame:
+    """(zone, feature): lighter outlines as GeoJSON features that hold the code and nothing else."""
+    pair = lambda p: F.array(p["lon"], p["lat"])
+    nested = F.transform("geometry", lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, pair)))
+    geometry = F.struct(F.lit("MultiPolygon").alias("type"), nested.alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("zone").alias("c")).alias("properties"), geometry.alias("geometry"))
+    return simplified(zones.where("zone IS NOT NULL AND zone <> '' AND geometry IS NOT NULL"), metres).select("zone", F.to_json(feature).alias("feature"))
+
+
 def points_in_zones(points: DataFrame, zones: DataFrame, cell: float = 0.02) -> DataFrame:
     """(point columns, zone) for points in polygons: an equi-join on grid cells, boxes, then rays.
 

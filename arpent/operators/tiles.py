@@ -68,3 +68,15 @@ def payloads(points: DataFrame) -> DataFrame:
     plain = [column(n).alias(n) for n in ("an", "pi", "su", "va", "m2", "dt")]
     ids = [coded(n).alias(n) for n in ("ty", "et", "ad")]
     return tiles.select("x", "y", F.to_json(F.struct(spot("lon").alias("lon"), spot("lat").alias("lat"), "off", *plain, *ids, "ty_l", "et_l", "ad_l")).alias("content"))
+
+
+def opened(contents: DataFrame) -> DataFrame:
+    """The sales of (x, y, content): each with its place, figures and texts, as a map reads them."""
+    kinds = "lon array<double>, lat array<double>, off array<int>, " + ", ".join(f"{c} array<bigint>" for c in ("an", "pi", "su", "va", "m2", "dt", "ty", "et", "ad")) + ", ty_l array<string>, et_l array<string>, ad_l array<string>"
+    t = contents.select("x", "y", F.from_json("content", kinds).alias("t"))
+    place = F.transform("t.off", lambda o, k: F.struct(o.alias("start"), F.get(F.col("t.off"), k + 1).alias("end"), F.get(F.col("t.lon"), k).alias("lon"), F.get(F.col("t.lat"), k).alias("lat")))
+    spots = t.select("x", "y", "t", F.explode(F.filter(place, lambda p: p["end"].isNotNull())).alias("p"))
+    sales = spots.select("x", "y", "t", "p", F.explode(F.sequence(F.col("p.start"), F.col("p.end") - 1)).alias("k"))
+    number = lambda c: F.get(F.col(f"t.{c}"), F.col("k"))
+    text = lambda c: F.get(F.col(f"t.{c}_l"), number(c).cast("int")).alias(c)
+    return sales.select("x", "y", "p.lon", "p.lat", *(number(c).alias(c) for c in ("an", "pi", "su", "va", "m2", "dt")), text("ty"), text("et"), text("ad"))

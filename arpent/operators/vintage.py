@@ -96,10 +96,61 @@ def source_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("name", reason.alias("reason")).where("reason IS NOT NULL")
 
 
-def markdown(old: DataFrame, new: DataFrame) -> str:
-    """The report of a refresh; every table in it has one row for each year or rule."""
-    lines = ["# Refresh", "", "| year | before | after |", "|---|---|---|"]
-    lines += [f"| {r['year']} | {r['before']} | {r['after']} |" for r in compare(old, new, "year").orderBy("year").collect()]
-    alerts = guard_rails(old, new).orderBy("rule", "subject").collect()
-    lines += ["", "## Alerts" if alerts else "No alert.", *(f"- {r['rule']}: {r['subject']} ({r['before']:.0f} to {r['after']:.0f})" for r in alerts)]
+def report(old: DataFrame, new: DataFrame, contours: DataFrame | None = None, department: str = "department") -> DataFrame:
+    """(part, subject, name, before, after, change) of a refresh: what its report says, a row for each line.
+
+    Parts: `sales` (the clean ones), `year` (counts), `price` (median per m2 of each department),
+    `same period` (the same over the days that both sides cover, which tells revised data from a window
+    that moved), `come` and `gone` (communes, with their names), `no contour` (sections and their sales).
+    `change` is in percent, NULL where a side is missing or zero. Rows are as few as years, departments,
+    communes and sections.
+    """
+
+    def sides(part: str, a: DataFrame, b: DataFrame) -> DataFrame:
+        both = a.withColumnRenamed("value", "before").join(b.withColumnRenamed("value", "after"), "subject", "full")
+        return both.select(F.lit(part).alias("part"), "subject", F.lit(None).cast("string").alias("name"), F.col("before").cast("double").alias("before"), F.col("after").cast("double").alias("after"))
+
+    of = lambda d, key, value: d.groupBy(F.col(key).cast("string").alias("subject")).agg(value.alias("value")).where("subject IS NOT NULL")
+    total = lambda d: d.agg(F.count("*").alias("value")).withColumn("subject", F.lit("all"))
+    median, count = F.median("price_m2"), F.count("*")
+    rows = sides("sales", total(old), total(new)).unionByName(sides("year", of(old, "year", count), of(new, "year", count)))
+    rows = rows.unionByName(sides("price", of(old, department, median), of(new, department, median)))
+    a, b = same_period(old, new)
+    rows = rows.unionByName(sides("same period", of(a, department, median), of(b, department, median)))
+    names = new.unionByName(old, allowMissingColumns=True).groupBy("commune").agg(F.min("commune_name").alias("name"))
+    moved = commune_changes(old.where("commune IS NOT NULL"), new.where("commune IS NOT NULL")).join(names, "commune", "left")
+    side = lambda change: F.when(F.col("change") == change, 1.0)
+    rows = rows.unionByName(moved.select(F.col("change").alias("part"), F.col("commune").alias("subject"), "name", side("gone").alias("before"), side("come").alias("after")))
+    if contours is not None:
+        lost = orphans(new, contours)
+        rows = rows.unionByName(lost.select(F.lit("no contour").alias("part"), F.col("section").alias("subject"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("before"), F.col("n").cast("double").alias("after")))
+    return rows.withColumn("change", F.when(F.col("before") > 0, (F.col("after") / F.col("before") - 1) * 100))
+
+
+_PARTS = (("sales", "Clean sales"), ("year", "Sales by year"), ("price", "Median price per m2 by department"), ("same period", "The same over the days both sides cover"), ("come", "Communes that came"), ("gone", "Communes that went"), ("no contour", "Sections without a contour"))
+LISTED = 20  # sections that the text names
+
+
+def markdown(old: DataFrame, new: DataFrame, contours: DataFrame | None = None, reason: str = "", department: str = "department") -> str:
+    """The report of a refresh as text, with its alerts at the end."""
+    number = lambda x: "—" if x is None else f"{x:,.0f}".replace(",", " ")
+    found: dict[str, list] = {}
+    for r in report(old, new, contours, department).orderBy("part", "subject").collect():
+        found.setdefault(r["part"], []).append(r)
+    lines = ["# Refresh", *(["", f"Reason: {reason}."] if reason else [])]
+    for part, title in _PARTS:
+        rows = found.get(part, [])
+        lines += ["", f"## {title}", ""]
+        if part in ("come", "gone"):
+            lines.append(", ".join(f"{r['subject']} ({r['name'] or '?'})" for r in rows) or "None.")
+        elif part == "no contour":
+            more = " …" if len(rows) > LISTED else ""
+            lines.append(f"{len(rows)} sections, {number(sum(r['after'] for r in rows))} sales: " + ", ".join(f"{r['subject']} ({r['after']:.0f})" for r in rows[:LISTED]) + more if rows else "None.")
+        else:
+            lines += ["| | before | after | change |", "|---|---:|---:|---:|"]
+            new_or_gone = lambda r: "new" if r["before"] is None else "gone" if r["after"] is None else "" if r["change"] is None else f"{r['change']:+.1f} %"
+            lines += [f"| {r['subject']} | {number(r['before'])} | {number(r['after'])} | {new_or_gone(r)} |" for r in rows]
+    alerts = guard_rails(old, new, contours, department).orderBy("rule", "subject").collect()
+    lines += ["", "## Alerts", ""]
+    lines += [f"- {r['rule']}: {r['subject']} ({number(r['before'])} to {number(r['after'])})" for r in alerts] or ["None: the refresh may go ahead."]
     return "\n".join(lines) + "\n"

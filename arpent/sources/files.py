@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,7 +126,14 @@ def read_removals(spark: SparkSession, path: str) -> DataFrame:
     return parts.select(F.col("p")[0].cast("date").alias("removed_date"), F.col("p")[1].alias("removed_commune"), F.trim(F.col("p")[2]).alias("removed_address"))
 
 
-def features(texts: DataFrame, text_col: str, expected: Column | None = None) -> DataFrame:
+def commune_identity(properties: Column) -> Column:
+    """The commune of three property names, padded; codes of zeros only are none."""
+    value = lambda n: F.nullif(F.get_json_object(properties, f"$.{n}"), F.lit(""))
+    code = zero_fill(F.coalesce(value("code_commune"), value("commune"), value("id")))
+    return F.when(F.trim(code, F.lit("0")) != "", code)
+
+
+def features(texts: DataFrame, text_col: str, expected: Column | None = None, identity: Callable[[Column], Column] | None = None) -> DataFrame:
     """`texts` with a row (k, zone, geometry) for each usable feature of its collections; Polygon is a MultiPolygon of one part.
 
     A text that is no collection has no features.
@@ -139,7 +147,8 @@ def features(texts: DataFrame, text_col: str, expected: Column | None = None) ->
     nested = F.from_json(many, "array<array<array<array<double>>>>")
     point = lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))
     geometry = F.transform(nested, lambda poly: F.transform(poly, lambda ring: F.transform(ring, point)))
-    zone = section_identity(F.get_json_object("f", "$.properties"), expected=expected)
+    properties = F.get_json_object("f", "$.properties")
+    zone = identity(properties) if identity else section_identity(properties, expected=expected)
     return f.select(*others, "k", zone.alias("zone"), geometry.alias("geometry")).where("zone IS NOT NULL AND geometry IS NOT NULL")
 
 
@@ -149,6 +158,25 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("zone").agg(F.min_by("geometry", "k").alias("geometry"))
 
 
+def read_commune_contours(spark: SparkSession, path: str) -> DataFrame:
+    """(zone, geometry) of communes; the first feature of a code wins, a file that is no collection gives nothing."""
+    rows = features(spark.read.text(path, wholetext=True), "value", identity=commune_identity)
+    return rows.groupBy("zone").agg(F.min_by("geometry", "k").alias("geometry"))
+
+
+def write_network(stations: DataFrame, path: str) -> None:
+    """Station records as lines of JSON, sorted by name."""
+    stations.orderBy("name", "lat", "lon").write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def read_network(spark: SparkSession, path: str) -> DataFrame:
+    """Station records, merged again as they are read; lines that are no record are left out."""
+    from ..operators.stations import FIELDS, merged
+
+    raw = spark.read.schema(f"{FIELDS}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+    return merged(raw.where("_bad IS NULL AND name IS NOT NULL AND lon IS NOT NULL AND lat IS NOT NULL").drop("_bad"))
+
+
 def write_tiles(payloads: DataFrame, path: str) -> None:
     """Tiles as rows (x, y, content) partitioned by x, then the manifest with their sizes and digests."""
     payloads.write.mode("overwrite").partitionBy("x").json(path)
