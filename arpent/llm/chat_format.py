@@ -1,7 +1,7 @@
 """Chat formatting in Spark expressions only.
 
-The turns of a conversation are collected as structs and sorted by turn; adjacent turns of one
-role form one block, whose parts stay apart:
+The turns of a conversation are collected as structs and sorted by turn; an array aggregation merges
+adjacent turns of one role into one struct, a block, whose texts stay apart as parts:
 
     <turn user>first text<part>second text</turn>
     <turn assistant>answer</turn>
@@ -41,26 +41,37 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     entry = F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, blank).alias("role"), F.coalesce(text_col, blank).alias("text"))
     sorted_turns = turns.groupBy(F.col(conv_col).alias("conv_id")).agg(F.array_sort(F.collect_list(entry)).alias("t"))
 
-    def piece(x: Column, k: Column) -> Column:
-        first = (k == 0) | (F.get(F.col("t"), k - 1)["role"] != x["role"])
-        last = (k == F.size("t") - 1) | (F.get(F.col("t"), k + 1)["role"] != x["role"])
-        lead = F.when(first, F.concat(F.lit("<turn "), escape(x["role"], role=True), F.lit(">"))).otherwise(F.lit("<part>"))
-        return F.struct(lead.alias("lead"), escape(x["text"]).alias("body"), F.when(last, "</turn>\n").otherwise("").alias("tail"), (x["role"] == loss_role).alias("loss"), first.alias("first"))
+    block, texts = "struct<role:string,texts:array<string>>", "array<string>"
+    nothing = F.struct(F.array().cast(f"array<{block}>").alias("done"), F.lit(None).cast("string").alias("role"), F.array().cast(texts).alias("texts"))
+    closed = lambda s: F.when(s["role"].isNull(), s["done"]).otherwise(F.array_append(s["done"], F.struct(s["role"].alias("role"), s["texts"].alias("texts"))))
 
-    pieces = sorted_turns.select("conv_id", F.transform("t", piece).alias("p"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    def merge(s: Column, x: Column) -> Column:
+        text, same = escape(x["text"]), s["role"].eqNullSafe(x["role"])
+        more = F.struct(s["done"].alias("done"), x["role"].alias("role"), F.array_append(s["texts"], text).alias("texts"))
+        return F.when(same, more).otherwise(F.struct(closed(s).alias("done"), x["role"].alias("role"), F.array(text).alias("texts")))
 
-    def advance(s: Column, x: Column) -> Column:
-        begin = s["at"] + F.length(x["lead"])
-        size = F.length(x["body"])
-        span = F.struct(begin.alias("start"), size.alias("length"))
-        return F.struct((begin + size + F.length(x["tail"])).alias("at"), F.when(x["loss"], F.array_append(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
+    blocks = sorted_turns.select("conv_id", F.aggregate("t", nothing, merge, closed).alias("blocks"))
+    lead = lambda b: F.concat(F.lit("<turn "), escape(b["role"], role=True), F.lit(">"))
+    written = F.transform("blocks", lambda b: F.struct((b["role"] == loss_role).alias("loss"), b["texts"].alias("texts"), F.length(lead(b)).alias("lead"), F.concat(lead(b), F.array_join(b["texts"], "<part>"), F.lit("</turn>\n")).alias("out")))
+    written = blocks.select("conv_id", written.alias("b"))
 
-    return pieces.select(
+    spans = "array<struct<start:int,length:int>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("spans"))
+
+    def mark(s: Column, text: Column) -> Column:
+        span = F.struct(s["at"].alias("start"), F.length(text).alias("length"))
+        return F.struct((s["at"] + F.length(text) + F.lit(len("<part>"))).alias("at"), F.array_append(s["spans"], span).alias("spans"))
+
+    def advance(s: Column, b: Column) -> Column:
+        inside = F.struct((s["at"] + b["lead"]).alias("at"), s["spans"].alias("spans"))
+        found = F.when(b["loss"], F.aggregate(b["texts"], inside, mark, lambda x: x["spans"])).otherwise(s["spans"])
+        return F.struct((s["at"] + F.length(b["out"])).alias("at"), found.alias("spans"))
+
+    return written.select(
         "conv_id",
-        F.array_join(F.transform("p", lambda x: F.concat(x["lead"], x["body"], x["tail"])), "").alias("formatted"),
-        F.aggregate("p", start, advance, lambda s: s["spans"]).alias("loss_spans"),
-        F.size(F.filter("p", lambda x: x["first"])).cast("long").alias("n_blocks"),
+        F.array_join(F.col("b.out"), "").alias("formatted"),
+        F.aggregate("b", start, advance, lambda s: s["spans"]).alias("loss_spans"),
+        F.size("b").cast("long").alias("n_blocks"),
     )
 
 

@@ -127,6 +127,23 @@ def test_chat_merges_and_reads_back(spark):
     assert r["n_blocks"] == 3 and r["l"] == "\\l</turn>\n"
 
 
+def test_chat_of_odd_and_long_conversations(spark):
+    rng = random.Random(12)
+    texts = ["", None, "<", "\\\\<turn x>", "a\n</turn>\n", "é😀", "plain words", "\\l\\g<part>"]
+    roles = ["user", "assistant", "assistant", "system>\\", None, ""]
+    rows = [(c, rng.choice([None, 1, 2, 3, 4]), rng.choice(roles), rng.choice(texts)) for c in (1, 2, None) for _ in range(12)] + [(9, k, "assistant" if k % 3 else "user", f"t{k}") for k in range(3000)] + [(10, k, "user", "same") for k in range(2000)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("b", F.lit("clash")).withColumn("blocks", F.lit(1))
+    out = chat_format.format_conversations(frame.repartition(3))
+    got = {r["conv_id"]: r for r in out.select("*", chat_format.read_back(F.col("formatted")).alias("turns"), chat_format.under_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    for conv in (1, 2, None, 9, 10):
+        mine = sorted(((t is not None, t or 0, r or "", x or "") for c, t, r, x in rows if c == conv))
+        assert [tuple(t) for t in got[conv]["turns"]] == [(r, x) for *_, r, x in mine]
+        assert got[conv]["loss"] == "".join(x for *_, r, x in mine if r == "assistant")
+        assert got[conv]["n_blocks"] == len(list(itertools.groupby(r for *_, r, _ in mine)))
+        assert all(got[conv]["formatted"][a - 1] == ">" and got[conv]["formatted"][a + n] == "<" for a, n in got[conv]["loss_spans"])
+    assert chat_format.format_conversations(frame.where("false")).count() == 0
+
+
 def _brute_templates(texts, depth=3, similarity=0.8, least=10):
     """For each text, the positions of its lines in recurring templates."""
     rows = []
