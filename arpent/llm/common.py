@@ -89,16 +89,31 @@ def drop_folder(spark: SparkSession, path: str) -> Callable[[], None]:
     return lambda: where.getFileSystem(conf).delete(where, True)
 
 
+_dropping: dict[int, tuple[int, str]] = {}  # for each session: how many are inside, and what the setting was
+_dropping_lock = threading.Lock()
+
+
 @contextlib.contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Inside, what an execution has shuffled is dropped at its end, not when the driver next collects garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+    """Inside, what an execution has shuffled is dropped at its end, not when the driver next collects garbage.
+
+    The setting is the session's: where several threads share one, the last to leave puts it back.
+    """
+    key, session = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", id(spark)
+    with _dropping_lock:
+        inside, before = _dropping.get(session, (0, None))
+        before = spark.conf.get(key, "false") if inside == 0 else before
+        _dropping[session] = (inside + 1, before)
+        spark.conf.set(key, "true")
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        with _dropping_lock:
+            inside, before = _dropping.pop(session)
+            if inside > 1:
+                _dropping[session] = (inside - 1, before)
+            else:
+                spark.conf.set(key, before)
 
 
 class Stage:

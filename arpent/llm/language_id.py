@@ -138,12 +138,19 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
     return out[:DIMS], int(out[DIMS])
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 4000) -> Model | None:
-    """A model of the languages in `labelled`, or none if it holds no label."""
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 4000, max_labels: int = 256) -> Model | None:
+    """A model of the languages in `labelled`, or none if it holds no label.
+
+    Of more than `max_labels` labels only the commonest are learned: a row of weights for each has to
+    fit the driver and every task.
+    """
     labelled = labelled.where(F.col(lang_col).isNotNull())
-    languages = sorted(r[0] for r in labelled.select(lang_col).distinct().collect())
+    common = labelled.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(max_labels)
+    languages = sorted(r[0] for r in common.collect())
     if not languages:
         return None
+    if len(languages) == max_labels:
+        labelled = labelled.where(F.col(lang_col).isin(languages))
     df, total = document_frequencies(labelled, text_col)
     model = Model(languages, np.log((1.0 + total) / (1.0 + df)) + 1.0, np.zeros((len(languages), DIMS)), np.zeros(len(languages)))
     dice = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))

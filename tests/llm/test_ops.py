@@ -62,6 +62,24 @@ def test_only_results_stay_in_the_shared_folder(spark, tmp_path, monkeypatch):
     assert len(spark.catalog.listTables()) == tables
 
 
+def test_the_last_thread_puts_the_setting_back(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    first, second = common.shuffles_dropped(spark), common.shuffles_dropped(spark)
+    first.__enter__()
+    second.__enter__()
+    first.__exit__(None, None, None)
+    assert spark.conf.get(key) == "true"
+    second.__exit__(None, None, None)
+    assert spark.conf.get(key) == before
+
+
+def test_commonest_languages_are_learned(spark):
+    rows = [(k, f"{'le chat' if k % 3 else 'the cat'} {k}", "fr" if k % 3 else "en", None, 0) for k in range(60)] + [(99, "el gato", "es", None, 0)]
+    model = language_id.fit(spark.createDataFrame(rows, SCHEMA), max_labels=2)
+    assert model.languages == ["en", "fr"]
+
+
 def test_empty_table_gives_empty_table(spark):
     for name, out in _results(spark, documents(spark, [])).items():
         assert out.count() == 0, name
