@@ -71,7 +71,7 @@ def reconstruct(lines: DataFrame, dedupe: bool = True) -> DataFrame:
     line_rank = F.when(kept, F.struct(F.col("area").isNull(), -F.coalesce("area", F.lit(0.0)), F.col("ord")))
     out = numbered.groupBy("sale_id").agg(
         F.max("price").alias("price"),
-        F.count_distinct("price").alias("n_prices"),
+        F.size(F.collect_set("price")).cast("long").alias("n_prices"),
         F.bool_or("is_activity").alias("has_activity"),
         F.count_if(F.col("premise_type") == OUTBUILDING).alias("n_outbuildings"),
         F.min(F.when(kept, F.col("sale_date"))).alias("sale_date"),
