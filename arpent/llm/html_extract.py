@@ -9,8 +9,8 @@ The best container wins, widened to the `article` it lies in; siblings that come
 paragraphs and headings beside it, are kept with it. Inside, lists and boxes of links are left out.
 
 A boilerplate class can also stand on an element around the article (`has-sidebar`); such an element
-is kept if it holds an article, or over half of the page's text outside of comments. In the header of
-an article the headings are kept.
+is kept if it holds an article, or a title or several paragraphs with over half of the page's text
+outside of comments. In the header of an article the headings are kept.
 
 One page is one row of an Arrow batch and nothing is shuffled; pages are read whole, whatever their
 length. Defined results: null and empty html, and pages without main text, give ''; repeated rows
@@ -39,7 +39,7 @@ _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr"
 _FENCE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",)}
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 _COMMENTS = frozenset("comment comments commentlist commentbox commentform disqus respond reply replies discussion talkback responses".split())
-_UNLIKELY = re.compile(r"(?:ads?|adverts?|advertis\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|notification\w*|alerts?|popup|modal|overlay|sidebar\w*|rail|nav|navbar|navigation|menu\w*|breadcrumbs?|pagination|pager|footer|foot|masthead|topbar|toolbar|share|sharing|social|related|recommend\w*|newsletter\w*|subscribe|subscription|signup|login|search|searchform|widgets?|skip|copyright|form)")
+_UNLIKELY = re.compile(r"(?:ads?|ad(?:slot|box|unit|block|container|wrap|wrapper|banner|sense)s?|adsby\w*|adverts?|advertis\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|notification\w*|alerts?|popup|modal|overlay|sidebar\w*|rail|nav|navbar|navigation|menu\w*|breadcrumbs?|pagination|pager|footer|foot|masthead|topbar|toolbar|share|sharing|social|related|recommend\w*|newsletter\w*|subscribe|subscription|signup|login|search|searchform|widgets?|skip|copyright|form)")
 _CUT_TAG = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
 _TOKEN = re.compile(r"[a-z]+|[A-Z]+[a-z]*")
 
@@ -149,12 +149,13 @@ def main_text(html: str | None) -> str:
     sizes = summed([0 if outside[k] else n for k, n in enumerate(sizes)])
     articles = summed([int(tag[k] in ("article", "main") and not talk[k]) for k in range(size)])
     titles = summed([int(tag[k] == "h1") for k in range(size)])
+    paragraphs = summed([int(tag[k] == "p") for k in range(size)])
     within = below(lambda k: tag[k] in ("article", "main"))
 
     def dropped(k: int) -> bool:
         if kind[k] == "comments":
             return not titles[k]
-        if kind[k] in ("unlikely", "header") and (articles[k] or 2 * sizes[k] > sizes[0]):
+        if kind[k] in ("unlikely", "header") and (articles[k] or 2 * sizes[k] > sizes[0] and (titles[k] or paragraphs[k] > 2 or tag[k] == "form")):
             return False
         inner = k and kind[parent[k]] == "header" and within[parent[k]] and tag[k] not in _HEADINGS and not titles[k]
         return kind[k] in ("never", "unlikely") or kind[k] == "header" and not within[k] or bool(inner)

@@ -86,6 +86,11 @@ PAGES = {
     "<article><ul><li>one<li>two <ul><li>deep</ul></ul><blockquote>said</blockquote><table><tr><td>a<td>b</table><ul><li><a href=1>Link one</a><li><a href=2>Link two</a><li><a href=3>Link three</a></ul>tail</article>": "one\ntwo\ndeep\nsaid\na\nb\ntail",
     "<p>Only a paragraph &lt;b&gt; &#233; &eacute &am": "Only a paragraph <b> é é &am",
     "<article><p>kept</p><section id=comments><article class=comment><p>first, reader</p></article></section></article>": "kept",
+    # little text beside longer adverts, notices, a sidebar and comments, all by class
+    "<div class=content><h2>Short</h2><p>Hi.</p></div><div class=ad-slot>Buy this, and that, and more of it, today, or tomorrow.</div><ins class=adsbygoogle>Buy</ins><div class=site-notice>We, the makers, tell you, at length, of changes.</div>"
+    "<div id=sidebar><p>Other, quite long, text, of others.</p></div><section id=reader-comments><p>A long, long, long comment, by a reader, on it all.</p></section>": "Short\nHi.",
+    "<div class='layout sidebar-right'><h1>All</h1><p>One.</p><p>Two, and more words.</p></div><div id=site-footer>Foot, foot, foot</div>": "All\nOne.\nTwo, and more words.",
+    "<table><tr><td width=20><a href=1>x</a><a href=2>y</a></td><td><p>Old page, in a cell.</p><p>Next.</p></td></tr></table>": "Old page, in a cell.\nNext.",
     "<nav>menu</nav><footer>foot</footer>": "",
     "plain text": "plain text",
     "": "",
