@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,7 @@ from .common import drop_folder, drop_later, map_columns, materialise, settled,
 
 K = 48
 _SEGMENT = 1 << 20
+SHARE = 1 << 20  #: bytes of surroundings that are solved at once, beside those of one block of an anchor
 
 
 def _ranked(key: np.ndarray) -> np.ndarray:
@@ -306,24 +308,24 @@ def _classed(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        waiting = 0
+        waiting = 0  # bytes of contexts in `held`
         for whole in batches:
-            for begin in range(0, whole.num_rows, 2048):
-                batch = whole.slice(begin, 2048)
+            for begin in range(0, whole.num_rows, 256):
+                batch = whole.slice(begin, 256)
                 anchor = batch.column(0).to_numpy()
                 block = batch.column(1).to_numpy()
                 cut = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(block) != 0)) + 1
                 fresh = held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (anchor[0], block[0])
                 # all before the last group of this batch is complete
                 done = int(cut[-1]) if len(cut) else (0 if fresh else None)
-                if done is not None and waiting + done >= 2048:
+                if done is not None and waiting >= SHARE:
                     if done:
                         held.append(batch.slice(0, done))
                     yield solve(pa.Table.from_batches(held))
                     held, batch = [], batch.slice(done)
                     waiting = 0
                 held.append(batch)
-                waiting += batch.num_rows
+                waiting += pc.sum(pc.binary_length(batch.column("context"))).as_py() or 0
         if held:
             yield solve(pa.Table.from_batches(held))
 
