@@ -1048,12 +1048,12 @@ _STATS_COMMUNE = _zone_sql("commune").split(" SELECT commune AS zone", 1)[1]
 @register(
     _trend_sql("commune") + f", {_AMPLITUDE_SQL}, stats AS (SELECT commune AS zone{_STATS_COMMUNE}), names AS (SELECT commune, max(price) AS max_price, min(price) AS min_price FROM clean GROUP BY commune) "
     f"SELECT s.zone, {_colour_sql('CASE WHEN reliable THEN (rate + amplitude) / (2 * amplitude) END', sc.TREND_PALETTE)} AS colour, CASE WHEN coalesce(reliable, false) THEN NULL ELSE 'No trend: it takes 3 years of 5 sales' END AS note, "
-    "s.n_sales, median_m2, max_price, min_price, CASE WHEN reliable THEN rate END AS rate, CASE WHEN reliable THEN \"change\" END AS change, CASE WHEN reliable THEN r2 END AS r2, n_years "
+    "s.n_sales, median_m2, max_price, min_price, CASE WHEN reliable THEN rate END AS rate, CASE WHEN reliable THEN \"change\" END AS change, CASE WHEN reliable THEN r2 END AS r2, n_years::DOUBLE AS n_years "
     "FROM stats s JOIN names ON s.zone = names.commune LEFT JOIN trend ON s.zone = trend.zone, amp"
 )
 def complete_layer_trend(spark, d):
     rows = _layer(spark, d, "commune", with_trend=True).rows
-    return rows.select("zone", "colour", "note", "n_sales", "median_m2", "max_price", "min_price", r6("rate"), r6("change"), r6("r2"), "n_years")
+    return rows.select("zone", "colour", "note", "n_sales", "median_m2", "max_price", "min_price", r6("rate"), r6("change"), r6("r2"), F.col("n_years").cast("double").alias("n_years"))
 
 
 @register(f"{_STATS_SQL.replace('SELECT section AS zone', 'SELECT commune AS zone').replace('WHERE section IS NOT NULL GROUP BY section', 'WHERE commune IS NOT NULL GROUP BY commune')}{_SCALE_SQL} SELECT {q6('low')}, {q6('high')}, empty, '{'|'.join(sc.PRICE_PALETTE)}' AS palette, 'm2' AS \"column\" FROM scale")
