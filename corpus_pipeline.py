@@ -44,9 +44,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage; what the stages wrote on the way is dropped.
 
-    Null and empty texts have no lines, words or leaks: they stay in every stage but near-dedup, where
-    all texts without a word are one group; repeated rows are one document there. Rows are told apart by
-    id and text, an empty table gives an empty table, and other columns stay up to the last stage.
+    Null and empty texts have no lines, words or leaks: all their counts are zero, by which quality rules
+    judge them alike; the next stages leave them as they are but for near-dedup, where all texts without
+    a word are one group and repeated rows one document. Rows are told apart by id and text, an empty
+    table gives an empty table, and other columns stay up to the last stage.
     """
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
