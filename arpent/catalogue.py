@@ -966,9 +966,12 @@ def _back(x: str, names: dict[str, str]):
 
 
 def _source_files(spark, d) -> str:
-    """The stand-in's lines as the source publishes them: CSV texts with its names, decimal commas and markers of missing values."""
+    """The stand-in's lines as the source publishes them: CSV texts with its names, decimal commas and markers of missing values.
+
+    The order in a file counts among repeated lines, so a sale's lines are in one file, by `ord`.
+    """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
-    n = standin.lines(spark, d)
+    n = standin.lines(spark, d).repartition("sale_id").sortWithinPartitions("sale_id", "ord")
     kind = F.when(F.col("premise_type") == "Outbuilding", F.when(F.col("sale_id") % 2 == 0, "Dépendance").otherwise("DÉPENDANCE")).otherwise(_back("premise_type", files.PREMISES))
     rows = n.select(
         text("sale_id").alias(" ID_mutation "), text("sale_date").alias("date_mutation"), F.concat(_back("nature", files.NATURES), F.lit(" ")).alias("nature_mutation"), F.replace(text("price"), F.lit("."), F.lit(",")).alias("valeur_fonciere"),
