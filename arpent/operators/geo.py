@@ -145,34 +145,49 @@ def section_identity(properties: Column, get=F.get_json_object, expected: Column
     return F.coalesce(*ready, F.concat(zero_fill(commune), zero_fill(prefix, 3), zero_fill(letters, 2)))
 
 
-def _keep(points: list[tuple[float, float]], tolerance: float, squeeze: float) -> list[tuple[float, float]]:
-    """Douglas-Peucker without recursion: marks the points to keep."""
-    keep = [False] * len(points)
-    keep[0] = keep[-1] = True
+def _worst(points: list[tuple[float, float]], a: int, b: int, tolerance: float, squeeze: float) -> int | None:
+    """The point between `a` and `b` that is farthest from the line between them, if beyond the tolerance."""
+    (ax, ay), (bx, by) = points[a], points[b]
+    dx, dy = (bx - ax) * squeeze, by - ay
+    norm = dx * dx + dy * dy
+    worst, at = tolerance, None
+    for k in range(a + 1, b):
+        x, y = (points[k][0] - ax) * squeeze, points[k][1] - ay
+        t = max(0.0, min(1.0, (x * dx + y * dy) / norm)) if norm else 0.0
+        far = math.hypot(x - t * dx, y - t * dy)
+        if far > worst:
+            worst, at = far, k
+    return at
+
+
+def _keep(points: list[tuple[float, float]], tolerance: float, squeeze: float) -> list[int]:
+    """Douglas-Peucker without recursion: the places of the points to keep."""
+    keep = {0, len(points) - 1}
     todo = [(0, len(points) - 1)]
     while todo:
         a, b = todo.pop()
-        (ax, ay), (bx, by) = points[a], points[b]
-        dx, dy = (bx - ax) * squeeze, by - ay
-        norm = dx * dx + dy * dy
-        worst, at = tolerance, None
-        for k in range(a + 1, b):
-            x, y = (points[k][0] - ax) * squeeze, points[k][1] - ay
-            t = max(0.0, min(1.0, (x * dx + y * dy) / norm)) if norm else 0.0
-            far = math.hypot(x - t * dx, y - t * dy)
-            if far > worst:
-                worst, at = far, k
+        at = _worst(points, a, b, tolerance, squeeze)
         if at is not None:
-            keep[at] = True
+            keep.add(at)
             todo += [(a, at), (at, b)]
-    return [p for p, k in zip(points, keep) if k]
+    return sorted(keep)
 
 
 def simplify_ring(ring: list[tuple[float, float]], tolerance: float, squeeze: float) -> list[tuple[float, float]]:
-    """A ring of fewer than four points is no area: then the ring stays as it is."""
+    """A ring of fewer than four points is no area: then the ring stays as it is.
+
+    A closed ring is split first at the point farthest from its start, which may lie within a side: it is
+    dropped again if the line between its neighbours stays within the tolerance without it.
+    """
     if len(ring) < 4:
         return ring
-    out = _keep(ring, tolerance, squeeze)
+    kept = _keep(ring, tolerance, squeeze)
+    split = _worst(ring, 0, len(ring) - 1, tolerance, squeeze) if ring[0] == ring[-1] else None
+    if split is not None and len(kept) > 4:
+        at = kept.index(split)
+        if _worst(ring, kept[at - 1], kept[at + 1], tolerance, squeeze) is None:
+            del kept[at]
+    out = [ring[k] for k in kept]
     if len(out) < 4:
         return ring
     return out if out[0] == out[-1] else [*out, out[0]]

@@ -1,5 +1,6 @@
 """What differed, or grew faster than its input, on larger tables."""
 from arpent import catalogue
+from arpent.operators import geo
 
 from .oracle import connect, same
 
@@ -24,3 +25,12 @@ def test_source_files_keep_the_order_of_lines(spark, tmp_path):
     d = _tables(tmp_path, lineitem=" UNION ALL ".join(line.format(k, x) for k, x in ((7, 0.05), (5, 0.05), (3, 0.0))), part="SELECT * REPLACE (1::INT AS p_size) FROM part")
     _holds(spark, "file_to_sales", d)
     assert catalogue.QUERIES["file_to_sales"](spark, d).first()["private_area"] == 0.0
+
+
+def test_rings_keep_no_split_within_a_side(spark, tmp_path):
+    # a tall ring, whose point farthest from the start is none of its corners
+    ring = [(0.0, 0.0), (0.01, 0.0), (0.01, 9.0), (0.0095, 9.000002), (0.0, 9.0), (0.0, 0.0)]
+    assert geo.simplify_ring(ring, 7e-5, 0.3) == [(0.0, 0.0), (0.01, 0.0), (0.01, 9.0), (0.0, 9.0), (0.0, 0.0)]
+    corner = [(0.0, 0.0), (0.01, 0.0), (0.01, 9.0), (0.0095, 9.001), (0.0, 9.0), (0.0, 0.0)]
+    assert geo.simplify_ring(corner, 7e-5, 0.3) == corner
+    _holds(spark, "simplify_rings", _tables(tmp_path, customer="SELECT c.* FROM customer c, range(6000)"))
