@@ -732,7 +732,9 @@ def station_merge(spark, d):
     "AND sqrt(((a.lon - b.lon) * 111320.0 * cos(radians((a.lat + b.lat) / 2))) ** 2 + ((a.lat - b.lat) * 111320.0) ** 2) <= 150) THEN '' ELSE 'Line ' || plan END AS planned, ord FROM m a"
 )
 def station_reconcile(spark, d):
-    return _flat(stations.reconciled(stations.merged(_records(spark, d))))
+    with Scratch(spark) as scratch:
+        found = scratch.result(stations.merged(_records(spark, d)))
+    return _flat(stations.reconciled(found))
 
 
 @register("SELECT c_nationkey::VARCHAR AS zone, 5 AS n_vertices, 81 AS n_before FROM customer GROUP BY c_nationkey")

@@ -69,3 +69,44 @@ def test_nearest_station_of_dense_places(spark, copies):
     cited = {r["id"]: (r["role"], r["station"], r["metres"]) for r in stations.cited(points, found, "id").collect()}
     assert _largest_join(spark) < 400_000
     assert cited == {k: ("service", *v) for k, v in got.items()}
+
+
+_STATION = "name string, lon double, lat double, network string, type string, status string, lines array<string>, planned array<string>, ord long"
+
+
+@pytest.mark.parametrize("lat", [48.0, 88.5])
+def test_reconciling_meets_on_a_grid(spark, lat):
+    # 1500 stations of one line 2 km apart, each third with a plan of it, of which some are beside or named alike
+    rows = [(f"S{k:04d}", k * 0.03, lat, "RER", "station", "service", ["E"], ["E"] if k % 3 == 0 else [], k) for k in range(1500)]
+    rows += [(f"P{k}", 3 * k * 0.03 + x, lat + y, "RER", "station", "project", ["E", "F"], None, 9000 + k) for k, (x, y) in enumerate([(0.0005, 0.001), (0.0, 0.002), (0.0, 0.0013)])]
+    rows += [("Near s0030", 0.9, lat + 0.003, "RER", "station", "works", ["E", "F"], None, 9100), ("Near s0031", 0.93, lat + 0.004, "RER", "station", "works", ["E"], None, 9101)]
+    frame = spark.createDataFrame(rows, _STATION)
+    got = {r["name"]: (r["lines"], r["planned"]) for r in stations.reconciled(frame).collect()}
+    if lat == 48.0:
+        assert _largest_join(spark) < 20_000  # of over 700,000 pairs
+
+    def opened(r):
+        return any(
+            s[5] == "service" and s[0] != r[0]
+            and ((d := math.hypot((r[1] - s[1]) * 111_320.0 * math.cos(math.radians((r[2] + s[2]) / 2)), (r[2] - s[2]) * 111_320.0)) <= 150 or (d <= 400 and (r[0].lower().replace(" ", "") in s[0].lower() or s[0].lower() in r[0].lower().replace(" ", ""))))
+            for s in rows
+        )
+
+    want = {}
+    for r in rows:
+        plans = r[7] if r[5] == "service" else r[6]
+        left = [x for x in plans if not (x == "E" and opened(r))]
+        if r[5] == "service" or left or not plans:
+            want[r[0]] = (r[6], left) if r[5] == "service" else (left, None)
+    assert got == want
+
+
+def test_merging_gives_names_to_a_fixed_number_of_tasks(spark):
+    rows = spark.range(3000).select(F.format_string("N%d", F.col("id") % 1000).alias("name"), F.lit(2.0).alias("lon"), F.when(F.col("id") < 2000, 48.0).otherwise(49.0).alias("lat"), F.lit("RER").alias("network"), F.lit("station").alias("type"), F.lit("service").alias("status"), F.array(F.concat(F.lit("L"), F.col("id").cast("string"))).alias("lines"), F.lit(None).cast("array<string>").alias("planned"), (-F.col("id")).alias("ord"))
+    found = stations.merged(rows)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {(r["name"], r["lat"]): (r["lines"], r["ord"]) for r in found.collect()}
+    assert len(got) == 2000
+    assert got["N7", 48.0] == (["L1007", "L7"], -1007) and got["N7", 49.0] == (["L2007"], -2007)
+    empty = rows.where("name = 'N3' AND lat > 48.5").withColumn("lon", F.lit(None).cast("double"))
+    assert [(r["lon"], r["lines"]) for r in stations.merged(empty.unionByName(empty)).collect()] == [(None, ["L2003"])] * 2
