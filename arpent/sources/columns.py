@@ -22,6 +22,7 @@ from .stores import Scratch
 VERSION = 1
 NO_SECTION = 0xFFFF
 DICTIONARIES = {"commune": "commune_id", "section": "section_id", "property_type": "type_id", "state": "state_id"}
+NEEDED = ("sale_id", *DICTIONARIES, "year", "price", "area", "price_m2")
 VALUES_A_SLICE = 1 << 16
 LAYOUT = (("euros", "<u4"), ("section", "<u2"), ("metres", "<u2"), ("year", "u1"), ("type", "u1"), ("state", "u1"), ("cents", "u1"), ("hundredths", "u1"))
 
@@ -46,10 +47,13 @@ def dictionary(sales: DataFrame, column: str, name: str, scratch: Scratch) -> Da
 
 
 def numbered(sales: DataFrame, scratch: Scratch) -> DataFrame:
-    """Dictionary ids are ranks of distinct values; both halves of each number are exact."""
-    out = sales
+    """Dictionary ids are ranks of distinct values; both halves of each number are exact.
+
+    The sales are computed and written once, without columns that are not packed; every dictionary reads that table.
+    """
+    out = once = scratch.written(sales.select(*NEEDED))
     for column, name in DICTIONARIES.items():
-        out = out.join(dictionary(sales, column, name, scratch), column, "left")
+        out = out.join(dictionary(once, column, name, scratch), column, "left")
     euros, cents = whole_and_hundredths(F.col("price"))
     metres, hundredths = whole_and_hundredths(F.col("area"))
     return out.withColumns({"euros": euros, "cents": cents, "metres": metres, "hundredths": hundredths, "section_id": F.coalesce("section_id", F.lit(NO_SECTION))})
@@ -112,7 +116,7 @@ def publish_columns(sales: DataFrame, path: str) -> DataFrame:
         starts = placed.groupBy("commune_id").agg(F.min("place").alias("start")).select(F.col("commune_id").alias("place"), "start", F.floor(F.col("commune_id") / VALUES_A_SLICE).alias("part"))
         out = out.unionByName(_slices(starts, (("start", "<u4"),)))
         for column, name in DICTIONARIES.items():
-            values = dictionary(sales, column, name, scratch).withColumn("slice", F.floor(F.col(name) / VALUES_A_SLICE))
+            values = dictionary(rows, column, name, scratch).withColumn("slice", F.floor(F.col(name) / VALUES_A_SLICE))
             text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(name, column))), lambda x: x[column]), "\n")
             named = F.concat(F.lit(f"names_{column}-"), F.lpad(F.min(name).cast("string"), 12, "0")).alias("prefix")
             out = out.unionByName(values.groupBy("slice").agg(named, F.lit("txt").alias("extension"), text.cast("binary").alias("content")).drop("slice"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from arpent import catalogue
 from arpent.operators import geo, stations
+from arpent.sources import columns
+from arpent.sources.stores import Scratch
 
 from .oracle import connect, same
 
@@ -110,3 +112,22 @@ def test_merging_gives_names_to_a_fixed_number_of_tasks(spark):
     assert got["N7", 48.0] == (["L1007", "L7"], -1007) and got["N7", 49.0] == (["L2007"], -2007)
     empty = rows.where("name = 'N3' AND lat > 48.5").withColumn("lon", F.lit(None).cast("double"))
     assert [(r["lon"], r["lines"]) for r in stations.merged(empty.unionByName(empty)).collect()] == [(None, ["L2003"])] * 2
+
+
+def test_sales_are_computed_once_for_their_columns(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(price):
+        seen.add(1)
+        return price
+
+    sales = spark.range(60).select(F.col("id").alias("sale_id"), F.format_string("%05d", F.col("id") % 3).alias("commune"), F.format_string("s%d", F.col("id") % 7).alias("section"), F.lit("House").alias("property_type"), F.lit("Old").alias("state"), F.lit(2020).alias("year"), (F.col("id") * 1000 + 5000.0).alias("price"), F.lit(50.0).alias("area"), F.lit("x").alias("address"))
+    counts = sales.where(counted.asNondeterministic()("price") >= 0).withColumn("price_m2", F.rint(F.col("price") / F.col("area")))
+    with Scratch(spark) as scratch:
+        assert columns.numbered(counts, scratch).count() == 60
+    assert seen.value == 60
+    columns.publish_columns(counts, f"file://{tmp_path}/c")
+    assert seen.value == 120
+    got = columns.read_columns(spark, f"file://{tmp_path}/c").orderBy("place").select("commune", "section", "price").collect()
+    assert got == sales.orderBy("commune", "price").select("commune", "section", "price").collect()
